@@ -1,4 +1,243 @@
 """Registered queries, steps 8-10: issue status, previews, reports,
-history, incremental scans, logs and sessions."""
+exports, history, incremental scans, logs and sessions."""
 
 from __future__ import annotations
+
+import hashlib
+
+from pyspark.sql import functions as F
+
+from linewise.functions.text import iso_ts, project_label
+from linewise.operators import history as H
+from linewise.operators import issues as I
+from linewise.operators import logs as L
+from linewise.operators import metrics as M
+from linewise.operators.rules import platform_bucket
+from linewise.plans import exports as X
+from linewise.plans.catalog import _analysis, _files, _r6, query
+from linewise.session import shared_path
+from linewise.sources import fixtures as FX
+
+
+def _scratch(spark, sf, name):
+    tag = hashlib.sha1(sf.encode()).hexdigest()[:10]
+    return shared_path(spark, f"linewise/{name}-{tag}")
+
+
+def _status_store(spark, sf):
+    path = _scratch(spark, sf, "issue_status")
+    I.write_issue_status(FX.issue_status_log(spark, sf), path)
+    return I.read_issue_status(spark, path)
+
+
+# ----------------------------------------------------------------- step 8
+@query("read_issue_status")
+def q_read_issue_status(spark, sf):
+    st = _status_store(spark, sf)
+    return st.select("key", "status", "note", iso_ts(F.col("updated_at")).alias("updated_at"))
+
+
+@query("status_valid")
+def q_status_valid(spark, sf):
+    st = _status_store(spark, sf)
+    return I.status_valid(st).select("key", "status", iso_ts(F.col("updated_at")).alias("updated_at"))
+
+
+@query("latest_status")
+def q_latest_status(spark, sf):
+    return I.latest_status(I.status_valid(_status_store(spark, sf))).select("key", "status", "note")
+
+
+@query("export_issue_status")
+def q_export_issue_status(spark, sf):
+    latest = I.latest_status(I.status_valid(_status_store(spark, sf)))
+    path = _scratch(spark, sf, "issue_status_rewrite")
+    I.write_issue_status(latest, path)
+    return I.read_issue_status(spark, path).select("key", "status", "note")
+
+
+@query("overlay_status")
+def q_overlay_status(spark, sf):
+    a = _analysis(spark, sf)
+    return I.overlay_status(a.issues, _status_store(spark, sf)).select("key", "status", "note")
+
+
+@query("source_preview")
+def q_source_preview(spark, sf):
+    a = _analysis(spark, sf)
+    return I.source_preview(a.issues, a.lines).select("key", "from_line", "to_line", "n_lines", "preview")
+
+
+@query("platform_bucket")
+def q_platform_bucket(spark, sf):
+    return _analysis(spark, sf).issues.select("key", platform_bucket(F.col("rule_id")).alias("bucket"))
+
+
+@query("platform_counts")
+def q_platform_counts(spark, sf):
+    return I.platform_counts(_analysis(spark, sf).issues)
+
+
+@query("platform_top8")
+def q_platform_top8(spark, sf):
+    t = I.platform_top(_analysis(spark, sf).issues, 8)
+    return t.select("project", "bucket", "rank", "key", F.col("remainder").cast("long").alias("remainder"))
+
+
+@query("top_complex_files")
+def q_top_complex_files(spark, sf):
+    t = M.top_complex_files(M.file_metrics(_files(spark, sf), with_deps=False), 10)
+    return t.select("project", "rank", "path", "cyclomatic")
+
+
+@query("sorted_files")
+def q_sorted_files(spark, sf):
+    t = M.sorted_files(M.file_metrics(_files(spark, sf), with_deps=False), "code_lines", ascending=False, n=500)
+    return t.select("project", "rank", "path", "code_lines")
+
+
+@query("severity_filter")
+def q_severity_filter(spark, sf):
+    return I.severity_filter(_analysis(spark, sf).issues, "critical").select("key", "severity")
+
+
+@query("issue_page")
+def q_issue_page(spark, sf):
+    return I.issue_page(_analysis(spark, sf).issues, "major", 500).select("project", "rank", "key")
+
+
+@query("report_top_issues")
+def q_report_top_issues(spark, sf):
+    return I.report_top_issues(_analysis(spark, sf).issues, 40).select("project", "rank", "key")
+
+
+@query("report_digest")
+def q_report_digest(spark, sf):
+    a = _analysis(spark, sf)
+    return I.report_digest(a.report, a.issues, 15)
+
+
+@query("project_label")
+def q_project_label(spark, sf):
+    d = FX.read_table(spark, sf, "documents").select("source", "lang").distinct()
+    root = F.concat(F.lit("C:/corpora/"), F.col("source"), F.lit(" ("), F.col("lang"), F.lit(")/"))
+    return d.select(F.col("source").alias("project"), "lang", project_label(root).alias("label"))
+
+
+@query("export_issues_csv")
+def q_export_issues_csv(spark, sf):
+    out = _scratch(spark, sf, "export")
+    X.export_issues_csv(_analysis(spark, sf).issues, out, {"source": "linewise", "sf": sf})
+    return X.read_issues_csv(spark, out)
+
+
+@query("export_report_json")
+def q_export_report_json(spark, sf):
+    a = _analysis(spark, sf)
+    out = _scratch(spark, sf, "report")
+    X.report_struct(a.report).write.mode("overwrite").partitionBy("project").json(out)
+    back = spark.read.schema("report string, project string").json(out)
+    r = F.from_json("report", "issue_count long, grade string, health struct<tqi double>, "
+                              "debt struct<total_minutes long>")
+    return back.select("project", r.alias("r")).select(
+        "project", F.col("r.issue_count").alias("issue_count"), F.col("r.grade").alias("grade"),
+        _r6(F.col("r.health.tqi")).alias("tqi"), F.col("r.debt.total_minutes").alias("debt_minutes"))
+
+
+@query("export_metrics_text")
+def q_export_metrics_text(spark, sf):
+    rows = X.metrics_rows(_analysis(spark, sf).report)
+    return rows.select("project", "metric", "labels", _r6(F.col("value")).alias("value"))
+
+
+@query("new_critical_issues")
+def q_new_critical_issues(spark, sf):
+    cur = _analysis(spark, sf).issues
+    prev = cur.filter(FX.doc_id_of(F.col("path")) % 7 != 0)
+    return I.new_critical_issues(cur, prev).select("key", "rule_id", "path")
+
+
+# ----------------------------------------------------------------- step 9
+def _history_store(spark, sf):
+    """Snapshots written as NDJSON (first half, then appended second half),
+    with a missing grade on every 13th snapshot and one line that is not JSON."""
+    snaps = FX.history_snapshots(spark, sf)
+    rows = H.history_to_json_rows(snaps)
+    rows = rows.withColumn("grade", F.when(F.col("issue_count") % 13 == 0, F.lit(None)).otherwise(F.col("grade")))
+    path = _scratch(spark, sf, "history")
+    cut = F.lit("2024-01-16")
+    rows.filter(F.col("timestamp") < cut).write.mode("overwrite").json(path)
+    rows.filter(F.col("timestamp") >= cut).write.mode("append").json(path)
+    spark.createDataFrame([("not json",)], "value string").write.mode("append").text(path)
+    return H.read_history(spark, path)
+
+
+@query("read_history")
+def q_read_history(spark, sf):
+    h = _history_store(spark, sf)
+    return h.select("project", iso_ts(F.col("ts")).alias("ts"), "file_count", "issue_count", "tqi", "grade",
+                    "duplicate_blocks")
+
+
+@query("append_history")
+def q_append_history(spark, sf):
+    h = _history_store(spark, sf)
+    return h.groupBy("project").agg(F.count("*").alias("snapshots"), F.sum("issue_count").cast("long").alias("issues"))
+
+
+@query("history_ring")
+def q_history_ring(spark, sf):
+    h = H.history_ring(FX.history_snapshots(spark, sf), 50)
+    return h.select("project", iso_ts(F.col("ts")).alias("ts"), _r6(F.col("tqi")).alias("tqi"))
+
+
+@query("trend")
+def q_trend(spark, sf):
+    t = H.trend(FX.history_snapshots(spark, sf))
+    return t.select("project", "seq", iso_ts(F.col("ts")).alias("ts"), _r6(F.col("tqi")).alias("tqi"),
+                    _r6(F.col("tqi_delta")).alias("tqi_delta"), "issue_delta")
+
+
+@query("grade_at_or_below")
+def q_grade_at_or_below(spark, sf):
+    h = FX.history_snapshots(spark, sf)
+    return H.grade_alerts(h, "C").select("project", iso_ts(F.col("ts")).alias("ts"), "grade")
+
+
+@query("change_set")
+def q_change_set(spark, sf):
+    prev, cur = FX.listings(spark, sf)
+    return H.change_set(prev, cur)
+
+
+@query("listing_diff")
+def q_listing_diff(spark, sf):
+    prev, cur = FX.listings(spark, sf)
+    return H.listing_diff(prev, cur).select("project", "path", iso_ts(F.col("mtime")).alias("mtime"), "side")
+
+
+@query("incremental_plan")
+def q_incremental_plan(spark, sf):
+    prev, cur = FX.listings(spark, sf)
+    return H.incremental_plan(prev, cur).select("project", "path", "action")
+
+
+# ----------------------------------------------------------------- step 10
+@query("log_recent")
+def q_log_recent(spark, sf):
+    r = L.log_recent(FX.logs(spark, sf), "info", 200)
+    return r.select(iso_ts(F.col("timestamp")).alias("timestamp"), "level", "message")
+
+
+@query("sessionize")
+def q_sessionize(spark, sf):
+    s = L.sessionize(FX.events_ts(spark, sf))
+    return s.select("user_id", iso_ts(F.col("session_start")).alias("session_start"),
+                    iso_ts(F.col("session_end")).alias("session_end"), "events")
+
+
+@query("burst_throttle")
+def q_burst_throttle(spark, sf):
+    t = L.burst_throttle(FX.attempts(spark, sf), 5, 60)
+    return t.groupBy("user_id").agg(F.count("*").alias("attempts"), F.count_if("blocked").alias("blocked"),
+                                    F.count_if(~F.col("ok")).alias("failures"))
