@@ -241,3 +241,86 @@ def q_burst_throttle(spark, sf):
     t = L.burst_throttle(FX.attempts(spark, sf), 5, 60)
     return t.groupBy("user_id").agg(F.count("*").alias("attempts"), F.count_if("blocked").alias("blocked"),
                                     F.count_if(~F.col("ok")).alias("failures"))
+
+
+# ----------------------------------------------------------------- streaming
+def _run_stream(spark, name, frame, job, order_by=None, **kw):
+    """Stage `frame` as a file stream source, run `job` with availableNow,
+    return the sink path."""
+    from linewise.streaming import jobs as S
+    src = S.stage(frame, S.fresh(spark, f"{name}-src"), order_by=order_by)
+    sink, ckpt = S.fresh(spark, f"{name}-sink"), S.fresh(spark, f"{name}-ckpt")
+    job(spark, src, frame.schema, sink, ckpt, **kw)
+    return sink
+
+
+@query("stream_watch_scan")
+def q_stream_watch_scan(spark, sf):
+    from linewise.streaming import jobs as S
+    sink = _run_stream(spark, "watch", _files(spark, sf), S.watch_scan)
+    m = spark.read.parquet(sink)
+    return m.select("project", "path", "language", *M.METRIC_COLUMNS)
+
+
+@query("stream_rule_counts")
+def q_stream_rule_counts(spark, sf):
+    from linewise.streaming import jobs as S
+    sink = _run_stream(spark, "rulecounts", _files(spark, sf), S.rule_counts)
+    r = spark.read.parquet(sink)
+    return r.select(iso_ts(F.col("window_start")).alias("window_start"), iso_ts(F.col("window_end")).alias("window_end"),
+                    "rule_id", "severity", "issues")
+
+
+@query("stream_latest_file")
+def q_stream_latest_file(spark, sf):
+    from linewise.streaming import jobs as S
+    prev, cur = FX.listings(spark, sf)
+    table = _run_stream(spark, "latest", prev.unionByName(cur), S.latest_file)
+    t = _read_latest(spark, table)
+    return t.select("project", "path", iso_ts(F.col("mtime")).alias("mtime"))
+
+
+def _read_latest(spark, table):
+    v = spark.read.json(f"{table}/_current").collect()[0]["version"]   # one small row
+    return spark.read.parquet(f"{table}/v{v}")
+
+
+@query("stream_status_upsert")
+def q_stream_status_upsert(spark, sf):
+    from linewise.streaming import jobs as S
+    table = _run_stream(spark, "status", FX.issue_status_log(spark, sf), S.status_upsert)
+    return _read_latest(spark, table).select("key", "status", "note")
+
+
+@query("stream_grade_alert")
+def q_stream_grade_alert(spark, sf):
+    from linewise.streaming import jobs as S
+    sink = _run_stream(spark, "alert", FX.history_snapshots(spark, sf), S.grade_alert)
+    return spark.read.parquet(sink).select("project", iso_ts(F.col("ts")).alias("ts"), "grade")
+
+
+@query("stream_log_ring")
+def q_stream_log_ring(spark, sf):
+    from linewise.streaming import jobs as S
+    sink = _run_stream(spark, "logs", FX.logs(spark, sf), S.log_sink)
+    r = L.log_recent(spark.read.parquet(sink), "info", 200)
+    return r.select(iso_ts(F.col("timestamp")).alias("timestamp"), "level", "message")
+
+
+@query("stream_sessionize")
+def q_stream_sessionize(spark, sf):
+    from linewise.streaming import jobs as S
+    ev = FX.events_ts(spark, sf).select("user_id", "ts")
+    sink = _run_stream(spark, "sessions", ev, S.sessions, order_by="ts")
+    s = spark.read.parquet(sink)
+    return s.select("user_id", iso_ts(F.col("session_start")).alias("session_start"),
+                    iso_ts(F.col("session_end")).alias("session_end"), "events")
+
+
+@query("stream_burst_throttle")
+def q_stream_burst_throttle(spark, sf):
+    from linewise.streaming import jobs as S
+    sink = _run_stream(spark, "throttle", FX.attempts(spark, sf), S.throttle, order_by="ts")
+    t = spark.read.parquet(sink)
+    return t.groupBy("user_id").agg(F.count("*").alias("attempts"), F.count_if("blocked").alias("blocked"),
+                                    F.count_if(~F.col("ok")).alias("failures"))

@@ -168,3 +168,22 @@ SELECT user_id, strftime(min(ts), {ISO}) AS session_start, strftime(max(ts) + IN
 GROUP BY user_id, sid""")
 
 _ = (DUP_CTES, TOTALS)
+
+# ------------------------------------------------------------------ streaming (same results as the batch forms)
+q("stream_watch_scan", """SELECT project, path, language, total_lines, code_lines, comment_lines, blank_lines, functions,
+                          cyclomatic, max_nesting, long_lines FROM metrics""", METRIC_CTES)
+q("stream_rule_counts", f"""
+SELECT strftime(date_trunc('hour', f.mtime), {ISO}) AS window_start,
+       strftime(date_trunc('hour', f.mtime) + INTERVAL 1 HOUR, {ISO}) AS window_end,
+       c.rule_id, c.severity, count(*) AS issues
+FROM cand c JOIN files f ON f.project = c.project AND f.path = c.path
+GROUP BY ALL""", RULE_CTES)
+q("stream_latest_file", f"""
+SELECT project, path, strftime(max(mtime), {ISO}) AS mtime FROM (SELECT * FROM lprev UNION ALL SELECT * FROM lcur) t
+GROUP BY project, path""", LIST_CTES)
+q("stream_status_upsert", "SELECT key, status, note FROM slatest", STATUS_CTES)
+q("stream_grade_alert", f"""
+SELECT project, strftime(ts, {ISO}) AS ts, grade FROM snap
+WHERE instr('FDCBA', grade) > 0 AND instr('FDCBA', grade) <= instr('FDCBA', 'C')""", HIST_CTES)
+SQL_LOG = __import__("linewise.plans.oracle", fromlist=["SQL"]).SQL["log_recent"]
+__import__("linewise.plans.oracle", fromlist=["SQL"]).SQL["stream_log_ring"] = SQL_LOG
