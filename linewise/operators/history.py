@@ -92,7 +92,7 @@ def incremental_metrics(cached_metrics: DataFrame, cur_files: DataFrame, compute
     is unchanged, freshly computed rows for the rest (`compute(files)`)."""
     key = ["project", "path", "mtime"]
     fresh = compute(cur_files.join(cached_metrics.select(*key), key, "left_anti"))
-    kept = cached_metrics.join(cur_files.select(*key), key, "left_semi")
+    kept = cached_metrics.join(cur_files.select(*key), key, "left_semi").select(*cached_metrics.columns)
     return kept.unionByName(fresh)
 
 
