@@ -15,14 +15,124 @@ WORD = "A-Za-z0-9_"
 BOUNDARY = f"(?:(?<=[{WORD}])(?![{WORD}])|(?<![{WORD}])(?=[{WORD}]))"
 
 
+NOT_WORD_BEFORE = f"(?<![{WORD}])"
+NOT_WORD_AFTER = f"(?![{WORD}])"
+
+
+def _is_word(c: str) -> bool:
+    return c.isascii() and (c.isalnum() or c == "_")
+
+
+def _group_span(p: str, i: int) -> int:
+    """Index of the ')' closing the '(' at i (escapes and classes skipped)."""
+    depth, j, in_cls = 0, i, False
+    while j < len(p):
+        c = p[j]
+        if c == "\\":
+            j += 2
+            continue
+        if in_cls:
+            in_cls = c != "]"
+        elif c == "[":
+            in_cls = True
+        elif c == "(":
+            depth += 1
+        elif c == ")":
+            depth -= 1
+            if depth == 0:
+                return j
+        j += 1
+    return -1
+
+
+def _alternatives(body: str) -> list[str]:
+    out, depth, cur, j, in_cls = [], 0, "", 0, False
+    while j < len(body):
+        c = body[j]
+        if c == "\\":
+            cur += body[j:j + 2]
+            j += 2
+            continue
+        if in_cls:
+            in_cls = c != "]"
+        elif c == "[":
+            in_cls = True
+        elif c == "(":
+            depth += 1
+        elif c == ")":
+            depth -= 1
+        elif c == "|" and depth == 0:
+            out.append(cur)
+            cur = ""
+            j += 1
+            continue
+        cur += c
+        j += 1
+    out.append(cur)
+    return out
+
+
+def _starts_with_word(p: str, i: int) -> bool:
+    """Does every match of the pattern text starting at i begin with a word char?"""
+    if i >= len(p):
+        return False
+    if _is_word(p[i]):
+        return True
+    if p[i] == "(":
+        end = _group_span(p, i)
+        body = p[i + 1:end]
+        if body.startswith("?:"):
+            body = body[2:]
+        elif body.startswith("?"):
+            return False
+        return end > 0 and all(a and _is_word(a[0]) for a in _alternatives(body))
+    return False
+
+
+def _ends_with_word(p: str, i: int) -> bool:
+    """Does every match of the pattern text ending at index i-1 end with a word char?"""
+    if i == 0:
+        return False
+    c = p[i - 1]
+    escaped = i >= 2 and p[i - 2] == "\\"
+    if _is_word(c) and not escaped:
+        return True
+    if c == ")" and not escaped:
+        # find the matching '('
+        depth, j = 0, i - 1
+        while j >= 0:
+            if p[j] == ")" and (j == 0 or p[j - 1] != "\\"):
+                depth += 1
+            elif p[j] == "(" and (j == 0 or p[j - 1] != "\\"):
+                depth -= 1
+                if depth == 0:
+                    break
+            j -= 1
+        body = p[j + 1:i - 1]
+        if body.startswith("?"):
+            return False
+        return all(a and _is_word(a[-1]) and not (len(a) >= 2 and a[-2] == "\\") for a in _alternatives(body))
+    return False
+
+
 def java_regex(pattern: str, case_insensitive: bool = False) -> str:
-    """Rewrite an ECMAScript-style pattern for java.util.regex: ASCII \\b."""
+    """Rewrite an ECMAScript-style pattern for java.util.regex with ASCII
+    word boundaries.  A boundary next to pattern text that must match a word
+    character only needs a one-sided look-around (cheaper: Java keeps its
+    literal-prefix search); otherwise the two-sided form is used."""
     out, i = [], 0
     while i < len(pattern):
         c = pattern[i]
         if c == "\\" and i + 1 < len(pattern):
             nxt = pattern[i + 1]
-            out.append(BOUNDARY if nxt == "b" else c + nxt)
+            if nxt != "b":
+                out.append(c + nxt)
+            elif _starts_with_word(pattern, i + 2):
+                out.append(NOT_WORD_BEFORE)
+            elif _ends_with_word(pattern, i):
+                out.append(NOT_WORD_AFTER)
+            else:
+                out.append(BOUNDARY)
             i += 2
             continue
         out.append(c)

@@ -31,26 +31,32 @@ def normalized_lines(lines_arr: Column) -> Column:
 
 
 def block_array(norm: Column, k: int) -> Column:
-    """array<struct<line, h1, h2>>: one entry per window of k kept lines."""
+    """array<struct<line, h1, h2>>: one entry per window of k kept lines.
+
+    The k lines of every window come from k shifted slices zipped together,
+    so each slice is computed once per file and the lambda touches only its
+    own element (a lambda that referenced the whole array would re-evaluate
+    it per element)."""
+    m = F.greatest(F.size(norm) - k + 1, F.lit(0))
     texts = F.transform(norm, lambda s: s["t"])
-    count = F.size(norm) - k + 1
+    shifted = [F.slice(texts, j + 1, m).alias(f"t{j}") for j in range(k)]
+    starts = F.slice(F.transform(norm, lambda s: s["n"]), 1, m).alias("line")
+    zipped = F.arrays_zip(starts, *shifted)
 
-    def block(i):
-        blk = F.concat(F.array_join(F.slice(texts, i + 1, k), "\n"), F.lit("\n"))
-        return F.struct(F.element_at(norm, i + 1)["n"].alias("line"),
-                        F.xxhash64(blk).alias("h1"),
+    def block(z):
+        blk = F.concat(F.concat_ws("\n", *[z[f"t{j}"] for j in range(k)]), F.lit("\n"))
+        return F.struct(z["line"].alias("line"), F.xxhash64(blk).alias("h1"),
                         F.xxhash64(F.lit("linewise-dup"), blk).alias("h2"))
 
-    return F.when(count > 0, F.transform(F.sequence(F.lit(0), count - 1), block)) \
-            .otherwise(F.array().cast("array<struct<line:int,h1:bigint,h2:bigint>>"))
+    return F.transform(zipped, block)
 
 
 def blocks(files: DataFrame, cfg: ScanConfig = ScanConfig()) -> DataFrame:
     """files -> blocks(project, path, line, h1, h2)."""
     k = max(1, cfg.duplication_block_lines)
-    norm = normalized_lines(lines_array(F.col("content")))
-    return (files.select("project", "path", F.explode(block_array(norm, k)).alias("b"))
-                 .select("project", "path", "b.line", "b.h1", "b.h2"))
+    norm = files.select("project", "path", normalized_lines(lines_array(F.col("content"))).alias("_norm"))
+    return (norm.select("project", "path", F.explode(block_array(F.col("_norm"), k)).alias("b"))
+                .select("project", "path", "b.line", "b.h1", "b.h2"))
 
 
 def block_counts(blk: DataFrame) -> DataFrame:
@@ -82,11 +88,14 @@ def duplicate_groups(blk: DataFrame, max_groups: int = MAX_GROUPS,
     occurrences desc then first location; each lists its first
     max_locations locations 'path:line' in (path, line) order."""
     counts = block_counts(blk).filter(F.col("occurrences") >= 2)
+    # Only blocks of duplicated hashes are ranked: the join keeps them (the
+    # duplicated-hash side is small and AQE may broadcast it), and the
+    # window reuses the join's partitioning on (project, h1, h2).
+    dup = blk.join(counts, ["project", "h1", "h2"])
     wl = Window.partitionBy("project", "h1", "h2").orderBy("path", "line")
-    firsts = (blk.withColumn("_r", F.row_number().over(wl)).filter(F.col("_r") <= max_locations)
-                 .groupBy("project", "h1", "h2")
-                 .agg(F.sort_array(F.collect_list(F.struct("path", "line"))).alias("locs")))
-    g = counts.join(firsts, ["project", "h1", "h2"])
+    g = (dup.withColumn("_r", F.row_number().over(wl)).filter(F.col("_r") <= max_locations)
+            .groupBy("project", "h1", "h2", "occurrences", "first_path", "first_line")
+            .agg(F.sort_array(F.collect_list(F.struct("path", "line"))).alias("locs")))
     wg = Window.partitionBy("project").orderBy(F.desc("occurrences"), "first_path", "first_line")
     g = g.withColumn("group_rank", F.row_number().over(wg)).filter(F.col("group_rank") <= max_groups)
     loc_str = F.transform("locs", lambda s: F.concat_ws(":", s["path"], s["line"].cast("string")))

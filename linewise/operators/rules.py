@@ -117,55 +117,80 @@ def directive_lines(lines: DataFrame) -> DataFrame:
                  .select("project", "path", "n", d.alias("d")))
 
 
-def _regions_of_file(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Sequential guard stack over one file's directive lines."""
-    pdf = pdf.sort_values("n")
-    stack: list[int] = []
-    depth = 0
-    states = []
-    for n, d in zip(pdf["n"].tolist(), pdf["d"].tolist()):
+class _GuardState:
+    """Guard stack of one file; `step` applies one directive and returns the
+    state that holds from that line on, or None for a non-guard directive."""
+
+    def __init__(self):
+        self.stack: list[int] = []
+        self.depth = 0
+
+    def step(self, d: str):
         win = "_WIN32" in d
         plat = any(t in d for t in PLATFORM_TOKENS)
+        st = self.stack
         if d.startswith("ifdef"):
-            stack.append(1 if win else 0)
-            depth += plat
+            st.append(1 if win else 0)
+            self.depth += plat
         elif d.startswith("ifndef"):
-            stack.append(2 if win else 0)
-            depth += plat
+            st.append(2 if win else 0)
+            self.depth += plat
         elif d.startswith("if"):
-            stack.append((2 if "!" in d else 1) if win else 0)
-            depth += plat
+            st.append((2 if "!" in d else 1) if win else 0)
+            self.depth += plat
         elif d.startswith("elif"):
-            if stack:
-                stack[-1] = 0
+            if st:
+                st[-1] = 0
         elif d.startswith("else"):
-            if stack and stack[-1] in (1, 2):
-                stack[-1] = 3 - stack[-1]
+            if st and st[-1] in (1, 2):
+                st[-1] = 3 - st[-1]
         elif d.startswith("endif"):
-            if stack:
-                depth = max(0, depth - 1)
-                stack.pop()
+            if st:
+                self.depth = max(0, self.depth - 1)
+                st.pop()
         else:
-            continue
-        states.append((int(n), 1 in stack, 2 in stack, depth > 0))
-    rows = []
-    for i, (n, w, p, pl) in enumerate(states):
-        if not (w or p or pl):
-            continue
-        to = states[i + 1][0] - 1 if i + 1 < len(states) else LAST_LINE
-        rows.append((n, to, w, p, pl))
-    out = pd.DataFrame(rows, columns=["from_line", "to_line", "in_win", "in_posix", "in_platform"])
-    out.insert(0, "path", pdf["path"].iloc[0] if len(pdf) else None)
-    out.insert(0, "project", pdf["project"].iloc[0] if len(pdf) else None)
-    return out
+            return None
+        return (1 in st, 2 in st, self.depth > 0)
+
+
+def _regions_stream(batches):
+    """Directive lines of a partition, clustered by file and sorted by line
+    -> regions.  One pass; state is carried across Arrow batches."""
+    cur_file, state, pending, out = None, None, None, []
+
+    def close(to_line):
+        if pending is not None and any(pending[3:]):
+            out.append((*pending[:2], pending[2], to_line, *pending[3:]))
+
+    for pdf in batches:
+        for proj, path, n, d in zip(pdf["project"].tolist(), pdf["path"].tolist(), pdf["n"].tolist(),
+                                    pdf["d"].tolist()):
+            if (proj, path) != cur_file:
+                close(LAST_LINE)
+                cur_file, state, pending = (proj, path), _GuardState(), None
+            s = state.step(d)
+            if s is None:
+                continue
+            close(int(n) - 1)
+            pending = (proj, path, int(n), *s)
+        if out:
+            yield pd.DataFrame(out, columns=["project", "path", "from_line", "to_line", "in_win", "in_posix",
+                                             "in_platform"])
+            out = []
+    close(LAST_LINE)
+    if out:
+        yield pd.DataFrame(out, columns=["project", "path", "from_line", "to_line", "in_win", "in_posix",
+                                         "in_platform"])
 
 
 def guard_regions(lines: DataFrame) -> DataFrame:
     """lines -> regions(project, path, from_line, to_line, in_win, in_posix,
     in_platform): line ranges where a suppressing guard state holds.  Only
-    directive lines are shuffled (grouped by file, each group bounded by
-    the file size)."""
-    return directive_lines(lines).groupBy("project", "path").applyInPandas(_regions_of_file, REGION_SCHEMA)
+    directive lines are shuffled; they are clustered by file and sorted, and
+    each partition is folded in one pass (mapInPandas), so there is no
+    per-file Python call and no file group is ever collected."""
+    d = directive_lines(lines).repartition("project", "path").sortWithinPartitions("project", "path", "n")
+    return d.mapInPandas(_regions_stream, REGION_SCHEMA)
 
 
 def suppress_guard(issues: DataFrame, regions: DataFrame) -> DataFrame:

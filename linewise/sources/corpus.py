@@ -25,6 +25,23 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def balanced(df: DataFrame, key: str) -> DataFrame:
+    """Spread a text-heavy scan over the cluster when it arrives in fewer
+    splits than there are task slots (a parquet file splits only at row-group
+    boundaries, so one large row group is read by one task).  Per-row work
+    here (regex, folds) dominates, so one hash exchange of the rows is cheap
+    next to running it on one core.  Large inputs already arrive in many
+    splits and are left as they are."""
+    slots = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= 2 * slots:
+        return df
+    return df.repartition(2 * slots, key)
+
+
+def read_text_table(spark: SparkSession, sf_dir: str, name: str, key: str) -> DataFrame:
+    return balanced(read_table(spark, sf_dir, name), key)
+
+
 # ---------------------------------------------------------------- languages
 def languages_dim(spark: SparkSession) -> DataFrame:
     """(ext, language): one row per extension, ~110 rows — a fixed-size
@@ -152,7 +169,7 @@ def _codify_line(doc_id: Column, line: Column, n: Column) -> Column:
 def documents_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     """`documents` as raw source files (before excludes / language):
     one file per document, built by a per-row projection (no shuffle)."""
-    d = read_table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    d = read_text_table(spark, sf_dir, "documents", "doc_id").select("doc_id", "source", "text")
     doc_id = F.col("doc_id")
     ext = F.element_at(F.array(*[F.lit(e) for e in CODIFY_EXTS]), (doc_id % 12 + 1).cast("int"))
     folder = F.when(doc_id % 10 == 9, F.lit("vendor")).otherwise(F.lit("src"))
@@ -171,7 +188,7 @@ def documents_as_files(spark: SparkSession, sf_dir: str, cfg: ScanConfig = ScanC
 
 def pages_as_files(spark: SparkSession, sf_dir: str, cfg: ScanConfig = ScanConfig()) -> DataFrame:
     """`pages` as JavaScript files of project 'web' (content = raw html)."""
-    p = read_table(spark, sf_dir, "pages").select("page_id", "html")
+    p = read_text_table(spark, sf_dir, "pages", "page_id").select("page_id", "html")
     raw = p.select(F.lit("web").alias("project"),
                    F.concat(F.lit("page"), F.col("page_id").cast("string"), F.lit(".js")).alias("path"),
                    F.col("html").alias("content"),
