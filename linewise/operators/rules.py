@@ -189,7 +189,12 @@ def guard_regions(lines: DataFrame) -> DataFrame:
     directive lines are shuffled; they are clustered by file and sorted, and
     each partition is folded in one pass (mapInPandas), so there is no
     per-file Python call and no file group is ever collected."""
-    d = directive_lines(lines).repartition("project", "path").sortWithinPartitions("project", "path", "n")
+    return regions_from_directives(directive_lines(lines))
+
+
+def regions_from_directives(d: DataFrame) -> DataFrame:
+    """(project, path, n, d) directive rows -> regions."""
+    d = d.repartition("project", "path").sortWithinPartitions("project", "path", "n")
     return d.mapInPandas(_regions_stream, REGION_SCHEMA)
 
 

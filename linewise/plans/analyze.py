@@ -24,11 +24,20 @@ from linewise.operators import deps, duplicates, health, licenses, lines, metric
 
 class Analysis:
     def __init__(self, files: DataFrame, cfg: ScanConfig = ScanConfig(), score_cfg: ScoreConfig = ScoreConfig(),
-                 thresholds: DataFrame | None = None):
+                 thresholds: DataFrame | None = None, materialize: bool = False):
+        """materialize=True: one pass over the corpus writes a per-file facts
+        table (plans/facts.py) under spark.checkpoint.dir; metrics, issues,
+        guard regions, blocks and licences are then read from it."""
         self.files = files
         self.cfg = cfg
         self.score_cfg = score_cfg
         self.thresholds = thresholds
+        self.materialized = materialize
+
+    @cached_property
+    def facts(self) -> DataFrame:
+        from linewise.plans.facts import file_facts, materialize
+        return materialize(file_facts(self.files, self.cfg))
 
     @cached_property
     def lines(self) -> DataFrame:
@@ -36,14 +45,22 @@ class Analysis:
 
     @cached_property
     def metrics(self) -> DataFrame:
+        if self.materialized:
+            return self.facts.select("project", "path", "language", "mtime", *metrics.METRIC_COLUMNS, "dependencies")
         return metrics.file_metrics(self.files, self.cfg)
 
     @cached_property
     def candidate_issues(self) -> DataFrame:
+        if self.materialized:
+            i = self.facts.select("project", "path", F.explode("issues").alias("i")).select("project", "path", "i.*")
+            return i.withColumn("key", F.concat_ws(":", "rule_id", "path", F.col("line").cast("string")))
         return rules.apply_rules(self.lines, self.cfg)
 
     @cached_property
     def regions(self) -> DataFrame:
+        if self.materialized:
+            d = self.facts.select("project", "path", F.explode("directives").alias("x")).select("project", "path", "x.*")
+            return rules.regions_from_directives(d)
         return rules.guard_regions(self.lines)
 
     @cached_property
@@ -57,6 +74,9 @@ class Analysis:
 
     @cached_property
     def blocks(self) -> DataFrame:
+        if self.materialized:
+            return (self.facts.select("project", "path", F.explode("blocks").alias("b"))
+                              .select("project", "path", "b.line", "b.h1", "b.h2"))
         return duplicates.blocks(self.files, self.cfg)
 
     @cached_property
@@ -74,6 +94,8 @@ class Analysis:
 
     @cached_property
     def licenses(self) -> DataFrame:
+        if self.materialized:
+            return self.facts.select("project", "path", "spdx", "has_copyright", "has_header")
         return licenses.file_licenses(self.files)
 
     @cached_property

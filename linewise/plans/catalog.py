@@ -38,8 +38,10 @@ def _files(spark, sf):
     return corpus.corpus_files(spark, sf)
 
 
-def _analysis(spark, sf) -> Analysis:
-    return Analysis(_files(spark, sf))
+def _analysis(spark, sf, materialize: bool = True) -> Analysis:
+    """Scan plan over the corpus; by default one pass writes the per-file
+    facts table and every rollup reads from it."""
+    return Analysis(_files(spark, sf), materialize=materialize)
 
 
 # ----------------------------------------------------------------- step 1
@@ -205,12 +207,12 @@ def _issue_cols(df):
 
 @query("apply_rules")
 def q_apply_rules(spark, sf):
-    return _issue_cols(_analysis(spark, sf).candidate_issues)
+    return _issue_cols(rules.apply_rules(lines.explode_lines(_files(spark, sf))))
 
 
 @query("join_rules")
 def q_join_rules(spark, sf):
-    a = _analysis(spark, sf)
+    a = _analysis(spark, sf, materialize=False)
     rs = rules.select_rules()
     from linewise.functions.text import java_regex
     rdf = rules.rules_frame(spark, [rules.Rule(r.ord, r.id, r.title, r.cwe, r.severity, r.factor, r.minutes, r.enabled,
@@ -234,7 +236,7 @@ def q_rule_enabled(spark, sf):
 
 @query("guard_regions")
 def q_guard_regions(spark, sf):
-    return _analysis(spark, sf).regions
+    return rules.guard_regions(lines.explode_lines(_files(spark, sf)))
 
 
 @query("suppress_guard")
@@ -405,7 +407,7 @@ def q_join_complexity_threshold(spark, sf):
     # per-project threshold override: projects of the 'web' pages get 3.0
     thr = f.select("project").distinct().withColumn(
         "complexity_threshold", F.when(F.col("project") == "web", F.lit(3.0)).otherwise(F.lit(None).cast("double")))
-    a = Analysis(f, thresholds=thr)
+    a = Analysis(f, thresholds=thr, materialize=True)
     return a.report.select("project", _r6(F.col("robustness")).alias("robustness"),
                            _r6(F.col("changeability")).alias("changeability"), _r6(F.col("tqi")).alias("tqi"))
 

@@ -65,6 +65,7 @@ def q_overlay_status(spark, sf):
 @query("source_preview")
 def q_source_preview(spark, sf):
     a = _analysis(spark, sf)
+    # the line text is re-derived from the files scan only for the preview
     return I.source_preview(a.issues, a.lines).select("key", "from_line", "to_line", "n_lines", "preview")
 
 

@@ -147,3 +147,15 @@ def test_entry_contract(spark):
     assert set(df.columns) == {"project", "grade", "tqi", "issues"} and df.count() > 0
     q, s = E.queries(), E.oracle_sql()
     assert set(s) <= set(q) and len(q) >= 90
+
+
+def test_materialized_analysis_equals_lazy(spark):
+    from linewise.plans.analyze import Analysis
+    from linewise.sources.corpus import corpus_files
+    f = corpus_files(spark, SF_SMALL)
+    lazy, mat = Analysis(f), Analysis(f, materialize=True)
+    cols = ["project", "file_count", "code_lines", "issue_count", "duplicate_blocks", "tqi", "grade", "debt_minutes"]
+    assert sorted(lazy.report.select(*cols).collect()) == sorted(mat.report.select(*cols).collect())
+    k = ["key", "severity", "snippet"]
+    assert sorted(lazy.issues.select(*k).collect()) == sorted(mat.issues.select(*k).collect())
+    assert sorted(lazy.licenses.collect()) == sorted(mat.licenses.collect())
