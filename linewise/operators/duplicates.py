@@ -8,7 +8,8 @@ hash aggregate with map-side partial aggregation, so a block that occurs in
 a third of all files (licence headers) still collapses to one row per map
 task before the exchange.  Group listings take at most 20 locations per
 block through a row_number limit that Spark plans as a partial
-WindowGroupLimit ahead of the exchange.
+WindowGroupLimit ahead of the exchange, so a hot block never reaches one
+task in full.
 """
 
 from __future__ import annotations
@@ -88,14 +89,14 @@ def duplicate_groups(blk: DataFrame, max_groups: int = MAX_GROUPS,
     occurrences desc then first location; each lists its first
     max_locations locations 'path:line' in (path, line) order."""
     counts = block_counts(blk).filter(F.col("occurrences") >= 2)
-    # Only blocks of duplicated hashes are ranked: the join keeps them (the
-    # duplicated-hash side is small and AQE may broadcast it), and the
-    # window reuses the join's partitioning on (project, h1, h2).
-    dup = blk.join(counts, ["project", "h1", "h2"])
+    # First locations per block: the row_number cap is applied on the blocks
+    # themselves, so Spark inserts a partial WindowGroupLimit before the
+    # exchange and a hot block sends at most max_locations rows per map task.
     wl = Window.partitionBy("project", "h1", "h2").orderBy("path", "line")
-    g = (dup.withColumn("_r", F.row_number().over(wl)).filter(F.col("_r") <= max_locations)
-            .groupBy("project", "h1", "h2", "occurrences", "first_path", "first_line")
-            .agg(F.sort_array(F.collect_list(F.struct("path", "line"))).alias("locs")))
+    firsts = (blk.withColumn("_r", F.row_number().over(wl)).filter(F.col("_r") <= max_locations)
+                 .groupBy("project", "h1", "h2")
+                 .agg(F.sort_array(F.collect_list(F.struct("path", "line"))).alias("locs")))
+    g = counts.join(firsts, ["project", "h1", "h2"])
     wg = Window.partitionBy("project").orderBy(F.desc("occurrences"), "first_path", "first_line")
     g = g.withColumn("group_rank", F.row_number().over(wg)).filter(F.col("group_rank") <= max_groups)
     loc_str = F.transform("locs", lambda s: F.concat_ws(":", s["path"], s["line"].cast("string")))

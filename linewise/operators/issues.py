@@ -83,10 +83,10 @@ def platform_top(issues: DataFrame, n: int = 8) -> DataFrame:
     """First n findings per (project, bucket) in scan order + remainder."""
     b = issues.withColumn("bucket", platform_bucket(F.col("rule_id")))
     w = Window.partitionBy("project", "bucket").orderBy("path", "line", "rule_ord")
-    wc = Window.partitionBy("project", "bucket")
-    return (b.withColumn("rank", F.row_number().over(w)).withColumn("total", F.count("*").over(wc))
-             .filter(F.col("rank") <= n)
-             .withColumn("remainder", F.greatest(F.col("total") - n, F.lit(0))))
+    totals = b.groupBy("project", "bucket").agg(F.count("*").alias("total"))     # partial aggregation
+    top = b.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= n)  # partial WindowGroupLimit
+    return (top.join(totals, ["project", "bucket"])
+               .withColumn("remainder", F.greatest(F.col("total") - n, F.lit(0))))
 
 
 def severity_filter(issues: DataFrame, severity: str = "all") -> DataFrame:

@@ -21,7 +21,9 @@ def log_recent(logs: DataFrame, min_level: str = "info", limit: int = 200) -> Da
 
 
 def sessionize(events: DataFrame, gap: str = "60 minutes", key: str = "user_id", ts: str = "ts") -> DataFrame:
-    """Sessions that expire `gap` after the last use: session_window."""
+    """Sessions that expire `gap` after the last use: session_window.
+    (Batch plans merge sessions after the exchange on the key; see README
+    for the hot-key limit.)"""
     return (events.groupBy(key, F.session_window(ts, gap).alias("s"))
                   .agg(F.count("*").alias("events"))
                   .select(key, F.col("s.start").alias("session_start"), F.col("s.end").alias("session_end"), "events"))

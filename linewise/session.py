@@ -25,6 +25,8 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         "spark.driver.memory": "16g",
         "spark.sql.files.maxPartitionBytes": str(64 * 1024 * 1024),
+        # streaming session windows: pre-merge sessions inside each partition
+        "spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition": "true",
     }
     if shuffle_partitions:
         conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
