@@ -56,25 +56,52 @@ def _throttle_segment(max_attempts: int, window_s: int):
     return run
 
 
-def burst_throttle(attempts: DataFrame, max_attempts: int = 5, window_s: int = 60) -> DataFrame:
+def throttle_segments(attempts: DataFrame, window_s: int = 60, bucket_s: int = 3600) -> DataFrame:
+    """attempts + seg (struct of the segment's first (ts, event_id)).
+
+    A new segment starts at a user's first attempt or after a gap >= window.
+    Hot-key safe: the ordered work is partitioned by (user, time bucket);
+    only one row per (user, bucket) is ordered per user to stitch bucket
+    boundaries (previous bucket's last attempt, last segment start carried
+    forward)."""
+    secs = F.unix_timestamp("ts")
+    a = attempts.withColumn("bucket", F.floor(secs / bucket_s))
+    wb = Window.partitionBy("user_id", "bucket").orderBy("ts", "event_id")
+    a = a.withColumn("_prev", F.lag("ts").over(wb))
+    per_bucket = a.groupBy("user_id", "bucket").agg(F.max("ts").alias("_last"))
+    wu = Window.partitionBy("user_id").orderBy("bucket")
+    per_bucket = per_bucket.withColumn("_prev_last", F.lag("_last").over(wu))
+    a = a.join(per_bucket.select("user_id", "bucket", "_prev_last"), ["user_id", "bucket"])
+    prev = F.coalesce(F.col("_prev"), F.col("_prev_last"))
+    a = a.withColumn("_new", prev.isNull() | ((secs - F.unix_timestamp(prev)) >= window_s))
+    start = F.when(F.col("_new"), F.struct("ts", "event_id"))
+    a = a.withColumn("_in", F.last(start, ignorenulls=True).over(wb.rowsBetween(Window.unboundedPreceding, 0)))
+    starts = a.groupBy("user_id", "bucket").agg(F.max(start).alias("_bucket_start"))
+    starts = starts.withColumn("_carry", F.last("_bucket_start", ignorenulls=True)
+                               .over(wu.rowsBetween(Window.unboundedPreceding, -1)))
+    a = a.join(starts.select("user_id", "bucket", "_carry"), ["user_id", "bucket"])
+    return a.select("user_id", "event_id", "ts", "ok", F.coalesce("_in", "_carry").alias("seg"))
+
+
+def burst_throttle(attempts: DataFrame, max_attempts: int = 5, window_s: int = 60,
+                   bucket_s: int = 3600) -> DataFrame:
     """Per attempt (user_id, event_id, ts, ok): blocked or not.
 
     Per user the state is (failures, window start); a window opens at the
     first attempt after the previous one expired, an accepted success clears
     the state and a blocked attempt changes nothing.  After a gap >= window
     between two attempts the state is reset whatever it was, so the stream is
-    cut into segments there and each segment is folded on its own.  A
-    segment with at most `max_attempts` attempts can never block, so only
-    longer bursts reach the pandas fold; each fold is bounded by one burst."""
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    prev_ts = F.lag("ts").over(w)
-    new_seg = (prev_ts.isNull() | ((F.unix_timestamp("ts") - F.unix_timestamp(prev_ts)) >= window_s)).cast("long")
-    seg = attempts.withColumn("_new", new_seg).withColumn("seg", F.sum("_new").over(w)).drop("_new")
-    seg = seg.withColumn("_size", F.count("*").over(Window.partitionBy("user_id", "seg")))
+    cut into segments there (throttle_segments) and each segment is folded on
+    its own.  A segment with at most `max_attempts` attempts can never block,
+    so only longer bursts reach the pandas fold; each fold is bounded by one
+    burst."""
     cols = ["user_id", "event_id", "ts", "ok"]
+    if max_attempts <= 0:
+        return attempts.select(*cols, F.lit(False).alias("blocked"))
+    seg = throttle_segments(attempts, window_s, bucket_s)
+    sizes = seg.groupBy("user_id", "seg").agg(F.count("*").alias("_size"))
+    seg = seg.join(sizes, ["user_id", "seg"])
     short = seg.filter(F.col("_size") <= max_attempts).select(*cols, F.lit(False).alias("blocked"))
     long = (seg.filter(F.col("_size") > max_attempts).select(*cols, "seg")
                .groupBy("user_id", "seg").applyInPandas(_throttle_segment(max_attempts, window_s), THROTTLE_SCHEMA))
-    if max_attempts <= 0:
-        return seg.select(*cols, F.lit(False).alias("blocked"))
     return short.unionByName(long)
