@@ -162,3 +162,11 @@ def test_materialized_analysis_equals_lazy(spark):
     k = ["key", "severity", "snippet"]
     assert sorted(lazy.issues.select(*k).collect()) == sorted(mat.issues.select(*k).collect())
     assert sorted(lazy.licenses.collect()) == sorted(mat.licenses.collect())
+
+
+def test_sessionize_equals_session_window(spark):
+    from linewise.sources.fixtures import events_ts
+    ev = events_ts(spark, SF_SMALL)
+    a = L.sessionize(ev).collect()
+    b = L.sessionize_window(ev).collect()
+    assert sorted(a) == sorted(b) and len(a) > 0
