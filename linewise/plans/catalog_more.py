@@ -325,3 +325,60 @@ def q_stream_burst_throttle(spark, sf):
     t = spark.read.parquet(sink)
     return t.groupBy("user_id").agg(F.count("*").alias("attempts"), F.count_if("blocked").alias("blocked"),
                                     F.count_if(~F.col("ok")).alias("failures"))
+
+
+# ----------------------------------------------------------------- helpers seen from the other side
+@query("suppress_inline")
+def q_suppress_inline(spark, sf):
+    """Secret lines of documents with doc_id % 4 = 0 carry an inline marker
+    naming their rule (and doc_id % 8 = 4 a marker naming another rule)."""
+    from linewise.config import ScanConfig
+    from linewise.operators.lines import explode_lines
+    from linewise.operators.rules import apply_rules
+    from linewise.sources.corpus import documents_as_files
+    m = ScanConfig().suppress_marker
+    ln = explode_lines(documents_as_files(spark, sf)).withColumn("doc_id", FX.doc_id_of(F.col("path")))
+    marked = F.when((F.col("text") == FX.SECRET_LINE) & (F.col("doc_id") % 8 == 0),
+                    F.concat(F.col("text"), F.lit(f" // {m} SEC-HARDCODED-SECRET: test value"))) \
+              .when((F.col("text") == FX.SECRET_LINE) & (F.col("doc_id") % 8 == 4),
+                    F.concat(F.col("text"), F.lit(f" // {m} SEC-EVAL"))) \
+              .otherwise(F.col("text"))
+    iss = apply_rules(ln.withColumn("text", marked).drop("doc_id"))
+    return iss.groupBy("project", "rule_id").agg(F.count("*").alias("issues"))
+
+
+@query("truncate_content")
+def q_truncate_content(spark, sf):
+    from linewise.config import ScanConfig
+    from linewise.sources.corpus import documents_as_files
+    f = documents_as_files(spark, sf, ScanConfig(max_file_bytes=1024))
+    return f.filter(F.col("size") >= 1000).select("project", "path", "size")
+
+
+@query("issue_key")
+def q_issue_key(spark, sf):
+    return _analysis(spark, sf).issues.select("key", "rule_id", "path", "line")
+
+
+@query("log_level_from")
+def q_log_level_from(spark, sf):
+    from linewise.functions.text import log_level_from
+    lg = FX.logs(spark, sf)
+    return lg.groupBy(log_level_from(F.col("level")).alias("level")).agg(F.count("*").alias("entries"))
+
+
+@query("iso_ts")
+def q_iso_ts(spark, sf):
+    e = FX.events_ts(spark, sf)
+    return e.select("event_id", iso_ts(F.col("ts")).alias("ts"))
+
+
+def _alias(name, target):
+    from linewise.plans.catalog import REGISTRY
+    REGISTRY[name] = REGISTRY[target]
+
+
+for _n, _t in [("join_language", "detect_language"), ("join_technology", "technology_fold"),
+               ("distinct_sorted", "distinct_dependencies"), ("union_projects", "multi_project_sources"),
+               ("severity_from", "severity_counts"), ("clamp", "health_scores")]:
+    _alias(_n, _t)

@@ -187,3 +187,33 @@ SELECT project, strftime(ts, {ISO}) AS ts, grade FROM snap
 WHERE instr('FDCBA', grade) > 0 AND instr('FDCBA', grade) <= instr('FDCBA', 'C')""", HIST_CTES)
 SQL_LOG = __import__("linewise.plans.oracle", fromlist=["SQL"]).SQL["log_recent"]
 __import__("linewise.plans.oracle", fromlist=["SQL"]).SQL["stream_log_ring"] = SQL_LOG
+
+
+# ------------------------------------------------------------------ helpers seen from the other side
+from linewise.config import ScanConfig  # noqa: E402
+from linewise.plans.oracle import SQL, rules_values  # noqa: E402
+
+_M = ScanConfig().suppress_marker
+q("suppress_inline", f"""
+SELECT l.project, r.rule_id, count(*) AS issues
+FROM (SELECT project, path, n,
+             CASE WHEN text = 'password = "hunter2x"' AND doc % 8 = 0
+                       THEN concat(text, ' // {_M} SEC-HARDCODED-SECRET: test value')
+                  WHEN text = 'password = "hunter2x"' AND doc % 8 = 4 THEN concat(text, ' // {_M} SEC-EVAL')
+                  ELSE text END AS text
+      FROM (SELECT *, TRY_CAST(regexp_extract(path, 'doc([0-9]+)\\.', 1) AS BIGINT) AS doc FROM lines
+            WHERE project <> 'web') x) l
+JOIN {rules_values()} r ON regexp_matches(l.text, r.re2)
+WHERE strlen(l.text) <= {ScanConfig().max_rule_line_length}
+  AND NOT (contains(l.text, '{_M}') AND contains(l.text, r.rule_id))
+GROUP BY l.project, r.rule_id""")
+q("issue_key", "SELECT key, rule_id, path, line FROM issues", RULE_CTES)
+q("log_level_from", """
+SELECT lower(CASE WHEN event_type = 'error' THEN 'ERROR' WHEN event_type = 'signup' THEN 'WARN'
+                  WHEN event_type = 'purchase' THEN 'INFO' ELSE 'DEBUG' END) AS level, count(*) AS entries
+FROM events GROUP BY 1""")
+q("iso_ts", f"SELECT event_id, strftime(ts, {ISO}) AS ts FROM events")
+for _n, _t in [("join_language", "detect_language"), ("join_technology", "technology_fold"),
+               ("distinct_sorted", "distinct_dependencies"), ("union_projects", "multi_project_sources"),
+               ("severity_from", "severity_counts"), ("clamp", "health_scores")]:
+    SQL[_n] = SQL[_t]

@@ -333,8 +333,7 @@ SELECT project, count(*) AS files, CAST(sum(size) AS BIGINT) AS bytes FROM (
   UNION ALL
   SELECT 'chat' AS project, CAST(strlen(content) AS BIGINT) AS size FROM conv_files) t
 GROUP BY project""", """
-conv_files AS (SELECT conv_id, string_agg(concat('# ', role, chr(10), text), chr(10) ORDER BY turn) AS content
-               FROM conversations GROUP BY conv_id)""")
+conv_files AS (SELECT conv_id, turn, concat('# ', role, chr(10), text) AS content FROM conversations)""")
 q("explode_lines", "SELECT project, path, n, text FROM lines")
 q("source_order", "SELECT project, path, row_number() OVER (PARTITION BY project ORDER BY path) AS ord FROM files")
 

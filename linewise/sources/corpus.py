@@ -84,9 +84,15 @@ def scan_exclude(df: DataFrame, excludes: Iterable[str] = fixed.DEFAULT_EXCLUDES
     return df.filter(exclude_filter(F.col("path"), excludes))
 
 
+def bytes_to_text(b: Column) -> Column:
+    """UTF-8 bytes -> string; invalid or cut sequences become U+FFFD (a
+    strict decode would fail the task on one bad file)."""
+    return F.make_valid_utf8(b.cast("string"))
+
+
 def truncate_content(content: Column, max_bytes: int) -> Column:
     """Keep the first max_bytes bytes (UTF-8); files are cut, not skipped."""
-    cut = F.decode(F.substring(F.encode(content, "UTF-8"), 1, max_bytes), "UTF-8")
+    cut = bytes_to_text(F.substring(F.encode(content, "UTF-8"), 1, max_bytes))
     return F.when(F.octet_length(content) > max_bytes, cut).otherwise(content)
 
 
@@ -114,7 +120,7 @@ def scan_source_tree(spark: SparkSession, root: str, project: str = "default",
                      F.col("modificationTime").alias("mtime"), F.col("content"), F.col("length")))
     raw = scan_exclude(raw, cfg.excludes)
     raw = detect_language(raw)
-    content = F.decode(F.substring(F.col("content"), 1, cfg.max_file_bytes), "UTF-8")
+    content = bytes_to_text(F.substring(F.col("content"), 1, cfg.max_file_bytes))
     return (raw.withColumn("content", content)
                .withColumn("size", F.octet_length("content").cast("long"))
                .select(*FILES_COLUMNS))
@@ -198,17 +204,13 @@ def pages_as_files(spark: SparkSession, sf_dir: str, cfg: ScanConfig = ScanConfi
 
 
 def conversations_as_files(spark: SparkSession, sf_dir: str, cfg: ScanConfig = ScanConfig()) -> DataFrame:
-    """`conversations` as Markdown-less text files of project 'chat': one
-    Python file per conversation whose lines are '# role' + text per turn.
-    Built with a grouped collect bounded by one conversation."""
-    c = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
-    per_turn = F.concat(F.lit("# "), F.col("role"), F.lit("\n"), F.col("text"))
-    g = (c.groupBy("conv_id")
-          .agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", per_turn.alias("t")))),
-                                        lambda s: s["t"]), "\n").alias("content")))
-    raw = g.select(F.lit("chat").alias("project"),
-                   F.concat(F.lit("conv"), F.col("conv_id").cast("string"), F.lit(".py")).alias("path"),
-                   F.col("content"),
+    """`conversations` as Python files of project 'chat': one file per turn,
+    `conv<id>/turn<k>.py` = '# role' line + text (a projection; no grouping)."""
+    c = read_text_table(spark, sf_dir, "conversations", "conv_id").select("conv_id", "turn", "role", "text")
+    raw = c.select(F.lit("chat").alias("project"),
+                   F.concat(F.lit("conv"), F.col("conv_id").cast("string"), F.lit("/turn"),
+                            F.col("turn").cast("string"), F.lit(".py")).alias("path"),
+                   F.concat(F.lit("# "), F.col("role"), F.lit("\n"), F.col("text")).alias("content"),
                    F.timestamp_add("SECOND", F.col("conv_id"),
                                    F.lit("2024-01-01 00:00:00").cast("timestamp")).alias("mtime"))
     return finish_files(raw, cfg)

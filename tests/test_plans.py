@@ -170,3 +170,10 @@ def test_sessionize_equals_session_window(spark):
     a = L.sessionize(ev).collect()
     b = L.sessionize_window(ev).collect()
     assert sorted(a) == sorted(b) and len(a) > 0
+
+
+def test_truncate_cuts_bytes_and_repairs(spark):
+    from linewise.sources.corpus import truncate_content
+    df = spark.createDataFrame([("aéb",), ("abc",)], "c string")
+    got = [r[0] for r in df.select(truncate_content(F.col("c"), 2)).collect()]
+    assert got == ["a�", "ab"]
