@@ -145,3 +145,25 @@ def test_join_rules_equals_literal_projection(spark):
     a = apply_rules(ln).select("key").collect()
     b = join_rules(ln, rules_frame(spark, rs)).select("key").collect()
     assert sorted(a) == sorted(b) and len(a) > 0
+
+
+def test_prefilter_is_necessary():
+    """Every regex match contains one of the rule's prefilter literals."""
+    import random
+    from linewise.operators.rules import PREFILTER
+    random.seed(11)
+    pieces = ["password", "passwd", "secret", "api_key", "token", " = ", '"', "'", "abcd1234", "eval", "exec", "(",
+              ")", "md5", "sha1", "des", "rc4", "ecb", "select", " * from ", "insert into", "update x", "delete from",
+              "+", "system", "popen", "os.system", "subprocess.call", "catch", "{", "}", "todo", "fixme", "hack",
+              "xxx", "/etc/", "/var/x", "/a/b.js", "c:\\\\x", "rand", "math.random", "random.random",
+              "-----BEGIN RSA ", "AKIA" + "A" * 16, "Bearer " + "a" * 21 + ".b", "#include <windows.h>",
+              "#include <unistd.h>", "DWORD", "WORD", "HANDLE", "LPCTSTR", "Sleep(1", "fork()", '"C:\\"',
+              "MAX_PATH", "x.innerHTML = a + b", "../", "..\\\\", "printf(fmt", "f(x)->y", "for (i=0; i<v.size(); ",
+              "// if", "goto", "malloc(", "while (n--)", " ", "é", "x"]
+    for r in CATALOGUE:
+        rx = re.compile(java_regex(r.pattern))
+        lits = PREFILTER[r.id]
+        for _ in range(3000):
+            t = "".join(random.choice(pieces) for _ in range(random.randint(1, 6)))
+            if rx.search(t):
+                assert any(lit in t for lit in lits), (r.id, t)
