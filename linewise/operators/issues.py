@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from linewise import fixed
-from linewise.functions.text import severity_rank
 from linewise.operators.rules import platform_bucket
 
 STATUS_SCHEMA = T.StructType([T.StructField("key", T.StringType()), T.StructField("status", T.StringType()),
@@ -70,10 +69,6 @@ def source_preview(issues: DataFrame, lines: DataFrame, context: int = 4) -> Dat
                                   "\n").alias("preview")))
 
 
-def scan_order(issues: DataFrame) -> list:
-    return [F.col("path"), F.col("line"), F.col("rule_ord")]
-
-
 def platform_counts(issues: DataFrame) -> DataFrame:
     return (issues.withColumn("bucket", platform_bucket(F.col("rule_id")))
                   .groupBy("project", "bucket").agg(F.count("*").alias("issues")))
@@ -125,7 +120,3 @@ def new_critical_issues(current: DataFrame, previous: DataFrame) -> DataFrame:
     (rule_id, path, snippet)."""
     prev = previous.filter(F.col("severity") == "critical").select("rule_id", "path", "snippet").distinct()
     return current.filter(F.col("severity") == "critical").join(prev, ["rule_id", "path", "snippet"], "left_anti")
-
-
-def by_severity_rank(issues: DataFrame) -> DataFrame:
-    return issues.withColumn("sev_rank", severity_rank(F.col("severity")))

@@ -12,9 +12,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from linewise.config import GateConfig, ScanConfig, ScoreConfig
+from linewise.config import GateConfig, ScanConfig
 from linewise.functions import text as T
-from linewise.functions.lang import decision_points, function_count_raw
+from linewise.functions.lang import decision_points
 from linewise.operators import deps, duplicates, health, licenses, lines, metrics, rules
 from linewise.plans.analyze import Analysis
 from linewise.sources import corpus

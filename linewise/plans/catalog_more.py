@@ -277,20 +277,15 @@ def q_stream_latest_file(spark, sf):
     from linewise.streaming import jobs as S
     prev, cur = FX.listings(spark, sf)
     table = _run_stream(spark, "latest", prev.unionByName(cur), S.latest_file)
-    t = _read_latest(spark, table)
+    t = S.read_versioned(spark, table)
     return t.select("project", "path", iso_ts(F.col("mtime")).alias("mtime"))
 
 
-def _read_latest(spark, table):
-    v = spark.read.json(f"{table}/_current").collect()[0]["version"]   # one small row
-    return spark.read.parquet(f"{table}/v{v}")
-
-
 @query("stream_status_upsert")
 def q_stream_status_upsert(spark, sf):
     from linewise.streaming import jobs as S
     table = _run_stream(spark, "status", FX.issue_status_log(spark, sf), S.status_upsert)
-    return _read_latest(spark, table).select("key", "status", "note")
+    return S.read_versioned(spark, table).select("key", "status", "note")
 
 
 @query("stream_grade_alert")

@@ -50,13 +50,6 @@ def languages_dim(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, "ext string, language string")
 
 
-def languages_summary(spark: SparkSession) -> DataFrame:
-    """languages_dim grouped back: language, sorted extensions, count."""
-    return (languages_dim(spark).groupBy("language")
-            .agg(F.array_join(F.sort_array(F.collect_list("ext")), ",").alias("extensions"),
-                 F.count("*").alias("n_extensions")))
-
-
 def extension_of(path: Column) -> Column:
     """Lower-cased final extension of the base name; a leading-dot file
     ('.bashrc') has none."""

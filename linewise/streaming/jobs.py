@@ -138,6 +138,7 @@ def latest_file(spark: SparkSession, listing_path: str, schema, table: str, ckpt
 
 
 def read_versioned(spark: SparkSession, table: str) -> DataFrame:
+    """Current version of a versioned upsert table (reads one small row)."""
     v = spark.read.json(f"{table}/_current").collect()[0]["version"]
     return spark.read.parquet(f"{table}/v{v}")
 
