@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from linewise.llm import op7_bpe
+from linewise.llm import op6_quality, op7_bpe, op8_language
 
 QUERIES = {
+    "op6_quality": op6_quality.query,
     "op7_bpe": op7_bpe.query,
+    "op8_language": op8_language.query,
 }
 
 SQL: dict[str, str] = {}
