@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from linewise.llm import op6_quality, op7_bpe, op8_language
+from linewise.llm import op3_token_counts, op5_toxicity, op6_quality, op7_bpe, op8_language
 
 QUERIES = {
+    "op3_token_counts": op3_token_counts.query,
+    "op5_toxicity": op5_toxicity.query,
     "op6_quality": op6_quality.query,
     "op7_bpe": op7_bpe.query,
     "op8_language": op8_language.query,
