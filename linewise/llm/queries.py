@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from linewise.llm import op3_token_counts, op5_toxicity, op6_quality, op7_bpe, op8_language
+from linewise.llm import op3_token_counts, op5_toxicity, op6_quality, op7_bpe, op8_language, op9_pii
 
 QUERIES = {
     "op3_token_counts": op3_token_counts.query,
@@ -10,6 +10,7 @@ QUERIES = {
     "op6_quality": op6_quality.query,
     "op7_bpe": op7_bpe.query,
     "op8_language": op8_language.query,
+    "op9_pii": op9_pii.query,
 }
 
 SQL: dict[str, str] = {}
