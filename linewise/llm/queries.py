@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from linewise.llm import op1_decontaminate, op3_token_counts, op4_jaccard, op5_toxicity, op6_quality, op7_bpe, op8_language, op9_pii
+from linewise.llm import op1_decontaminate, op10_neardup, op3_token_counts, op4_jaccard, op5_toxicity, op6_quality, op7_bpe, op8_language, op9_pii
 
 QUERIES = {
     "op1_decontaminate": op1_decontaminate.query,
@@ -13,6 +13,7 @@ QUERIES = {
     "op7_bpe": op7_bpe.query,
     "op8_language": op8_language.query,
     "op9_pii": op9_pii.query,
+    "op10_neardup": op10_neardup.query,
 }
 
 SQL: dict[str, str] = {}
