@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from linewise.llm import op1_decontaminate, op10_neardup, op3_token_counts, op4_jaccard, op5_toxicity, op6_quality, op7_bpe, op8_language, op9_pii
+from linewise.llm import op1_decontaminate, op10_neardup, op2_lm, op3_token_counts, op4_jaccard, op5_toxicity, op6_quality, op7_bpe, op8_language, op9_pii
 
 QUERIES = {
     "op1_decontaminate": op1_decontaminate.query,
+    "op2_lm": op2_lm.query,
     "op3_token_counts": op3_token_counts.query,
     "op4_jaccard": op4_jaccard.query,
     "op5_toxicity": op5_toxicity.query,
