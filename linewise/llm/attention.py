@@ -13,7 +13,7 @@ import heapq
 
 import numpy as np
 
-WIDTH, HIDDEN, WINDOW, STRIDE = 16, 32, 32, 26
+WIDTH, HIDDEN, WINDOW, STRIDE = 16, 32, 32, 28
 TOP = 64
 _NAMES = ("emb", "pos", "wq", "wk", "wv", "wo", "w1", "b1", "w2", "node", "bias")
 
@@ -153,7 +153,7 @@ class Attention:
         g["emb"] = _sums(ids.ravel(), two(dx), len(p["emb"]))
         return float(loss), g
 
-    def train(self, windows: np.ndarray, counts: np.ndarray, rate: float, batch: int = 128) -> None:
+    def train(self, windows: np.ndarray, counts: np.ndarray, rate: float, batch: int = 24) -> None:
         """One pass of Adam over windows (rows, WINDOW + 1) in the order given."""
         one = {k: np.zeros_like(v) for k, v in self.p.items()}
         two = {k: np.zeros_like(v) for k, v in self.p.items()}

@@ -3,17 +3,16 @@
 Words are cut into subwords by the first VOCABULARY ranks of a public byte-
 level vocabulary; `attention.Attention` gives each subword's probability from
 overlapping context windows, and a word's is the product of its subwords'.
-The text's score backs off from words to that model by absolute discounting:
+The text's score mixes that with the smoothed frequency of known words:
 
-    p(word) = max(c - D, 0) / N + D V / N * p_attention(word | its context)
+    p(word) = MIX * [c > 0] (c + 0.5) / (N + 0.5 (V + 1)) + (1 - MIX) * p_attention(word | its context)
 
-with the corpus counts c, N, V of all training tokens, so a frequent word keeps
-its frequency and rare and unseen words get what the model makes of them.
-`attention_score` is the model's probability alone.
+with the counts c, N, V of all training tokens.  `attention_score` is the
+attention model's log probability alone.
 
 All counts cover all training documents.  The attention model is trained on a
 fixed share of them (TRAIN_SHARE, or as many as hold LEAST_TOKENS ids where
-that is more), so training grows with the corpus too: every partition of the
+that is more; few windows are passed over several times), so training grows with the corpus too: every partition of the
 windows trains a copy for a part of a round, and the copies are averaged, block
 by block, in Spark; only the average comes to the driver.
 
@@ -43,8 +42,8 @@ from pyspark.sql import functions as F
 from linewise.llm.attention import WINDOW, Attention
 from linewise.llm.common import Bounded, crc_mod, read, words_of, written
 
-VOCABULARY, HOT, DISCOUNT = 16_384, 4096, 0.75
-TRAIN_SHARE, LEAST_TOKENS, RATES, BLOCKS = 1 / 64, 3_000_000, (0.02, 0.01, 0.005), 32
+VOCABULARY, HOT, MIX = 2048, 65_536, 0.35
+TRAIN_SHARE, LEAST_TOKENS, RATES, BLOCKS = 1 / 32, 8_000_000, (0.012, 0.008, 0.004, 0.002), 32
 MEMO_WORDS, FLUSH_WORDS = 300_000, 400_000
 
 
@@ -164,7 +163,7 @@ def train_model(windows: DataFrame, counts: np.ndarray, rates=RATES, least: int
     passes = min(4, max(1, least // (n * WINDOW))) if all_of else 1
     slots = max(1, min(spark.sparkContext.defaultParallelism, n // 2000))
     rows = windows.withColumn("part", F.pmod(F.xxhash64("ids"), F.lit(rounds)))
-    if windows.sparkSession.sparkContext and slots > 1 and all_of:
+    if slots > 1 and all_of:
         rows = rows.repartition(slots, F.xxhash64("ids"))
     end = len(counts) - 1
     for r, rate in enumerate(rates):
@@ -250,9 +249,9 @@ def score(docs: DataFrame, training: Column, rates=RATES, share: float = TRAIN_S
     joined = rows.join(cold, "h", "left")
     c = F.coalesce(F.col("c"), F.lit(0))
     word = F.col("lp").isNotNull()
-    p = F.greatest(c - DISCOUNT, F.lit(0.0)) / max(total, 1) + backoff(total, kinds) * F.pow(F.lit(10.0), "lp")
+    p = F.when(c > 0, MIX * (c + 0.5) / (total + 0.5 * (kinds + 1))).otherwise(0.0) + (1 - MIX) * F.pow(F.lit(10.0), "lp")
     # below the smallest double only the model's part is left
-    logp = F.when(p > 0, F.log10(p)).otherwise(F.col("lp") + math.log10(backoff(total, kinds)))
+    logp = F.when(p > 0, F.log10(p)).otherwise(F.col("lp") + math.log10(1 - MIX))
     out = joined.groupBy("uid").agg(
         F.max("doc_id").alias("doc_id"), F.max("n_tokens").alias("n_tokens"),
         (F.max("known") + F.sum(F.when(word & (c > 0), 1).otherwise(0))).alias("n_known"),
@@ -262,20 +261,13 @@ def score(docs: DataFrame, training: Column, rates=RATES, share: float = TRAIN_S
     return out.drop("uid")
 
 
-def backoff(total: int, kinds: int) -> float:
-    """The probability left for the attention model."""
-    return DISCOUNT * kinds / total if total else 1.0
-
-
 def emitted(uid, doc, words: list[list[bytes]], lp: np.ndarray, hot: dict, ends: int, total: int, kinds: int) -> pa.RecordBatch:
     """One row for every word whose count the join must bring, and one per text
     with all that is known already (null word columns; its hash is spread)."""
-    left = backoff(total, kinds)
 
     def logp(c: np.ndarray, x: np.ndarray) -> np.ndarray:
-        with np.errstate(divide="ignore"):
-            p = np.maximum(c - DISCOUNT, 0) / max(total, 1) + left * 10.0 ** x
-            return np.where(p > 0, np.log10(np.where(p > 0, p, 1)), x + math.log10(left))
+        p = np.where(c > 0, MIX * (c + 0.5) / (total + 0.5 * (kinds + 1)), 0.0) + (1 - MIX) * 10.0 ** x
+        return np.where(p > 0, np.log10(np.where(p > 0, p, 1)), x + math.log10(1 - MIX))
 
     n = len(words)
     length = np.fromiter(map(len, words), np.int64, n)
