@@ -9,10 +9,10 @@ from linewise import fixed
 
 @dataclass(frozen=True)
 class ScanConfig:
-    max_file_bytes: int = 4 * 1024 * 1024
+    max_file_bytes: int = 0              # 0: files are never cut; else cut there and flagged `truncated`
     duplication_block_lines: int = 6
     long_line_columns: int = 120
-    max_rule_line_length: int = 2000
+    max_rule_line_length: int = 0        # 0: rules see every line; else longer lines get none
     excludes: tuple[str, ...] = tuple(fixed.DEFAULT_EXCLUDES)
     # Inline suppression marker: a line containing it and a rule id skips that rule.
     suppress_marker: str = "analyzer-suppress"

@@ -191,11 +191,11 @@ RULES: list[tuple[int, str, str, str, str, str, int, bool, str]] = [
      r"""(^|[^.\w/])(system|popen)\s*\(\s*[^"'L]|\bos\.system\s*\(\s*[^"']|\bsubprocess\.call\s*\(\s*[^"'\[]"""),
     (7, "ROB-EMPTY-CATCH", "Empty or swallowed exception handler", "CWE-1069", "major", "robustness", 15, True,
      r"""catch\s*\([^)]*\)\s*\{\s*\}"""),
-    (8, "ROB-TODO", "Unresolved TODO / FIXME / HACK marker", "-", "minor", "changeability", 10, True,
+    (8, "ROB-TODO", "Unresolved TODO / FIXME / HACK marker", "", "minor", "changeability", 10, True,
      r"""\b(todo|fixme|hack|xxx)\b"""),
-    (9, "EFF-SELECT-STAR", "SELECT * may fetch unused columns", "-", "minor", "efficiency", 10, True,
+    (9, "EFF-SELECT-STAR", "SELECT * may fetch unused columns", "", "minor", "efficiency", 10, True,
      r"""select\s+\*\s+from"""),
-    (10, "CHG-MAGIC-PATH", "Hardcoded absolute filesystem path", "-", "minor", "changeability", 10, True,
+    (10, "CHG-MAGIC-PATH", "Hardcoded absolute filesystem path", "", "minor", "changeability", 10, True,
      r"""(["'])((?:/(?:etc|usr|home|opt|tmp|root|srv|proc|sys|mnt)(?:/[^\s"']+)+|/var(?!/run/secrets/kubernetes\.io/)(?:/[^\s"']+)+)|(?:/(?!api/|metrics|docs/|\.well-known|dev/null|dev/std)[a-z0-9_.\-]+(?:/[a-z0-9_.\-]+)+\.[a-z0-9]{1,6})|(?:[a-z]:\\\\[^"'\s]+))\1"""),
     (11, "SEC-INSECURE-RANDOM", "Insecure or unseeded random source", "CWE-330", "minor", "security", 15, True,
      r"""\b(rand\s*\(|math\.random|random\.random)\b"""),
@@ -205,7 +205,7 @@ RULES: list[tuple[int, str, str, str, str, str, int, bool, str]] = [
      r"""AKIA[0-9A-Z]{16}"""),
     (14, "SEC-BEARER-TOKEN", "Possible bearer token or JWT literal in source", "CWE-798", "major", "security", 30, True,
      r"""Bearer\s+[A-Za-z0-9\-_]{20,}\.[A-Za-z0-9\-_]"""),
-    (15, "CHG-NO-LICENSE", "No SPDX license identifier or copyright notice", "-", "info", "transferability", 5, False,
+    (15, "CHG-NO-LICENSE", "No SPDX license identifier or copyright notice", "", "info", "transferability", 5, False,
      r"""SPDX-License-Identifier"""),
     (16, "MISRA-C-15-1", "goto statement used (MISRA-C Rule 15.1)", "CWE-1120", "major", "changeability", 20, False,
      r"""\bgoto\b"""),
@@ -239,11 +239,11 @@ RULES: list[tuple[int, str, str, str, str, str, int, bool, str]] = [
      r"""\b(printf|fprintf|sprintf|snprintf)\s*\(\s*[a-zA-Z_]"""),
     (31, "ROB-NULL-DEREF", "Pointer dereference via -> without visible null check", "CWE-476", "major", "robustness", 20, True,
      r"""\w+\s*\([^)]*\)\s*->"""),
-    (32, "EFF-LOOP-INVARIANT", "size()/length() in loop condition -- hoist out of loop", "-", "minor", "efficiency", 10, True,
+    (32, "EFF-LOOP-INVARIANT", "size()/length() in loop condition -- hoist out of loop", "", "minor", "efficiency", 10, True,
      r"""for\s*\([^;]*;\s*[a-zA-Z_][a-zA-Z0-9_]*\.(size|length|count|len)\s*\(\s*\)\s*[<>;]"""),
-    (33, "TRN-COMMENTED-CODE", "Commented-out code block (reduces readability and transferability)", "-", "minor", "transferability", 5, True,
+    (33, "TRN-COMMENTED-CODE", "Commented-out code block (reduces readability and transferability)", "", "minor", "transferability", 5, True,
      r"""//\s*(if|for|while|switch|return|int|void|auto|const)\b"""),
-    (34, "MISRA-C-14-4", "Non-boolean loop condition (MISRA-C 14.4)", "-", "minor", "robustness", 10, False,
+    (34, "MISRA-C-14-4", "Non-boolean loop condition (MISRA-C 14.4)", "", "minor", "robustness", 10, False,
      r"""while\s*\(\s*(--[a-zA-Z_]|[a-zA-Z_][a-zA-Z0-9_]*--)\s*\)"""),
     (35, "CERT-MEM35-C", "sizeof(ptr) used where sizeof(*ptr) intended (CERT MEM35-C)", "CWE-131", "major", "robustness", 30, False,
      r"""malloc\s*\(\s*sizeof\s*\(\s*[a-zA-Z_][a-zA-Z0-9_]*\s*\*\s*\)"""),

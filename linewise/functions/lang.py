@@ -93,7 +93,8 @@ def function_count_raw(content: Column, language: Column) -> Column:
     table = {}
     for lang, kws in fixed.FUNCTION_KEYWORDS.items():
         if lang == "D":
-            continue           # C-family form
+            table[lang] = F.lit(0).cast("long")  # counted as none: a file with code has one
+            continue
         val = count_keywords(content, kws)
         if lang in fixed.FUNCTION_BONUS:
             val = val + F.lit(fixed.FUNCTION_BONUS[lang])

@@ -187,7 +187,7 @@ def strip_cr(col: Column) -> Column:
 
 def ltrim_ws(col: Column) -> Column:
     """Remove leading spaces and tabs only."""
-    return F.regexp_replace(col, r"^[ \t]+", "")
+    return F.ltrim(col, F.lit(" \t"))
 
 
 def is_blank(col: Column) -> Column:
@@ -196,7 +196,7 @@ def is_blank(col: Column) -> Column:
 
 def normalize_line(col: Column) -> Column:
     """Collapse space/tab/CR runs to one space; trim both ends."""
-    return F.regexp_replace(F.regexp_replace(col, r"[ \t\r]+", " "), r"^ | $", "")
+    return F.regexp_replace(F.regexp_replace(col, r"[ \t\r]+", " "), r"^ | \z", "")
 
 
 def snippet(col: Column, n: int = 160) -> Column:
@@ -206,16 +206,18 @@ def snippet(col: Column, n: int = 160) -> Column:
 def spdx_of_line(col: Column) -> Column:
     """Text after 'SPDX-License-Identifier:' (ASCII case-insensitive) with
     leading blanks and trailing space, CR, LF, '*' and '/' removed; '' if none."""
-    raw = F.regexp_extract(col, r"(?i)SPDX-LICENSE-IDENTIFIER:[ \t]*(.*)", 1)
-    return F.regexp_replace(raw, r"[\r\n */]+$", "")
+    raw = F.regexp_extract(col, r"(?i)SPDX-LICENSE-IDENTIFIER:[ \t]*([^\n]*)", 1)
+    return F.regexp_replace(raw, r"[\r\n */]+\z", "")
 
 
 def has_copyright(col: Column) -> Column:
-    return F.regexp_like(col, F.lit(r"(?i)(COPYRIGHT|@LICENSE|@COPYRIGHT)"))
+    up = F.upper(col)
+    return F.contains(up, F.lit("COPYRIGHT")) | F.contains(up, F.lit("@LICENSE"))
 
 
-def issue_key(rule_id: Column, path: Column, line: Column) -> Column:
-    return F.concat_ws(":", rule_id, path, line.cast("string"))
+def issue_key(project: Column, rule_id: Column, path: Column, line: Column) -> Column:
+    """Identity of an issue: projects share one table, so the project is part of it."""
+    return F.concat_ws(":", project, rule_id, path, line.cast("string"))
 
 
 def iso_ts(col: Column) -> Column:

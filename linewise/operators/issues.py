@@ -36,9 +36,11 @@ def status_rejected(status: DataFrame) -> DataFrame:
 
 
 def latest_status(status: DataFrame) -> DataFrame:
-    """Last write per key wins: a max_by aggregate (partial aggregation, no
-    per-key sort)."""
-    latest = F.max_by(F.struct("status", "note", "updated_at"), "updated_at")
+    """Last write per key wins: a max aggregate (partial aggregation, no
+    per-key sort).  A write without a time counts as the oldest; of writes with
+    one time the greater (status, note) wins, so the result is fixed."""
+    at = F.coalesce("updated_at", F.lit("0001-01-01 00:00:00").cast("timestamp"))
+    latest = F.max(F.struct(at.alias("at"), "status", "note", "updated_at"))
     return (status.groupBy("key").agg(latest.alias("s"))
                   .select("key", "s.status", "s.note", "s.updated_at"))
 
@@ -117,6 +119,7 @@ def report_digest(report: DataFrame, issues: DataFrame, n: int = 15) -> DataFram
 
 def new_critical_issues(current: DataFrame, previous: DataFrame) -> DataFrame:
     """Critical issues of this scan absent from the previous scan, matched on
-    (rule_id, path, snippet)."""
-    prev = previous.filter(F.col("severity") == "critical").select("rule_id", "path", "snippet").distinct()
-    return current.filter(F.col("severity") == "critical").join(prev, ["rule_id", "path", "snippet"], "left_anti")
+    project, rule, path and the hash of the whole line."""
+    same = ["project", "rule_id", "path", "line_hash"]
+    prev = previous.filter(F.col("severity") == "critical").select(*same).distinct()
+    return current.filter(F.col("severity") == "critical").join(prev, same, "left_anti")

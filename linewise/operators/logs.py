@@ -17,7 +17,7 @@ def log_recent(logs: DataFrame, min_level: str = "info", limit: int = 200) -> Da
     df = logs.filter(lv >= log_level_rank(F.lit(min_level)))
     if limit:
         df = df.orderBy(F.desc("timestamp"), F.desc("event_id")).limit(limit)
-    return df
+    return df.orderBy("timestamp", "event_id")
 
 
 def sessionize(events: DataFrame, gap: str = "60 minutes", key: str = "user_id", ts: str = "ts",
@@ -36,7 +36,7 @@ def sessionize(events: DataFrame, gap: str = "60 minutes", key: str = "user_id",
     # a constant tie-breaker keeps the labels deterministic.
     ev = events.select(F.col(key).alias("user_id"), F.col(ts).alias("ts"),
                        F.lit(0).cast("long").alias("event_id"), F.lit(False).alias("ok"))
-    seg = throttle_segments(ev, gap_s, bucket_s)
+    seg = throttle_segments(ev, gap_s, bucket_s, exact=True)
     out = (seg.groupBy("user_id", "seg").agg(F.min("ts").alias("session_start"), F.max("ts").alias("_last"),
                                             F.count("*").alias("events"))
               .select(F.col("user_id").alias(key), "session_start",
@@ -78,14 +78,16 @@ def _throttle_segment(max_attempts: int, window_s: int):
     return run
 
 
-def throttle_segments(attempts: DataFrame, window_s: int = 60, bucket_s: int = 3600) -> DataFrame:
+def throttle_segments(attempts: DataFrame, window_s: int = 60, bucket_s: int = 3600,
+                      exact: bool = False) -> DataFrame:
     """attempts + seg (struct of the segment's first (ts, event_id)).
 
     A new segment starts at a user's first attempt or after a gap >= window.
     Hot-key safe: the ordered work is partitioned by (user, time bucket);
     only one row per (user, bucket) is ordered per user to stitch bucket
     boundaries (previous bucket's last attempt, last segment start carried
-    forward)."""
+    forward).  Gaps are taken from whole seconds, as the throttle's clock
+    counts, or exactly, in microseconds."""
     secs = F.unix_timestamp("ts")
     a = attempts.withColumn("bucket", F.floor(secs / bucket_s))
     wb = Window.partitionBy("user_id", "bucket").orderBy("ts", "event_id")
@@ -95,7 +97,8 @@ def throttle_segments(attempts: DataFrame, window_s: int = 60, bucket_s: int = 3
     per_bucket = per_bucket.withColumn("_prev_last", F.lag("_last").over(wu))
     a = a.join(per_bucket.select("user_id", "bucket", "_prev_last"), ["user_id", "bucket"])
     prev = F.coalesce(F.col("_prev"), F.col("_prev_last"))
-    a = a.withColumn("_new", prev.isNull() | ((secs - F.unix_timestamp(prev)) >= window_s))
+    gap = (F.unix_micros("ts") - F.unix_micros(prev)) / 1_000_000 if exact else secs - F.unix_timestamp(prev)
+    a = a.withColumn("_new", prev.isNull() | (gap >= window_s))
     start = F.when(F.col("_new"), F.struct("ts", "event_id"))
     a = a.withColumn("_in", F.last(start, ignorenulls=True).over(wb.rowsBetween(Window.unboundedPreceding, 0)))
     starts = a.groupBy("user_id", "bucket").agg(F.max(start).alias("_bucket_start"))

@@ -78,8 +78,13 @@ PREFILTER: dict[str, list[str]] = {
 }
 
 
+_SHIPPED = {r.id: r.pattern for r in CATALOGUE}
+
+
 def prefilter(r: Rule, text: Column, cfg: ScanConfig) -> Column:
-    lits = PREFILTER.get(r.id)
+    """The literals belong to the shipped pattern: a user's rule that reuses
+    an id with another pattern has none."""
+    lits = PREFILTER.get(r.id) if _SHIPPED.get(r.id) == r.pattern else None
     if not lits or cfg.case_insensitive_rules:
         return F.lit(True)
     out = None
@@ -92,22 +97,44 @@ def prefilter(r: Rule, text: Column, cfg: ScanConfig) -> Column:
 def select_rules(cfg: ScanConfig = ScanConfig(), rules: list[Rule] | None = None) -> list[Rule]:
     """Enabled rules (disabled ones are defined but not applied), optionally
     restricted to cfg.rule_ids; patterns that java.util.regex rejects are
-    dropped, as malformed patterns are."""
-    import re as _re
+    dropped (see rejected_rules)."""
     out = []
     for r in rules or CATALOGUE:
         if not r.enabled:
             continue
         if cfg.rule_ids is not None and r.id not in cfg.rule_ids:
             continue
-        try:
-            _re.compile(java_regex(r.pattern))
-        except _re.error:
-            continue
-        out.append(r)
+        if pattern_error(java_regex(r.pattern, cfg.case_insensitive_rules)) is None:
+            out.append(r)
     return out
 
 
+def pattern_error(pattern: str) -> str | None:
+    """What java.util.regex, which will run the pattern, says against it."""
+    from py4j.protocol import Py4JJavaError
+    from pyspark import SparkContext
+    context = SparkContext._active_spark_context
+    if context is None:  # no JVM yet: nothing to judge by
+        return None
+    try:
+        context._jvm.java.util.regex.Pattern.compile(pattern)
+    except Py4JJavaError as e:
+        return str(e.java_exception.getMessage())
+    return None
+
+
+def rejected_rules(rules: list[Rule]) -> list[tuple[str, str]]:
+    """(rule id, reason) of every rule whose pattern cannot be compiled."""
+    found = ((r.id, pattern_error(java_regex(r.pattern))) for r in rules)
+    return [(i, e) for i, e in found if e is not None]
+
+
+def rule_lines(lines: DataFrame, cfg: ScanConfig) -> DataFrame:
+    """The lines that rules see: all, unless the configuration sets a limit."""
+    cut = cfg.max_rule_line_length
+    return lines.filter(F.octet_length("text") <= cut) if cut else lines
+
+
 def rules_frame(spark: SparkSession, rules: list[Rule] | None = None) -> DataFrame:
     rows = [(r.ord, r.id, r.title, r.cwe, r.severity, r.factor, r.minutes, r.enabled, r.pattern)
             for r in (rules or CATALOGUE)]
@@ -125,20 +152,20 @@ def _hit(r: Rule, text: Column, cfg: ScanConfig) -> Column:
 
 
 ISSUE_COLUMNS = ["project", "path", "line", "rule_ord", "rule_id", "title", "cwe", "severity", "factor",
-                 "remediation_minutes", "snippet", "key"]
+                 "remediation_minutes", "snippet", "line_hash", "key"]
 
 
 def apply_rules(lines: DataFrame, cfg: ScanConfig = ScanConfig(), rules: list[Rule] | None = None) -> DataFrame:
     """lines -> candidate issues (before platform-guard suppression).
-    At most one issue per (line, rule); lines longer than the rule-line cap
-    are skipped before any regex runs."""
+    At most one issue per (line, rule)."""
     rs = select_rules(cfg, rules)
     text = F.col("text")
-    guarded = lines.filter(F.octet_length(text) <= cfg.max_rule_line_length)
+    guarded = rule_lines(lines, cfg)
     hits = F.array_compact(F.array(*[_hit(r, text, cfg) for r in rs]))
     df = guarded.select("project", "path", F.col("n").alias("line"), "text", F.explode(hits).alias("r"))
     return df.select("project", "path", "line", "r.*", snippet(text).alias("snippet"),
-                     issue_key(F.col("r.rule_id"), F.col("path"), F.col("line")).alias("key"))
+                     F.xxhash64(text).alias("line_hash"),
+                     issue_key(F.col("project"), F.col("r.rule_id"), F.col("path"), F.col("line")).alias("key"))
 
 
 def join_rules(lines: DataFrame, rules_df: DataFrame, cfg: ScanConfig = ScanConfig()) -> DataFrame:
@@ -146,12 +173,13 @@ def join_rules(lines: DataFrame, rules_df: DataFrame, cfg: ScanConfig = ScanConf
     the (small, broadcast) enabled rules on `text rlike pattern`.  The
     catalogue form `apply_rules` is preferred: its patterns are literals."""
     enabled = rules_df.filter("enabled").withColumn("jpattern", F.col("pattern"))
-    guarded = lines.filter(F.octet_length("text") <= cfg.max_rule_line_length)
+    guarded = rule_lines(lines, cfg)
     j = guarded.join(F.broadcast(enabled), F.expr("text rlike jpattern"), "inner")
     j = j.filter(~(F.contains("text", F.lit(cfg.suppress_marker)) & F.contains("text", F.col("rule_id"))))
     return j.select("project", "path", F.col("n").alias("line"), "rule_ord", "rule_id", "title", "cwe", "severity",
                     "factor", "remediation_minutes", snippet(F.col("text")).alias("snippet"),
-                    issue_key(F.col("rule_id"), F.col("path"), F.col("n")).alias("key"))
+                    F.xxhash64("text").alias("line_hash"),
+                    issue_key(F.col("project"), F.col("rule_id"), F.col("path"), F.col("n")).alias("key"))
 
 
 # ------------------------------------------------------------------ guards
@@ -165,7 +193,7 @@ LAST_LINE = 2**31 - 1
 def directive_lines(lines: DataFrame) -> DataFrame:
     """Lines whose first non-blank character is '#': (project, path, n, d)
     with d = text after '#', left-trimmed."""
-    d = F.regexp_extract("text", r"^[ \t]*#[ \t]*(.*)$", 1)
+    d = F.regexp_extract("text", r"(?s)^[ \t]*#[ \t]*(.*)\z", 1)
     return (lines.filter(F.col("text").rlike(r"^[ \t]*#"))
                  .select("project", "path", "n", d.alias("d")))
 

@@ -53,7 +53,7 @@ class Analysis:
     def candidate_issues(self) -> DataFrame:
         if self.materialized:
             i = self.facts.select("project", "path", F.explode("issues").alias("i")).select("project", "path", "i.*")
-            return i.withColumn("key", F.concat_ws(":", "rule_id", "path", F.col("line").cast("string")))
+            return i.withColumn("key", F.concat_ws(":", "project", "rule_id", "path", F.col("line").cast("string")))
         return rules.apply_rules(self.lines, self.cfg)
 
     @cached_property

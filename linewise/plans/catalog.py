@@ -58,14 +58,13 @@ def q_pages_as_files(spark, sf):
 
 @query("detect_language")
 def q_detect_language(spark, sf):
-    f = _files(spark, sf)
+    f = corpus.finish_files(corpus.documents_with_strays(spark, sf)).unionByName(corpus.pages_as_files(spark, sf))
     return f.groupBy("project", "language").agg(F.count("*").alias("files"), F.sum("size").cast("long").alias("bytes"))
 
 
 @query("scan_exclude")
 def q_scan_exclude(spark, sf):
-    raw = corpus.documents_raw(spark, sf)
-    return raw.filter(~corpus.exclude_filter(F.col("path"), ScanConfig().excludes)).select("project", "path")
+    return corpus.scan_exclude(corpus.documents_with_strays(spark, sf)).select("project", "path")
 
 
 @query("multi_project_sources")
@@ -220,10 +219,13 @@ def q_join_rules(spark, sf):
     return _issue_cols(rules.join_rules(a.lines, rdf))
 
 
+RULE_LINE_LIMIT = 2000  # the optional limit of this query; by default rules see every line
+
+
 @query("rule_line_guard")
 def q_rule_line_guard(spark, sf):
     ln = lines.explode_lines(_files(spark, sf))
-    return (ln.filter(F.octet_length("text") > ScanConfig().max_rule_line_length)
+    return (ln.filter(F.octet_length("text") > RULE_LINE_LIMIT)
               .groupBy("project").agg(F.count("*").alias("skipped_lines")))
 
 

@@ -7,6 +7,7 @@ import hashlib
 
 from pyspark.sql import functions as F
 
+from linewise.functions.text import clamp, severity_from
 from linewise.functions.text import iso_ts, project_label
 from linewise.operators import history as H
 from linewise.operators import issues as I
@@ -240,8 +241,7 @@ def q_sessionize(spark, sf):
 @query("burst_throttle")
 def q_burst_throttle(spark, sf):
     t = L.burst_throttle(FX.attempts(spark, sf), 5, 60)
-    return t.groupBy("user_id").agg(F.count("*").alias("attempts"), F.count_if("blocked").alias("blocked"),
-                                    F.count_if(~F.col("ok")).alias("failures"))
+    return t.select("user_id", "event_id", iso_ts(F.col("ts")).alias("ts"), "ok", "blocked")
 
 
 # ----------------------------------------------------------------- streaming
@@ -368,12 +368,27 @@ def q_iso_ts(spark, sf):
     return e.select("event_id", iso_ts(F.col("ts")).alias("ts"))
 
 
+@query("severity_from")
+def q_severity_from(spark, sf):
+    """Severities as a foreign tool may write them: unknown ones become info."""
+    e = FX.events_ts(spark, sf).select("event_type")
+    written = (F.when(F.col("event_type") == "error", "critical").when(F.col("event_type") == "purchase", "major")
+               .when(F.col("event_type") == "signup", "minor").otherwise(F.upper("event_type")))
+    return e.select(severity_from(written).alias("severity")).groupBy("severity").agg(F.count("*").alias("issues"))
+
+
+@query("clamp")
+def q_clamp(spark, sf):
+    """Scores below 0 and above 100 are brought to the ends of the scale."""
+    e = FX.events_ts(spark, sf)
+    return e.select("event_id", _r6(clamp(F.col("value") * 3 - 50)).alias("score"))
+
+
 def _alias(name, target):
     from linewise.plans.catalog import REGISTRY
     REGISTRY[name] = REGISTRY[target]
 
 
 for _n, _t in [("join_language", "detect_language"), ("join_technology", "technology_fold"),
-               ("distinct_sorted", "distinct_dependencies"), ("union_projects", "multi_project_sources"),
-               ("severity_from", "severity_counts"), ("clamp", "health_scores")]:
+               ("distinct_sorted", "distinct_dependencies"), ("union_projects", "multi_project_sources")]:
     _alias(_n, _t)

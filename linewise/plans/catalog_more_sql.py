@@ -9,9 +9,9 @@ from linewise.plans.oracle import DUP_CTES, METRIC_CTES, REPORT, RULE_CTES, TOTA
 ISO = "'%Y-%m-%dT%H:%M:%SZ'"
 STAT = lst(fixed.ISSUE_STATUSES)
 STATUS_CTES = f"""
-sl AS (SELECT path, n, CAST(regexp_extract(path, 'doc([0-9]+)\\.', 1) AS BIGINT) AS doc_id FROM lines
+sl AS (SELECT project, path, n, CAST(regexp_extract(path, 'doc([0-9]+)\\.', 1) AS BIGINT) AS doc_id FROM lines
        WHERE project <> 'web' AND text = 'password = "hunter2x"'),
-sl2 AS (SELECT *, concat_ws(':', 'SEC-HARDCODED-SECRET', path, CAST(n AS VARCHAR)) AS key,
+sl2 AS (SELECT *, concat_ws(':', project, 'SEC-HARDCODED-SECRET', path, CAST(n AS VARCHAR)) AS key,
                TIMESTAMP '2024-02-01 00:00:00' + to_minutes(CAST(n AS BIGINT)) AS t0 FROM sl WHERE doc_id % 3 = 0),
 slog AS (SELECT key, list_extract({STAT}, CAST((doc_id + n) % 4 AS INTEGER) + 1) AS status,
                 concat('review ', CAST(n AS VARCHAR)) AS note, t0 AS updated_at FROM sl2
@@ -89,19 +89,19 @@ SELECT source AS project, lang, {label("concat('C:/corpora/', source, ' (', lang
 FROM (SELECT DISTINCT source, lang FROM documents) d""")
 q("export_issues_csv", f"""
 SELECT severity, rule_id, cwe, path AS file, CAST(line AS BIGINT) AS line, title,
-       CAST(remediation_minutes AS BIGINT) AS remediation_minutes, {label('project')} AS label FROM issues""", RULE_CTES)
+       CAST(remediation_minutes AS BIGINT) AS remediation_minutes, {label('project')} AS label, project FROM issues""", RULE_CTES)
 q("export_report_json", f"SELECT project, issue_count, grade, {r6('tqi')} AS tqi, debt_minutes FROM graded", REPORT)
 MET = [("files_total", "file_count"), ("code_lines_total", "code_lines"), ("issues_total", "issue_count"),
        ("debt_minutes", "debt_minutes"), ("tqi", "tqi")]
 q("export_metrics_text", " UNION ALL ".join(
-    [f"SELECT project, 'code_analyzer_{m}' AS metric, '' AS labels, {r6(c)} AS value FROM graded" for m, c in MET] +
-    [f"SELECT project, 'code_analyzer_health', 'factor=\"{f}\"', {r6(f)} FROM graded" for f in fixed.FACTORS]), REPORT)
+    [f"SELECT project, 'linewise_{m}' AS metric, '' AS labels, {r6(c)} AS value FROM graded" for m, c in MET] +
+    [f"SELECT project, 'linewise_health', 'factor=\"{f}\"', {r6(f)} FROM graded" for f in fixed.FACTORS]), REPORT)
 q("new_critical_issues", """
 SELECT c.key, c.rule_id, c.path FROM issues c
 WHERE c.severity = 'critical' AND NOT EXISTS (
   SELECT 1 FROM issues p WHERE p.severity = 'critical'
     AND TRY_CAST(regexp_extract(p.path, 'doc([0-9]+)\\.', 1) AS BIGINT) % 7 <> 0
-    AND p.rule_id = c.rule_id AND p.path = c.path AND p.snippet = c.snippet)""", RULE_CTES)
+    AND p.project = c.project AND p.rule_id = c.rule_id AND p.path = c.path AND p.full_text = c.full_text)""", RULE_CTES)
 
 # ------------------------------------------------------------------ history
 SC = ScoreConfig()
@@ -204,8 +204,7 @@ FROM (SELECT project, path, n,
       FROM (SELECT *, TRY_CAST(regexp_extract(path, 'doc([0-9]+)\\.', 1) AS BIGINT) AS doc FROM lines
             WHERE project <> 'web') x) l
 JOIN {rules_values()} r ON regexp_matches(l.text, r.re2)
-WHERE strlen(l.text) <= {ScanConfig().max_rule_line_length}
-  AND NOT (contains(l.text, '{_M}') AND contains(l.text, r.rule_id))
+WHERE NOT (contains(l.text, '{_M}') AND contains(l.text, r.rule_id))
 GROUP BY l.project, r.rule_id""")
 q("issue_key", "SELECT key, rule_id, path, line FROM issues", RULE_CTES)
 q("log_level_from", """
@@ -213,7 +212,25 @@ SELECT lower(CASE WHEN event_type = 'error' THEN 'ERROR' WHEN event_type = 'sign
                   WHEN event_type = 'purchase' THEN 'INFO' ELSE 'DEBUG' END) AS level, count(*) AS entries
 FROM events GROUP BY 1""")
 q("iso_ts", f"SELECT event_id, strftime(ts, {ISO}) AS ts FROM events")
+q("severity_from", """
+SELECT CASE event_type WHEN 'error' THEN 'critical' WHEN 'purchase' THEN 'major' WHEN 'signup' THEN 'minor' ELSE 'info' END AS severity,
+       count(*) AS issues FROM events GROUP BY 1""")
+q("clamp", f"SELECT event_id, {r6('greatest(0.0, least(100.0, value * 3 - 50))')} AS score FROM events")
+# the throttle's automaton, one attempt after the other
+q("burst_throttle", f"""
+SELECT a.user_id, a.event_id, strftime(a.ts, {ISO}) AS ts, a.ok, t.blocked
+FROM att a JOIN thr t ON t.user_id = a.user_id AND t.rn = a.rn""", """
+att AS (SELECT user_id, event_id, ts, event_type = 'signup' AS ok, CAST(floor(epoch(ts)) AS BIGINT) AS sec,
+               row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn
+        FROM events WHERE event_type IN ('error', 'signup')),
+thr(user_id, rn, failures, since, blocked) AS (
+  SELECT DISTINCT user_id, CAST(0 AS BIGINT), CAST(0 AS BIGINT), CAST(NULL AS BIGINT), false FROM att
+  UNION ALL
+  SELECT user_id, rn, CASE WHEN b THEN f WHEN ok THEN 0 ELSE f + 1 END, CASE WHEN NOT b AND ok THEN NULL ELSE s END, b
+  FROM (SELECT x.*, x.f >= 5 AS b FROM (
+          SELECT t.user_id, a.rn, a.ok, CASE WHEN t.since IS NULL OR a.sec - t.since >= 60 THEN 0 ELSE t.failures END AS f,
+                 CASE WHEN t.since IS NULL OR a.sec - t.since >= 60 THEN a.sec ELSE t.since END AS s
+          FROM thr t JOIN att a ON a.user_id = t.user_id AND a.rn = t.rn + 1) x) y)""")
 for _n, _t in [("join_language", "detect_language"), ("join_technology", "technology_fold"),
-               ("distinct_sorted", "distinct_dependencies"), ("union_projects", "multi_project_sources"),
-               ("severity_from", "severity_counts"), ("clamp", "health_scores")]:
+               ("distinct_sorted", "distinct_dependencies"), ("union_projects", "multi_project_sources")]:
     SQL[_n] = SQL[_t]

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from linewise import fixed
 from linewise.functions.text import project_label
 
-METRIC_PREFIX = "code_analyzer"
+METRIC_PREFIX = "linewise"
 CSV_COLUMNS = ["severity", "rule_id", "cwe", "file", "line", "title", "remediation_minutes"]
 
 
@@ -47,8 +47,8 @@ def issues_csv_frame(issues: DataFrame) -> DataFrame:
 def export_issues_csv(issues: DataFrame, out: str, provenance: dict | None = None) -> None:
     """Header + RFC-4180 quoting; provenance goes to a sibling JSON file
     (written by Spark too, so nothing assumes a local file system)."""
-    (issues_csv_frame(issues).withColumn("label", project_label(F.col("project"))).drop("project")
-        .write.mode("overwrite").partitionBy("label")
+    (issues_csv_frame(issues).withColumn("label", project_label(F.col("project")))
+        .write.mode("overwrite").partitionBy("label", "project")
         .option("header", True).option("quote", '"').option("escape", '"').csv(f"{out}/issues_csv"))
     if provenance is not None:
         spark = issues.sparkSession
@@ -58,9 +58,10 @@ def export_issues_csv(issues: DataFrame, out: str, provenance: dict | None = Non
 
 def read_issues_csv(spark, out: str) -> DataFrame:
     schema = ("severity string, rule_id string, cwe string, file string, line long, title string, "
-              "remediation_minutes long, label string")
-    return (spark.read.schema(schema).option("header", True).option("quote", '"').option("escape", '"')
+              "remediation_minutes long, label string, project string")
+    back = (spark.read.schema(schema).option("header", True).option("quote", '"').option("escape", '"')
                  .csv(f"{out}/issues_csv"))
+    return back.withColumn("cwe", F.coalesce("cwe", F.lit("")))  # an empty field reads as null
 
 
 def metrics_rows(report: DataFrame, prefix: str = METRIC_PREFIX) -> DataFrame:

@@ -26,7 +26,7 @@ from linewise.operators.rules import _hit, select_rules
 from linewise.session import shared_path
 
 ISSUE_TYPE = ("array<struct<line:int,rule_ord:int,rule_id:string,title:string,cwe:string,severity:string,"
-              "factor:string,remediation_minutes:int,snippet:string>>")
+              "factor:string,remediation_minutes:int,snippet:string,line_hash:bigint>>")
 
 
 def _line_issues(lines, cfg: ScanConfig):
@@ -39,8 +39,10 @@ def _line_issues(lines, cfg: ScanConfig):
                                                     h["cwe"].alias("cwe"), h["severity"].alias("severity"),
                                                     h["factor"].alias("factor"),
                                                     h["remediation_minutes"].alias("remediation_minutes"),
-                                                    snippet(x).alias("snippet")))
-        return F.when(F.octet_length(x) <= cfg.max_rule_line_length, rows).otherwise(F.array().cast(ISSUE_TYPE))
+                                                    snippet(x).alias("snippet"),
+                                                    F.xxhash64(x).alias("line_hash")))
+        cut = cfg.max_rule_line_length
+        return F.when(F.octet_length(x) <= cut, rows).otherwise(F.array().cast(ISSUE_TYPE)) if cut else rows
 
     return F.flatten(F.transform(lines, per_line))
 
@@ -49,7 +51,7 @@ def _directives(lines):
     numbered = F.transform(lines, lambda x, i: F.struct((i + 1).alias("n"), x.alias("text")))
     kept = F.filter(numbered, lambda s: s["text"].rlike(r"^[ \t]*#"))
     return F.transform(kept, lambda s: F.struct(s["n"].alias("n"),
-                                                F.regexp_extract(s["text"], r"^[ \t]*#[ \t]*(.*)$", 1).alias("d")))
+                                                F.regexp_extract(s["text"], r"(?s)^[ \t]*#[ \t]*(.*)\z", 1).alias("d")))
 
 
 def file_facts(files: DataFrame, cfg: ScanConfig = ScanConfig()) -> DataFrame:

@@ -42,9 +42,13 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by spark.checkpoint.dir.
 
-    Only when the session has none (local tests) is a scratch folder set."""
+    A scratch folder is set only where the session has none and everything
+    runs in one process (tests, bench); on a cluster a missing setting is an
+    error, since no local folder is shared."""
     d = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not d:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         d = tempfile.mkdtemp(prefix="linewise-ckpt-")
         spark.conf.set("spark.checkpoint.dir", d)
     spark.sparkContext.setCheckpointDir(d)

@@ -93,17 +93,20 @@ def finish_files(raw: DataFrame, cfg: ScanConfig = ScanConfig()) -> DataFrame:
     """raw(project, path, content, mtime) -> canonical files frame."""
     df = scan_exclude(raw, cfg.excludes)
     df = detect_language(df)
+    if not cfg.max_file_bytes:
+        return df.withColumn("size", F.octet_length("content").cast("long")).select(*FILES_COLUMNS)
+    df = df.withColumn("truncated", F.octet_length("content") > cfg.max_file_bytes)
     df = df.withColumn("content", truncate_content(F.col("content"), cfg.max_file_bytes))
     df = df.withColumn("size", F.octet_length("content").cast("long"))
-    return df.select(*FILES_COLUMNS)
+    return df.select(*FILES_COLUMNS, "truncated")
 
 
 # ---------------------------------------------------------------- source tree
 def scan_source_tree(spark: SparkSession, root: str, project: str = "default",
                      cfg: ScanConfig = ScanConfig()) -> DataFrame:
     """Recursive walk of `root` (any Hadoop file system) -> files frame.
-    Excluded paths and unknown extensions are filtered on the listing columns
-    before the content column is decoded."""
+    Excluded paths and unknown extensions drop out before the content is
+    decoded; their bytes are still read, as the file source reads whole files."""
     root_uri = root.rstrip("/")
     df = (spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root_uri))
     # Relative POSIX path: strip everything up to and including the root folder.
@@ -113,10 +116,13 @@ def scan_source_tree(spark: SparkSession, root: str, project: str = "default",
                      F.col("modificationTime").alias("mtime"), F.col("content"), F.col("length")))
     raw = scan_exclude(raw, cfg.excludes)
     raw = detect_language(raw)
-    content = bytes_to_text(F.substring(F.col("content"), 1, cfg.max_file_bytes))
+    cut = cfg.max_file_bytes
+    if cut:
+        raw = raw.withColumn("truncated", F.octet_length("content") > cut)
+    content = bytes_to_text(F.substring(F.col("content"), 1, cut) if cut else F.col("content"))
     return (raw.withColumn("content", content)
                .withColumn("size", F.octet_length("content").cast("long"))
-               .select(*FILES_COLUMNS))
+               .select(*FILES_COLUMNS, *(["truncated"] if cut else [])))
 
 
 def _re_escape(s: str) -> str:
@@ -124,11 +130,10 @@ def _re_escape(s: str) -> str:
 
 
 def multi_project_sources(spark: SparkSession, projects: list[tuple[str, str]],
-                          cfg: ScanConfig = ScanConfig()) -> DataFrame:
-    """Union of per-root scans, `project` set from the configured name."""
-    if not projects:
-        raise ValueError("no projects")
-    frames = [scan_source_tree(spark, root, name, cfg) for name, root in projects]
+                          cfg: ScanConfig = ScanConfig(), root: str = ".") -> DataFrame:
+    """Union of per-root scans, `project` set from the configured name; where
+    none is configured, `root` as project `default`."""
+    frames = [scan_source_tree(spark, folder, name, cfg) for name, folder in projects or [("default", root)]]
     out = frames[0]
     for f in frames[1:]:
         out = out.unionByName(f)
@@ -136,32 +141,34 @@ def multi_project_sources(spark: SparkSession, projects: list[tuple[str, str]],
 
 
 # ---------------------------------------------------------------- driver tables
-CODIFY_EXTS = [".py", ".cpp", ".js", ".sql", ".java", ".go", ".hs", ".f90", ".cbl", ".erl", ".rs", ".txt"]
+CODIFY_EXTS = [".py", ".cpp", ".js", ".sql", ".java", ".go", ".hs", ".f90", ".cbl", ".erl", ".rs", ".ts"]
 CODIFY_DEPS = ["react", "numpy", "django", "boost/asio.hpp", "tokio", "kafka", "react-redux"]
 
 
 def _codify_line(doc_id: Column, line: Column, n: Column) -> Column:
-    """Deterministic pseudo-code rewrite of prose line n of a document."""
+    """Prose line n of a document with pseudo-code around it: every original
+    line stays, decorated or led by an inserted line of its own."""
+    led = lambda code: F.concat(code if not isinstance(code, str) else F.lit(code), F.lit("\n"), line)
     k = (doc_id * 7 + n * 3) % 19
     dep = F.element_at(F.array(*[F.lit(d) for d in CODIFY_DEPS]), ((doc_id + n) % 7 + 1).cast("int"))
-    return (F.when((n == 1) & (doc_id % 5 == 0), F.lit("// SPDX-License-Identifier: MIT"))
-            .when((n == 1) & (doc_id % 5 == 1), F.lit("// Copyright 2026 Example"))
+    return (F.when((n == 1) & (doc_id % 5 == 0), led("// SPDX-License-Identifier: MIT"))
+            .when((n == 1) & (doc_id % 5 == 1), led("// Copyright 2026 Example"))
             .when(k == 0, F.concat(F.lit("// "), line))
             .when(k == 1, F.concat(F.lit("/* "), line))
             .when(k == 2, F.concat(line, F.lit(" */")))
             .when(k == 3, F.concat(F.lit("# "), line))
             .when(k == 4, F.concat(F.lit("-- "), line))
             .when(k == 5, F.concat(F.lit("if (x) { "), line, F.lit(" }")))
-            .when(k == 6, F.concat(F.lit("import "), dep))
-            .when(k == 7, F.concat(F.lit("#include <"), dep, F.lit(">")))
-            .when(k == 8, F.lit("while (a && b) {"))
-            .when(k == 9, F.lit("}"))
-            .when(k == 10, F.lit('password = "hunter2x"'))
-            .when(k == 11, F.lit("select * from t"))
-            .when(k == 12, F.lit(""))
-            .when(k == 13, F.lit("#ifdef _WIN32"))
-            .when(k == 14, F.lit("#endif"))
-            .when(k == 15, F.lit("DWORD x = rand();"))
+            .when(k == 6, led(F.concat(F.lit("import "), dep)))
+            .when(k == 7, led(F.concat(F.lit("#include <"), dep, F.lit(">"))))
+            .when(k == 8, led("while (a && b) {"))
+            .when(k == 9, led("}"))
+            .when(k == 10, led('password = "hunter2x"'))
+            .when(k == 11, led("select * from t"))
+            .when(k == 12, led(""))
+            .when(k == 13, led("#ifdef _WIN32"))
+            .when(k == 14, led("#endif"))
+            .when(k == 15, led("DWORD x = rand();"))
             .otherwise(line))
 
 
@@ -171,16 +178,24 @@ def documents_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = read_text_table(spark, sf_dir, "documents", "doc_id").select("doc_id", "source", "text")
     doc_id = F.col("doc_id")
     ext = F.element_at(F.array(*[F.lit(e) for e in CODIFY_EXTS]), (doc_id % 12 + 1).cast("int"))
-    folder = F.when(doc_id % 10 == 9, F.lit("vendor")).otherwise(F.lit("src"))
     pieces = F.split(F.col("text"), "\n", -1)
     body = F.array_join(F.transform(pieces, lambda l, i: _codify_line(doc_id, l, i + 1)), "\n")
     content = F.concat(body, F.when(doc_id % 2 == 1, F.lit("\n")).otherwise(F.lit("")))
     mtime = F.timestamp_add("MINUTE", doc_id, F.lit("2024-01-01 00:00:00").cast("timestamp"))
     return d.select(F.col("source").alias("project"),
-                    F.concat(folder, F.lit("/doc"), doc_id.cast("string"), ext).alias("path"),
+                    F.concat(F.lit("src/doc"), doc_id.cast("string"), ext).alias("path"),
                     content.alias("content"), mtime.alias("mtime"), doc_id)
 
 
+def documents_with_strays(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """documents_raw, and beside it a copy of every tenth document in an
+    excluded folder and of every twelfth under an unknown extension."""
+    raw = documents_raw(spark, sf_dir)
+    vendored = raw.filter(F.col("doc_id") % 10 == 9).withColumn("path", F.concat(F.lit("vendor/"), F.col("path")))
+    unknown = raw.filter(F.col("doc_id") % 12 == 11).withColumn("path", F.concat(F.col("path"), F.lit(".txt")))
+    return raw.unionByName(vendored).unionByName(unknown)
+
+
 def documents_as_files(spark: SparkSession, sf_dir: str, cfg: ScanConfig = ScanConfig()) -> DataFrame:
     return finish_files(documents_raw(spark, sf_dir), cfg)
 

@@ -31,7 +31,7 @@ def issue_status_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     ln = explode_lines(documents_as_files(spark, sf_dir)).filter(F.col("text") == SECRET_LINE)
     ln = ln.withColumn("doc_id", doc_id_of(F.col("path"))).filter(F.col("doc_id") % 3 == 0)
     statuses = F.array(*[F.lit(s) for s in fixed.ISSUE_STATUSES])
-    key = issue_key(F.lit(SECRET_RULE), F.col("path"), F.col("n"))
+    key = issue_key(F.col("project"), F.lit(SECRET_RULE), F.col("path"), F.col("n"))
     base_ts = F.timestamp_add("MINUTE", F.col("n"), F.lit("2024-02-01 00:00:00").cast("timestamp"))
     first = ln.select(key.alias("key"),
                       F.element_at(statuses, ((F.col("doc_id") + F.col("n")) % 4 + 1).cast("int")).alias("status"),

@@ -105,12 +105,17 @@ def _issues_with_mtime(ln: DataFrame, cfg: ScanConfig) -> DataFrame:
     rs = R.select_rules(cfg)
     text = F.col("text")
     hits = F.array_compact(F.array(*[R._hit(r, text, cfg) for r in rs]))
-    return (ln.filter(F.octet_length(text) <= cfg.max_rule_line_length)
+    return (R.rule_lines(ln, cfg)
               .select("project", "path", "mtime", F.col("n").alias("line"), F.explode(hits).alias("r"))
               .select("project", "path", "mtime", "line", "r.rule_id", "r.severity"))
 
 
 # ------------------------------------------------------------------ latest file
+def exists(spark: SparkSession, path: str) -> bool:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+
+
 def _versioned_merge(table: str, reduce):
     """foreachBatch body: merge the batch into table version (epoch - 1) and
     write version epoch.  Batch ids come from the checkpoint, so a restarted
@@ -118,11 +123,9 @@ def _versioned_merge(table: str, reduce):
     def body(batch: DataFrame, epoch: int) -> None:
         sp = batch.sparkSession
         merged = batch
-        if epoch > 0:
-            try:
-                merged = sp.read.parquet(f"{table}/v{epoch - 1}").unionByName(batch)
-            except Exception:  # noqa: BLE001  (previous batch had no rows / table not created)
-                merged = batch
+        # only a version that does not exist is "no rows yet"; one that cannot be read fails the batch
+        if epoch > 0 and exists(sp, f"{table}/v{epoch - 1}"):
+            merged = sp.read.parquet(f"{table}/v{epoch - 1}").unionByName(batch)
         reduce(merged).write.mode("overwrite").parquet(f"{table}/v{epoch}")
         sp.createDataFrame([(epoch,)], "version long").write.mode("overwrite").json(f"{table}/_current")
     return body
@@ -205,7 +208,7 @@ def _throttle_state_fn(max_attempts: int, window_s: int):
                 now = pd.Timestamp(t).value // 10**9
                 if start is None or now - start >= window_s:
                     count, start = 0, now
-                b = count >= max_attempts
+                b = max_attempts > 0 and count >= max_attempts
                 if not b:
                     if ok:
                         count, start = 0, None
