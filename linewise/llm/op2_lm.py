@@ -160,7 +160,7 @@ def train_model(windows: DataFrame, counts: np.ndarray, rates=RATES, least: int
         return model
     rounds = len(rates)
     all_of = n * WINDOW <= least
-    passes = min(4, max(1, least // (n * WINDOW))) if all_of else 1
+    passes = min(8, max(1, least // (n * WINDOW * rounds))) if all_of and rounds else 1
     slots = max(1, min(spark.sparkContext.defaultParallelism, n // 2000))
     rows = windows.withColumn("part", F.pmod(F.xxhash64("ids"), F.lit(rounds)))
     if slots > 1 and all_of:
