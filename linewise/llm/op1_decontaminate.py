@@ -93,63 +93,73 @@ class Index:
         self.top = np.append(np.maximum.reduceat(self.block_top, self.first[:-1]) if len(self.block) else [], 0.0)
         self.window = max([64, *(len(x[2]) for x in texts)]) + STRIDE
 
-    def passages(self, ids: np.ndarray, threshold: float) -> Iterator[tuple[int, np.ndarray]]:
-        """(start, distinct terms) of the windows whose bound of greatest
-        impacts reaches the threshold."""
-        w = self.window
+    def passages(self, ids: np.ndarray, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(starts, window, term): the windows whose bound of greatest impacts
+        reaches the threshold, and their distinct terms, window by window."""
+        w, none = self.window, len(self.postings)
         starts = np.arange(0, max(len(ids) - w + STRIDE, 1), STRIDE)
-        none = len(self.postings)
         order = np.argsort(ids, kind="stable")
-        before = np.full(len(ids), -1)
+        before = np.full(len(ids) + w, -1)  # the place where the same term stood last
         same = ids[order][1:] == ids[order][:-1]
         before[order[1:][same]] = order[:-1][same]
-        padded = np.append(self.top[ids], np.zeros(w))
-        before = np.append(before, np.full(w, -1))
-        for a in range(0, len(starts), 2048):
-            s = starts[a:a + 2048]
-            at = s[:, None] + np.arange(w)[None, :]
-            bound = (padded[at] * (before[at] < s[:, None])).sum(axis=1)
-            for k in np.flatnonzero(bound >= threshold):
-                t = np.unique(ids[s[k]:s[k] + w])
-                yield int(s[k]), t[t < none]
-
-    def retrieve(self, terms: np.ndarray, threshold: float) -> dict[int, float]:
-        """All items of at least `threshold`, by block-max WAND."""
+        ids = np.append(ids, np.full(w, none))
+        top = self.top[ids]
+        several = max(1, min(1024, (1 << 20) // max(self.blocks, 1)))
+        for a in range(0, len(starts), several):
+            s = starts[a:a + several]
+            at = s[:, None] + np.arange(w)
+            distinct = (before[at] < s[:, None]) & (ids[at] < none)
+            live = np.flatnonzero((top[at] * distinct).sum(axis=1) >= threshold - 1e-6)
+            if len(live):
+                window, place = np.nonzero(distinct[live])
+                yield s[live], window, ids[at[live][window, place]]
+
+    def live_blocks(self, window: np.ndarray, terms: np.ndarray, n: int, threshold: float) -> np.ndarray:
+        """(window, block) pairs whose bound of block maxima reaches the threshold."""
         size = self.first[terms + 1] - self.first[terms]
         at = np.repeat(self.first[terms] - np.cumsum(size) + size, size) + np.arange(size.sum())
-        blocks, tops, of = self.block[at], self.block_top[at], np.repeat(terms, size)
-        bound = np.bincount(blocks, tops, self.blocks)
+        bound = np.bincount(np.repeat(window, size) * self.blocks + self.block[at], self.block_top[at], n * self.blocks)
+        live = np.flatnonzero(bound >= threshold - 1e-6)
+        return np.stack([live // self.blocks, live % self.blocks], axis=1)
+
+    def wand(self, terms: list[int], b: int, threshold: float) -> dict[int, float]:
+        """All items of block b of at least `threshold`."""
+        lists = [self.postings[t][b] for t in terms if b in self.postings[t]]
+        tops = [max(v for _, v in p) for p in lists]
+        cursor = [0] * len(lists)
         out: dict[int, float] = {}
-        for b in np.flatnonzero(bound >= threshold - 1e-6).tolist():
-            held = np.flatnonzero(blocks == b)
-            lists = [(t, self.postings[k][b]) for t, k in zip(tops[held].tolist(), of[held].tolist())]
-            cursor = [0] * len(lists)
-            while True:
-                # terms by their current item; the pivot is the first at which the bounds reach the threshold
-                now = sorted((lists[k][1][c][0], k) for k, c in enumerate(cursor) if c < len(lists[k][1]))
-                total, pivot = 0.0, None
+        while True:
+            # terms by their current item; the pivot is the first at which the bounds reach the threshold
+            now = sorted((lists[k][c][0], k) for k, c in enumerate(cursor) if c < len(lists[k]))
+            total, pivot = 0.0, None
+            for d, k in now:
+                total += tops[k]
+                if total >= threshold - 1e-6:
+                    pivot = d
+                    break
+            if pivot is None:
+                return out
+            if now[0][0] == pivot:
+                score = 0.0
                 for d, k in now:
-                    total += lists[k][0]
-                    if total >= threshold - 1e-6:
-                        pivot = d
+                    if d != pivot:
                         break
-                if pivot is None:
-                    break
-                if now[0][0] == pivot:
-                    score = 0.0
-                    for d, k in now:
-                        if d != pivot:
-                            break
-                        score += lists[k][1][cursor[k]][1]
+                    score += lists[k][cursor[k]][1]
+                    cursor[k] += 1
+                if score >= threshold - 1e-9:
+                    out[pivot] = score
+            else:  # items before the pivot cannot reach the threshold
+                for d, k in now:
+                    if d >= pivot:
+                        break
+                    while cursor[k] < len(lists[k]) and lists[k][cursor[k]][0] < pivot:
                         cursor[k] += 1
-                    if score >= threshold - 1e-9:
-                        out[pivot] = score
-                else:  # items before the pivot cannot reach the threshold
-                    for d, k in now:
-                        if d >= pivot:
-                            break
-                        while cursor[k] < len(lists[k][1]) and lists[k][1][cursor[k]][0] < pivot:
-                            cursor[k] += 1
+
+    def retrieve(self, terms: np.ndarray, threshold: float) -> dict[int, float]:
+        """All items of at least `threshold` for one passage's distinct terms, by block-max WAND."""
+        out: dict[int, float] = {}
+        for _, b in self.live_blocks(np.zeros(len(terms), np.int64), terms, 1, threshold).tolist():
+            out |= self.wand(terms.tolist(), b, threshold)
         return out
 
     def search(self, text: str | None, threshold: float, cover: float) -> list[tuple[int, float, float, float]]:
@@ -159,11 +169,14 @@ class Index:
             return []
         ids = np.fromiter(map(self.term.get, ws, repeat(len(self.postings))), np.int64, len(ws))
         best: dict[int, tuple] = {}
-        for start, terms in self.passages(ids, threshold):
-            for d, score in self.retrieve(terms, threshold).items():
-                q, a = (covered(p, ws[start:start + self.window]) for p in self.parts[d])
-                if q >= cover and a >= cover:
-                    best[d] = max(best.get(d, (0.0,)), (score, q, a))
+        for starts, window, terms in self.passages(ids, threshold):
+            for k, b in self.live_blocks(window, terms, len(starts), threshold).tolist():
+                own = terms[np.searchsorted(window, k):np.searchsorted(window, k, "right")].tolist()
+                for d, score in self.wand(own, b, threshold).items():
+                    start = int(starts[k])
+                    q, a = (covered(p, ws[start:start + self.window]) for p in self.parts[d])
+                    if q >= cover and a >= cover:
+                        best[d] = max(best.get(d, (0.0,)), (score, q, a))
         return sorted((self.ids[d], *map(float, v)) for d, v in best.items())
 
 
