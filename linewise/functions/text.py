@@ -1,6 +1,6 @@
 """Scalar column expressions over line / file text.
 
-All of them are built-in Spark expressions (codegen'd, JVM-side); nothing
+All of them are built-in Spark expressions on the JVM (higher-order functions are interpreted); nothing
 here calls back into Python per row.
 """
 

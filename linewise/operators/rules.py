@@ -113,11 +113,14 @@ def pattern_error(pattern: str) -> str | None:
     """What java.util.regex, which will run the pattern, says against it."""
     from py4j.protocol import Py4JJavaError
     from pyspark import SparkContext
+    from pyspark.errors import IllegalArgumentException
     context = SparkContext._active_spark_context
     if context is None:  # no JVM yet: nothing to judge by
         return None
     try:
         context._jvm.java.util.regex.Pattern.compile(pattern)
+    except IllegalArgumentException as e:  # a PatternSyntaxException, as PySpark raises it
+        return str(e)
     except Py4JJavaError as e:
         return str(e.java_exception.getMessage())
     return None

@@ -177,3 +177,62 @@ def test_truncate_cuts_bytes_and_repairs(spark):
     df = spark.createDataFrame([("aéb",), ("abc",)], "c string")
     got = [r[0] for r in df.select(truncate_content(F.col("c"), 2)).collect()]
     assert got == ["a�", "ab"]
+
+
+def test_sessions_are_cut_at_exact_gaps(spark):
+    ev = spark.sql("select 1L user_id, timestamp'2024-01-01 00:00:00.9' ts union all select 1L, timestamp'2024-01-01 01:00:00.1' "
+                   "union all select 1L, timestamp'2024-01-01 02:00:00.1'")
+    assert sorted(r["events"] for r in L.sessionize(ev).collect()) == [1, 2]
+
+
+def test_log_recent_is_oldest_first(spark):
+    rows = [(i, "ERROR", f"m{i}") for i in range(9)]
+    df = spark.createDataFrame(rows, "event_id long, level string, message string")
+    df = df.withColumn("timestamp", F.timestamp_seconds(F.col("event_id") * 10))
+    assert [r["event_id"] for r in L.log_recent(df, "info", 4).collect()] == [5, 6, 7, 8]
+
+
+def test_status_ties_and_projects(spark):
+    from linewise.operators import issues as I
+    st = spark.sql("select 'a:R:f:1' key, 'accepted' status, 'n' note, cast(null as timestamp) updated_at")
+    assert I.latest_status(st).collect()[0]["status"] == "accepted"
+    iss = spark.createDataFrame([("a:R:f:1", "a"), ("b:R:f:1", "b")], "key string, project string")
+    got = {r["project"]: r["status"] for r in I.overlay_status(iss, st).collect()}
+    assert got == {"a": "accepted", "b": "open"}
+
+
+def test_new_criticals_by_project_and_whole_line(spark):
+    from linewise.operators import issues as I
+    sch = "project string, rule_id string, path string, severity string, line_hash long"
+    prev = spark.createDataFrame([("a", "R", "f", "critical", 1)], sch)
+    cur = spark.createDataFrame([("a", "R", "f", "critical", 1), ("b", "R", "f", "critical", 1), ("a", "R", "f", "critical", 2)], sch)
+    assert sorted((r["project"], r["line_hash"]) for r in I.new_critical_issues(cur, prev).collect()) == [("a", 2), ("b", 1)]
+
+
+def test_corpus_keeps_every_line_and_document(spark):
+    from linewise.sources.corpus import documents_as_files
+    docs = spark.read.parquet(f"{SF_SMALL}/documents.parquet")
+    files = documents_as_files(spark, SF_SMALL)
+    assert files.count() == docs.count()
+    j = docs.select(F.col("source").alias("project"), F.concat(F.lit("src/doc"), "doc_id").alias("stem"), "text").join(
+        files.select("project", F.regexp_replace("path", r"\.[a-z0-9]+$", "").alias("stem"), "content"), ["project", "stem"])
+    assert j.count() == docs.count()
+    lost = j.filter(F.exists(F.split("text", "\n"), lambda l: ~F.contains(F.col("content"), l)))
+    assert lost.count() == 0
+
+
+def test_unreadable_version_fails_the_batch(spark, tmp_path):
+    import pytest
+
+    from linewise.streaming import jobs as S
+    table = str(tmp_path / "t")
+    body = S._versioned_merge(table, lambda df: df.distinct())
+    body(spark.range(3), 0)
+    body(spark.range(5), 1)
+    assert S.read_versioned(spark, table).count() == 5
+    os.makedirs(f"{table}/v2")
+    with open(f"{table}/v2/part-0.parquet", "w") as f:
+        f.write("no parquet")
+    with pytest.raises(Exception):
+        body(spark.range(9), 3)
+    assert S.read_versioned(spark, table).count() == 5
