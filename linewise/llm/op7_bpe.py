@@ -24,13 +24,15 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from linewise.llm.common import Bounded, drop_new, read
 
-#: Words kept in each Python worker's memo (about 150 MB); a speed setting only.
-MEMO_WORDS = 300_000
+#: Words kept in each Python worker's memo (about 50 MB), and rows sent on at a time; speed settings only.
+MEMO_WORDS, ROWS = 100_000, 128
 END = "</w>"
 
 
@@ -316,23 +318,30 @@ def vocabulary_file(path: str | None = None) -> str:
 
 def encode(df: DataFrame, text_col: str = "text", tokenizer: str | None = None) -> DataFrame:
     """df with ids array<int>, n_tokens long and decoded string (the
-    tokenizer's decode of the ids) for the whole text of every row."""
+    tokenizer's decode of the ids) for the whole text of every row.  The output
+    leaves the worker ROWS rows at a time: it is several times the text."""
     shared = df.sparkSession.sparkContext.broadcast(vocabulary_file(tokenizer))
+    added = T.StructType([T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("n_tokens", T.LongType()),
+                          T.StructField("decoded", T.StringType())])
+    keep = drop_new(df, added.names).columns
+    at, places = df.columns.index(text_col), [df.columns.index(c) for c in keep]
 
-    @F.pandas_udf("ids array<int>, n_tokens long, decoded string")
-    def run(it: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary(shared.value)
-        for texts in it:
-            rows = []
-            for words in v.encode(texts):
-                ids = np.array(v.ids_text(words).split(), dtype=np.int32)
-                rows.append((ids, len(ids), v.tokens_text(words)))
-            yield pd.DataFrame(rows, columns=["ids", "n_tokens", "decoded"])
-
-    names = ["ids", "n_tokens", "decoded"]
-    out = df.withColumn("__bpe", run(F.col(f"`{text_col}`")))
-    keep = drop_new(df, names).columns
-    return out.select(*[F.col(f"`{c}`") for c in keep], *[F.col(f"__bpe.{n}").alias(n) for n in names])
+        for batch in batches:
+            for a in range(0, batch.num_rows, ROWS):
+                part = batch.slice(a, ROWS)
+                ids, decoded = [], []
+                for words in v.encode(part.column(at).to_pylist()):
+                    ids.append(np.array(v.ids_text(words).split(), dtype=np.int32))
+                    decoded.append(v.tokens_text(words))
+                size = np.fromiter(map(len, ids), np.int64, len(ids))
+                lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(size)), pa.int32()), pa.array(np.concatenate(ids), pa.int32()))
+                yield pa.RecordBatch.from_arrays([*(part.column(i) for i in places), lists, pa.array(size), pa.array(decoded, pa.string())],
+                                                 names=[*keep, *added.names])
+
+    schema = T.StructType([*(df.schema.fields[i] for i in places), *added.fields])
+    return df.mapInArrow(run, schema)
 
 
 def digests(df: DataFrame, text_col: str = "text", tokenizer: str | None = None) -> DataFrame:
