@@ -233,6 +233,30 @@ def test_pipeline_stages(spark, tmp_path):
     assert len(bad & set(kept["quality"])) <= 0.1 * len(bad) + 1
 
 
+def test_pipeline_takes_near_copies_of_five_words(spark):
+    """Pairs between 0.80 and 0.85 at five words, with both sides of the border."""
+    g = random.Random(17)
+    vocab = [f"w{i}" for i in range(5000)]
+    rows = []
+    for n, size in enumerate((69, 90, 204, 400)):
+        for changed in range(1, 13):  # the last words differ: one shingle each
+            base = [g.choice(vocab) for _ in range(size)]
+            other = base[:-changed * size // 90 or None] + [g.choice(vocab) for _ in range(changed * size // 90)]
+            rows += [(len(rows), " ".join(base)), (len(rows) + 1, " ".join(other))]
+        base = [g.choice(vocab) for _ in range(size)]  # changes inside the text cost five shingles each, or four
+        for changed in range(5):
+            w = list(base)
+            for i in range(changed):
+                w[(2 * i + 1) * size // 10] = "changed"
+            rows.append((len(rows), " ".join(w)))
+    sets = {i: shingle_set(t, 5) for i, t in rows}
+    share = {(a, b): len(sets[a] & sets[b]) / len(sets[a] | sets[b]) for a in sets for b in sets if a < b}
+    assert sum(0.80 <= x < 0.85 for x in share.values()) >= 5 and sum(0.75 <= x < 0.80 for x in share.values()) >= 5
+    want = grouped(sorted(sets), [p for p, x in share.items() if x >= 0.8])
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, docs, SF_SMALL).collect()} == set(want.values())
+
+
 def test_pipeline_accepts_odd_rows(spark):
     schema = "doc_id long, text string, lang string, source string, n_chars long"
     rows = [(1, None, None, None, None), (2, "", "en", "s", 0), (None, "no id at all here", None, None, None), (3, "same text twice over", "en", "s", 5),
