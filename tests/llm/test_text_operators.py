@@ -167,6 +167,26 @@ def test_toxicity(spark, docs, none):
     assert o5.score(text, m).count() == text.count()
 
 
+def test_toxicity_learns_rare_labels_and_languages(spark):
+    """1 % toxic rows, some of a rare language, beside ten times more rows than the bound."""
+    g = random.Random(6)
+    vocab = {"x": ["".join(g.choice("abcdefgh") for _ in range(6)) for _ in range(300)], "y": ["".join(g.choice("mnopqrst") for _ in range(6)) for _ in range(300)]}
+    rows = []
+    for i in range(4000):
+        lang = "y" if i % 20 == 0 else "x"
+        vile = {"x": " vileword", "y": " zuwiderlich"}[lang] if i < 20 or (lang == "y" and i < 200) else ""
+        rows.append((i, " ".join(g.choice(vocab[lang]) for _ in range(30)) + vile, int(vile != ""), lang))
+    made = spark.createDataFrame(rows, "doc_id long, text string, toxic int, lang string")
+    m = o5.fit(made.select("doc_id", "text"), made.select("doc_id", "toxic"), max_rows=400)
+    got = o5.score(made, m).collect()
+    assert sum(r["toxic"] for r in got) == 29 and all(r["predicted"] == r["toxic"] for r in got)
+
+
+def test_toxicity_terms_need_significance_at_every_size():
+    found, held = ["abcdef", "bcdefg", "cdefgh"], np.array([[1, 1, 1, 1, 0, 0], [1, 1, 1, 0, 0, 0], [0, 0, 0, 0, 1, 1]], bool)
+    assert o5.chosen_parts(found, np.array([9.0, 7.0, 5.0]), held, 3) == ["abcdef", "cdefgh"]  # the second stands in texts of the first only
+
+
 def test_chain_feeds_earlier_categories():
     g = np.random.default_rng(0)
     x = g.normal(size=(400, 3))
