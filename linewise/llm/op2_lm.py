@@ -10,11 +10,13 @@ The text's score mixes that with the smoothed frequency of known words:
 with the counts c, N, V of all training tokens.  `attention_score` is the
 attention model's log probability alone.
 
-All counts cover all training documents.  The attention model is trained on a
-fixed share of them (TRAIN_SHARE, or as many as hold LEAST_TOKENS ids where
-that is more; few windows are passed over several times), so training grows with the corpus too: every partition of the
-windows trains a copy for a part of a round, and the copies are averaged, block
-by block, in Spark; only the average comes to the driver.
+All counts cover all training documents, and so does the attention model's
+training: every window is trained on in equally many rounds, ceil(least / ids)
+(one, on a corpus of LEAST_TOKENS ids or more; on so few that all rounds take
+all windows, each round passes over them up to MOST_PASSES times).  Windows for training meet
+in one id and do not overlap further.  In a round every partition of the
+windows trains a copy on its part, and the copies are averaged, block by block,
+in Spark; only the average comes to the driver.
 
 Counts of words meet their occurrences in a join on the word's 64-bit hash.
 Words that make up more than 1 / HOT of all tokens (at most HOT of them) are
@@ -43,7 +45,7 @@ from linewise.llm.attention import WINDOW, Attention
 from linewise.llm.common import Bounded, crc_mod, read, words_of, written
 
 VOCABULARY, HOT, MIX = 2048, 65_536, 0.35
-TRAIN_SHARE, LEAST_TOKENS, RATES, BLOCKS = 1 / 32, 8_000_000, (0.012, 0.008, 0.004, 0.002), 32
+LEAST_TOKENS, MOST_PASSES, RATES, BLOCKS = 8_000_000, 8, (0.012, 0.008, 0.004, 0.002), 32
 MEMO_WORDS, FLUSH_WORDS = 300_000, 400_000
 
 
@@ -129,11 +131,8 @@ def subword_counts(counts: DataFrame, vocabulary) -> np.ndarray:
     return out
 
 
-def training_windows(train: DataFrame, share: float, vocabulary) -> DataFrame:
-    """ids binary: WINDOW + 1 ids (uint16; one beyond the end pads) of the
-    documents that a hash of their text selects."""
-    cut = 1 << 30
-    picked = train.filter(F.pmod(F.xxhash64("text"), F.lit(cut)) < math.ceil(share * cut)).select("text")
+def training_windows(train: DataFrame, vocabulary) -> DataFrame:
+    """ids binary: WINDOW + 1 ids (uint16; one beyond the end pads), of all documents."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sub = subwords(vocabulary.value)
@@ -147,23 +146,33 @@ def training_windows(train: DataFrame, share: float, vocabulary) -> DataFrame:
                     rows.append(np.append(w, np.full(WINDOW + 1 - len(w), sub.n + 1)).astype(np.uint16).tobytes())
             yield pd.DataFrame({"ids": rows})
 
-    return written(picked.mapInPandas(run, "ids binary"), "op2-windows")
+    return written(train.select("text").mapInPandas(run, "ids binary"), "op2-windows")
+
+
+def epochs_of(ids: int, least: int) -> int:
+    return max(1, -(-least // max(ids, 1)))
+
+
+def of_round(windows: DataFrame, r: int, rounds: int, epochs: int) -> DataFrame:
+    """Each window is in `epochs` of the rounds, in all where there are fewer."""
+    part = F.pmod(F.xxhash64("ids"), F.lit(rounds))
+    return windows.filter(F.pmod(part + r, F.lit(rounds)) < epochs)
 
 
 def train_model(windows: DataFrame, counts: np.ndarray, rates=RATES, least: int = LEAST_TOKENS, seed: int = 5) -> Attention:
-    """Rounds of local training on every partition, then averaging.  Each
-    round takes its own part of the windows, or all of them where they are few."""
+    """Rounds of local training on every partition, then averaging.  Every
+    window is in `epochs` of the rounds, or in all of them with several passes."""
     spark = windows.sparkSession
     model = Attention(counts)
     n = windows.count()
     if not n:
         return model
     rounds = len(rates)
-    all_of = n * WINDOW <= least
-    passes = min(8, max(1, least // (n * WINDOW * rounds))) if all_of and rounds else 1
+    epochs = epochs_of(int(counts.sum()), least)
+    passes = min(MOST_PASSES, max(1, epochs // rounds)) if rounds else 1
     slots = max(1, min(spark.sparkContext.defaultParallelism, n // 2000))
-    rows = windows.withColumn("part", F.pmod(F.xxhash64("ids"), F.lit(rounds)))
-    if slots > 1 and all_of:
+    rows = windows
+    if slots > 1 and epochs > 1:
         rows = rows.repartition(slots, F.xxhash64("ids"))
     end = len(counts) - 1
     for r, rate in enumerate(rates):
@@ -197,14 +206,14 @@ def train_model(windows: DataFrame, counts: np.ndarray, rates=RATES, least: int
             total = sum(np.frombuffer(w, np.float32).astype(np.float64) * n for n, w in sorted(zip(g["n"], g["w"]), key=str))
             return pd.DataFrame({"block": g["block"].iloc[:1], "w": [(total / g["n"].sum()).astype(np.float32).tobytes()]})
 
-        now = rows if all_of else rows.filter(F.col("part") == r)
+        now = of_round(rows, r, rounds, epochs)
         got = now.select("ids").mapInPandas(run, "block int, n long, w binary").groupBy("block").applyInPandas(mean, "block int, w binary").collect()
         if got:
             model.load(np.concatenate([np.frombuffer(x["w"], np.float32) for x in sorted(got, key=lambda x: x["block"])]))
     return model
 
 
-def score(docs: DataFrame, training: Column, rates=RATES, share: float = TRAIN_SHARE, least: int = LEAST_TOKENS) -> DataFrame:
+def score(docs: DataFrame, training: Column, rates=RATES, least: int = LEAST_TOKENS) -> DataFrame:
     """For every row of docs(doc_id, text): doc_id, n_tokens, n_known,
     train_tokens, base_score, score, attention_score (log10)."""
     spark = docs.sparkSession
@@ -217,8 +226,7 @@ def score(docs: DataFrame, training: Column, rates=RATES, share: float = TRAIN_S
     total, kinds = n_words + ends, distinct + (ends > 0)
     ids = subword_counts(counts, vocabulary)
     ids[-1] = ends
-    n_ids = max(int(ids.sum()), 1)
-    model = train_model(training_windows(train, min(1.0, max(share, least / n_ids)), vocabulary), ids, rates, least)
+    model = train_model(training_windows(train, vocabulary), ids, rates, least)
     hot = {bytes(r["word"]): r["c"] for r in counts.filter(F.col("c") * HOT > total).collect()}  # at most HOT words
     shared = spark.sparkContext.broadcast((model.flat(), model.first, model.nodes, model.signs, model.size, len(ids), hot))
 

@@ -208,6 +208,22 @@ def test_lm_training_helps_on_held_out_text(spark):
     assert total[1][0] > 0.9 * total[0][0] and total[1][1] > total[0][1]  # all negative
 
 
+def test_lm_trains_on_windows_of_all_documents(spark, monkeypatch):
+    """Every document's windows, each in equally many rounds, on inputs far above `least` too."""
+    g = random.Random(5)
+    rows = [(i, " ".join(g.choice(["aa", "bb", "cc", "dd", "ee"]) + str(i) for _ in range(20))) for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    made, whole = [], o2.training_windows
+    monkeypatch.setattr(o2, "training_windows", lambda *a: made.append(whole(*a)) or made[-1])
+    assert o2.score(df, F.lit(True), rates=(), least=100).count() == 300
+    windows = made[0]
+    assert sum((np.frombuffer(r["ids"], np.uint16)[1:] == o2.VOCABULARY).sum() for r in windows.collect()) == 300  # ends
+    assert [o2.epochs_of(n, 100) for n in (0, 25, 34, 50, 99, 100, 101, 10 ** 9)] == [100, 4, 3, 2, 2, 1, 1, 1]
+    for epochs in (1, 2, 3, 4, 9):
+        seen = Counter(r["ids"] for k in range(4) for r in o2.of_round(windows, k, 4, epochs).collect())
+        assert seen == Counter({w: min(epochs, 4) * n for w, n in Counter(r["ids"] for r in windows.collect()).items()})
+
+
 def test_pipeline_stages(spark, tmp_path):
     """Each stage's decisions against the operator's rule, on its own input."""
     docs = spark.read.parquet(f"{SF_SMALL}/documents.parquet")
