@@ -18,7 +18,8 @@ How Spark spreads the work, without losing a link:
    every surviving pair is verified exactly, unless both are known connected.
 4. Components beyond `BLOCK` documents are dealt over blocks, each with the
    component's smallest document; what a block does not connect to that one is
-   then compared with all blocks.
+   dealt over blocks as well, and pairs of blocks are compared: two blocks of
+   about `BLOCK` documents to a task.
 
 A bucket of more than `HOT` sets is not searched in one task: its sets are
 connected unchecked (a superset of its links; step 3 decides).
@@ -308,15 +309,15 @@ def whole_keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def exact_roots(ids: list[int], sets: list[np.ndarray], share: int, asking: list[bool] | None = None) -> list[int]:
     """For each document the smallest one that verified links connect it to.
-    Pairs already connected are not verified again.  asking: only their links
-    with all others are looked for."""
+    Pairs already connected are not verified again.  asking: only links of those
+    that ask with those that do not are looked for."""
     points = Points(np.array([len(s) for s in sets]), [vector(s).tobytes() for s in sets])
     root = np.array(ids)
     for i in range(len(ids)):
         if asking is not None and not asking[i]:
             continue
         for j in points.near(i, root, share).tolist():
-            if root[i] != root[j] and linked(sets[i], sets[j], share):
+            if root[i] != root[j] and (asking is None or not asking[j]) and linked(sets[i], sets[j], share):
                 low, high = min(root[i], root[j]), max(root[i], root[j])
                 root[root == high] = low
     return root.tolist()
@@ -328,11 +329,11 @@ def verified_edges(docs: DataFrame, reps: DataFrame, candidates: DataFrame, k: i
     sizes = candidates.groupBy("root").agg(F.count("*").alias("many"))
     held = candidates.join(sizes, "root").select(F.col("node").alias("rep"), F.col("root").alias("comp"), "many")
     rows = written(docs.join(reps.select("rep", "doc_id").join(held, "rep"), "doc_id").drop("doc_id"), "op4-members")
-    block = F.when(F.col("many") <= BLOCK, 0).otherwise(F.pmod(F.xxhash64("rep"), F.ceil(F.col("many") / BLOCK))).cast("int")
+    block = F.when(F.col("many") <= BLOCK, 0).otherwise(F.pmod(F.xxhash64("rep"), F.ceil(F.col("many") / BLOCK))).cast("long")
     dealt = rows.withColumn("block", block)
     # the component's smallest document goes to every block
     pivot = (rows.filter((F.col("many") > BLOCK) & (F.col("rep") == F.col("comp")))
-             .withColumn("block", F.explode(F.sequence(F.lit(0), (F.ceil(F.col("many") / BLOCK) - 1).cast("int")))))
+             .withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), (F.ceil(F.col("many") / BLOCK) - 1).cast("long")))))
     first = dealt.filter(~((F.col("many") > BLOCK) & (F.col("rep") == F.col("comp")))).unionByName(pivot).withColumn("ask", F.lit(True))
 
     def join(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -349,15 +350,26 @@ def verified_edges(docs: DataFrame, reps: DataFrame, candidates: DataFrame, k: i
     out = "a long, b long, comp long, many long"
     near = lambda df: df.select("comp", "block", "many", "rep", "ask", "text").repartition("comp", "block").sortWithinPartitions("comp", "block", "rep").mapInPandas(join, out)
     once = written(near(first), "op4-verified")
-    left = once.filter((F.col("many") > BLOCK) & (F.col("b") != F.col("comp"))).select(F.col("a").alias("rep")).distinct()
-    asking = (rows.join(left, "rep").withColumn("block", F.explode(F.sequence(F.lit(0), (F.ceil(F.col("many") / BLOCK) - 1).cast("int"))))
-              .withColumn("ask", F.lit(True)))
-    left_comps = asking.select("comp").distinct()
-    others = dealt.filter(F.col("many") > BLOCK).join(left_comps, "comp", "left_semi").join(left, "rep", "left_anti").withColumn("ask", F.lit(False))
-    again = near(asking.unionByName(others.select(*asking.columns)))
+    left = once.filter((F.col("many") > BLOCK) & (F.col("b") != F.col("comp"))).select(F.col("a").alias("rep"), "comp").distinct()
+    again = near(block_pairs(dealt.filter(F.col("many") > BLOCK), left))
     return once.unionByName(again).select("a", "b").filter("a != b")
 
 
+def block_pairs(dealt: DataFrame, left: DataFrame) -> DataFrame:
+    """dealt(rep, comp, many, block, text) once for each pair of blocks it is
+    in (block names the pair), those that ask being the first of the two.  The
+    blocks of left(rep, comp) come first; they meet each other and the blocks
+    of all others."""
+    mine = (left.groupBy("comp").agg(F.ceil(F.count("*") / BLOCK).cast("long").alias("firsts")))
+    rows = dealt.join(mine, "comp").join(left.select("rep", F.lit(True).alias("is_left")), "rep", "left").withColumn("is_left", F.coalesce("is_left", F.lit(False)))
+    own = F.when(F.col("is_left"), F.pmod(F.xxhash64("rep", F.lit(1)), F.col("firsts"))).otherwise(F.col("firsts") + F.col("block"))
+    every = F.col("firsts") + F.ceil(F.col("many") / BLOCK).cast("long")
+    meets = F.sequence(F.lit(0).cast("long"), F.when(F.col("is_left"), every).otherwise(F.col("firsts")) - 1)
+    rows = rows.withColumn("own", own).withColumn("other", F.explode(meets))
+    low, high = F.least("own", "other"), F.greatest("own", "other")
+    return rows.withColumn("block", F.shiftleft(low, 32) + high).withColumn("ask", F.col("own") == low).select("comp", "block", "many", "rep", "ask", "text")
+
+
 def components(docs: DataFrame, k: int = WORDS, share: int = SHARE) -> DataFrame:
     """doc_id, n_shingles, component_id for every row of docs(doc_id, text)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")

@@ -89,6 +89,24 @@ def test_jaccard_components_equal_brute_force(spark, monkeypatch, hot, block):
     assert len(set(want.values())) < len(want) - 20
 
 
+def test_jaccard_unlinked_component_meets_in_bounded_groups(spark, monkeypatch):
+    """A component of 600 sets, 400 of them without a link to its smallest: each
+    pair of sets that may link meets once, and no group holds nearly all."""
+    monkeypatch.setattr(o4, "BLOCK", 50)
+    rows = [(i, 0, 600, i % 12, f"t{i}") for i in range(600)]
+    dealt = spark.createDataFrame(rows, "rep long, comp long, many long, block long, text string")
+    left = dealt.filter("rep >= 200").select("rep", "comp")
+    groups = {}
+    for r in o4.block_pairs(dealt, left).collect():
+        groups.setdefault(r["block"], []).append((r["rep"], r["ask"]))
+    assert max(map(len, groups.values())) <= 4 * 50
+    met = Counter()
+    for g in groups.values():
+        asks, rest = [r for r, a in g if a], [r for r, a in g if not a]
+        met.update((min(a, b), max(a, b)) for a in asks for b in (rest or asks) if a != b)
+    assert set(met) >= {(a, b) for b in range(200, 600) for a in range(b)}
+
+
 def test_jaccard_empty_table(spark):
     assert o4.components(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
