@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from linewise.llm import op1_decontaminate, op10_neardup, op11_licenses, op13_merkle, op2_lm, op3_token_counts, op4_jaccard, op5_toxicity, op6_quality, op7_bpe, op8_language, op9_pii
+from linewise.llm import op1_decontaminate, op10_neardup, op11_licenses, op12_runs, op13_merkle, op2_lm, op3_token_counts, op4_jaccard, op5_toxicity, op6_quality, op7_bpe, op8_language, op9_pii
 
 QUERIES = {
     "op1_decontaminate": op1_decontaminate.query,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_pii": op9_pii.query,
     "op10_neardup": op10_neardup.query,
     "op11_licenses": op11_licenses.query,
+    "op12_runs": op12_runs.query,
     "op13_merkle": op13_merkle.query,
 }
 
