@@ -19,6 +19,8 @@ Templates are dealt into batches of at most BATCH_WORDS distinct words; a batch
 is one broadcast of postings (its size is bounded by the batch), and any number
 of templates makes more batches, each joined in the same way.
 
+Template words and block words are compared in lower case.
+
 Defined results: a null or empty text has no word, no label and score 0.
 Repeated rows are scanned each for itself.  Columns of other names are ignored.
 """
@@ -62,13 +64,17 @@ TEMPLATES = (
 THRESHOLD = 90  # least share of a template's distinct words in a block, in hundredths (short notices: all words)
 BLOCK_WORDS = 48  # least words of a block; twice the step between blocks
 BATCH_WORDS = 4096  # distinct words of the templates of one join
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+BETWEEN = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"  # what parts words, once A-Z count as a-z
 
 
 def words(text: Column) -> Column:
-    """The words of a text, A-Z lower-cased; none of a null text."""
-    return F.regexp_extract_all(F.translate(F.coalesce(text.cast("string"), F.lit("")), UPPER, LOWER), F.lit(WORD), F.lit(0))
+    """The words of a text in lower case; none of a null text.
+
+    Two letters outside ASCII have an ASCII letter in lower case; they are kept
+    apart, so that only A-Z become a-z."""
+    kept = F.replace(F.replace(F.coalesce(text.cast("string"), F.lit("")), F.lit("\u0130"), F.lit("\u0131")), F.lit("\u212a"), F.lit("\u0138"))
+    # what stands before the first and after the last separator may be empty
+    return F.array_remove(F.split(F.lower(kept), BETWEEN), "")
 
 
 def places(found: str, phrase: str) -> str:
@@ -87,8 +93,7 @@ def scanned(docs: DataFrame) -> DataFrame:
     d = docs.select((F.col("doc_id") if "doc_id" in have else F.lit(None).cast("long")).alias("doc_id"),
                     F.coalesce(text, F.lit("")).alias("text"))
     # a text without a phrase's last word needs no search of its words
-    maybe = F.translate("text", UPPER, LOWER).contains("license")
-    d = d.select("doc_id", words(F.col("text")).alias("w"), maybe.alias("maybe"), F.sha2(F.col("text").cast("binary"), 256).alias("key"))
+    d = d.select("doc_id", words(F.col("text")).alias("w"), F.lower("text").contains("license").alias("maybe"), F.sha2(F.col("text").cast("binary"), 256).alias("key"))
     found = ", ".join(f"transform({places('w', p)}, i -> struct(i as at, '{label}' as label))" for p, label in PHRASES.items())
     d = d.withColumn("base", F.expr(f"if(maybe, concat({found}), cast(array() as array<struct<at: int, label: string>>))"))
     return d.select("doc_id", "key", F.size("w").cast("long").alias("n_words"), F.size("base").cast("long").alias("n_base"),
@@ -97,7 +102,7 @@ def scanned(docs: DataFrame) -> DataFrame:
 
 
 def template_words(text: str) -> list[str]:
-    return re.findall(WORD, text.translate(str.maketrans(UPPER, LOWER)))
+    return [w for w in re.split(BETWEEN, text.lower()) if w]
 
 
 def batches(templates: Sequence[tuple[str, str]]) -> list[list[tuple[str, list[str]]]]:
@@ -134,12 +139,14 @@ def step_of(templates: Sequence[tuple[str, str]]) -> int:
     return max(BLOCK_WORDS // 2, max((len(template_words(t)) for _, t in templates), default=0))
 
 
-def blocks(d: DataFrame, order: list[str], step: int, least: int) -> DataFrame:
-    """One row per block that passes the length filter: key, block, b (kept words, rarest first)."""
+def blocks(d: DataFrame, order: list[str], step: int, least: int, rare: list[str]) -> DataFrame:
+    """One row per block that passes the length filter: key, block, b (kept words, rarest first).
+    rare: the templates' prefixes; a text without any of these words has no match."""
     kept = "x in (" + ", ".join(f"'{w}'" for w in order) + ")"
     part = f"filter(transform(sequence(k * {step}, least(size(w), (k + 2) * {step}) - 1), i -> w[i]), x -> {kept})"
     cut = F.expr(f"transform(sequence(0, greatest(0, (size(w) - 1) div {step} - 1)), k -> struct(k as block, {part} as part))")
-    each = d.filter(F.size("w") >= least).select("key", F.explode(F.filter(cut, lambda x: F.size(x.part) >= least)).alias("x"))
+    some = F.exists("w", lambda w: w.isin(rare))
+    each = d.filter((F.size("w") >= least) & some).select("key", F.explode(F.filter(cut, lambda x: F.size(x.part) >= least)).alias("x"))
     each = each.select("key", "x.block", F.array_intersect(F.array(*map(F.lit, order)), F.col("x.part")).alias("b"))
     return each.filter(F.size("b") >= least)
 
@@ -162,7 +169,7 @@ def matches(docs: DataFrame, templates: Sequence[tuple[str, str]] = TEMPLATES, t
             least = min(least, c)
             rows += [(t[j], j, label, t, c) for j in range(len(t) - c + 1)]
         postings = spark.createDataFrame(rows, "word string, j int, label string, t array<string>, c int")
-        b = blocks(d, order, step, least)
+        b = blocks(d, order, step, least, sorted({r[0] for r in rows}))
         prefix = b.select("key", "block", "b", F.posexplode(F.expr(f"slice(b, 1, size(b) - {least} + 1)")).alias("i", "word"))
         # postings: at most BATCH_WORDS words of the batch's prefixes
         met = prefix.join(F.broadcast(postings), "word").filter(
@@ -202,12 +209,12 @@ def oracle() -> str:
     quoted = ", ".join(f"('{label}', list_distinct(string_split('{t}', ' ')))" for label, t in TEMPLATES)
     step = step_of(TEMPLATES)
     starts = " union all ".join(
-        f"select doc_id, i - 1 as at, '{label}' as label from t, unnest(range(1, n_words + 1)) u(i) where "
+        f"select doc_id, i - 1 as pos, '{label}' as label from t, unnest(range(1, n_words + 1)) u(i) where "
         + " and ".join(f"w[i + {k}] = '{x}'" for k, x in enumerate(p.split())) for p, label in PHRASES.items())
     return f"""
 with t as (select doc_id, w, len(w) as n_words from (
-    select doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from documents)),
- base as (select doc_id, count(*) as n, min(at) as lo, max(at) as hi, list_sort(list_distinct(list(label))) as labels from ({starts}) group by doc_id),
+    select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from documents)),
+ base as (select doc_id, count(*) as n, min(pos) as lo, max(pos) as hi, list_sort(list_distinct(list(label))) as labels from ({starts}) group by doc_id),
  tpl(label, words) as (values {quoted}),
  blk as (select doc_id, w[k * {step} + 1 : (k + 2) * {step}] as b from t, unnest(range(0, greatest(0, (n_words - 1) // {step} - 1) + 1)) u(k) where n_words > 0),
  hit as (select doc_id, label, len(list_intersect(words, b)) as shared, len(words) as size from blk, tpl),
