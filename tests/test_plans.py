@@ -97,9 +97,6 @@ def test_throttle_matches_loop(spark):
     got = {r["event_id"]: r["blocked"] for r in L.burst_throttle(df, 5, 60).collect()}
     want = throttle_loop(ev)
     assert got == want and any(want.values())
-    # tiny time buckets: bursts cross many bucket boundaries
-    got_small = {r["event_id"]: r["blocked"] for r in L.burst_throttle(df, 5, 60, bucket_s=7).collect()}
-    assert got_small == want
 
 
 def test_scan_source_tree(spark):
