@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from linewise import fixed
+from linewise.functions.text import issue_key
 from linewise.operators.rules import platform_bucket
 
 STATUS_SCHEMA = T.StructType([T.StructField("key", T.StringType()), T.StructField("status", T.StringType()),
@@ -54,21 +55,19 @@ def overlay_status(issues: DataFrame, status: DataFrame) -> DataFrame:
                   .drop("_st", "_note"))
 
 
-def source_preview(issues: DataFrame, lines: DataFrame, context: int = 4) -> DataFrame:
-    """Per issue: the lines line-context … line+context, clipped to the file.
-    Each issue is expanded to its (at most 2*context+1) target line numbers
-    and equi-joined to the lines, so no range join and no per-file pair
-    enumeration is needed."""
-    targets = issues.select("key", "project", "path", "line",
-                            F.explode(F.sequence(F.greatest(F.col("line") - context, F.lit(1)),
-                                                 F.col("line") + context)).alias("n"))
-    j = targets.join(lines.select("project", "path", "n", "text"), ["project", "path", "n"])
-    return (j.groupBy("key", "project", "path", "line")
-             .agg(F.min("n").alias("from_line"), F.max("n").alias("to_line"), F.count("*").alias("n_lines"),
-                  F.array_sort(F.collect_list(F.struct("n", "text"))).alias("ctx"))
-             .select("key", "project", "path", "line", "from_line", "to_line", "n_lines",
-                     F.array_join(F.transform("ctx", lambda s: F.concat(s["n"].cast("string"), F.lit(": "), s["text"])),
-                                  "\n").alias("preview")))
+def file_previews(files: DataFrame, context: int = 4) -> DataFrame:
+    """(project, path, lines array, issues array) -> per issue the lines line-context … line+context,
+    clipped to the file; for a finding without a line, the first 2*context+1.
+    Cut out of the file's row: no line leaves it but those shown."""
+    many = 2 * context + 1
+    lo = f"if(coalesce(i.line, 0) <= 0, 1, greatest(1, i.line - {context}))"
+    hi = f"least(size(lines), if(coalesce(i.line, 0) <= 0, {many}, i.line + {context}))"
+    shown = f"transform(sequence({lo}, {hi}), n -> concat(n, ': ', lines[n - 1]))"
+    each = (f"transform(filter(issues, i -> not i.silenced and {lo} <= {hi}), i -> struct(i.rule_id as rule_id, i.line as line, {lo} as from_line, {hi} as to_line, "
+            f"cast({hi} - {lo} + 1 as long) as n_lines, array_join({shown}, '\n') as preview))")
+    d = files.select("project", "path", F.inline(F.expr(each)))
+    key = issue_key(F.col("project"), F.col("rule_id"), F.col("path"), F.col("line"))
+    return d.select(key.alias("key"), "project", "path", "line", "from_line", "to_line", "n_lines", "preview")
 
 
 def platform_counts(issues: DataFrame) -> DataFrame:

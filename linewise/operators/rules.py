@@ -2,22 +2,23 @@
 
 apply_rules evaluates every enabled rule on every line as one projection of
 literal `rlike` predicates (each pattern compiled once per task), then
-explodes the hits: lines never leave their partition.  Guard regions are
-derived from the rare preprocessor-directive lines only, and suppression is
-an anti join on (project, path) with a line-range condition.
+explodes the hits: lines never leave their partition.  Guards and their
+suppression are folded inside the file row (operators/guards.py); for a table
+of lines alone there is an anti join on (project, path) with a line range.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from linewise import fixed
 from linewise.config import ScanConfig
 from linewise.functions.text import issue_key, java_regex, snippet
+from linewise.operators import guards
+from linewise.operators.lines import lines_array
 
 
 @dataclass(frozen=True)
@@ -186,13 +187,6 @@ def join_rules(lines: DataFrame, rules_df: DataFrame, cfg: ScanConfig = ScanConf
 
 
 # ------------------------------------------------------------------ guards
-PLATFORM_TOKENS = ["_WIN32", "__APPLE__", "__linux__", "_MSC_VER", "__GNUC__", "defined("]
-
-REGION_SCHEMA = ("project string, path string, from_line int, to_line int, "
-                 "in_win boolean, in_posix boolean, in_platform boolean")
-LAST_LINE = 2**31 - 1
-
-
 def directive_lines(lines: DataFrame) -> DataFrame:
     """Lines whose first non-blank character is '#': (project, path, n, d)
     with d = text after '#', left-trimmed."""
@@ -201,85 +195,19 @@ def directive_lines(lines: DataFrame) -> DataFrame:
                  .select("project", "path", "n", d.alias("d")))
 
 
-class _GuardState:
-    """Guard stack of one file; `step` applies one directive and returns the
-    state that holds from that line on, or None for a non-guard directive."""
-
-    def __init__(self):
-        self.stack: list[int] = []
-        self.depth = 0
-
-    def step(self, d: str):
-        win = "_WIN32" in d
-        plat = any(t in d for t in PLATFORM_TOKENS)
-        st = self.stack
-        if d.startswith("ifdef"):
-            st.append(1 if win else 0)
-            self.depth += plat
-        elif d.startswith("ifndef"):
-            st.append(2 if win else 0)
-            self.depth += plat
-        elif d.startswith("if"):
-            st.append((2 if "!" in d else 1) if win else 0)
-            self.depth += plat
-        elif d.startswith("elif"):
-            if st:
-                st[-1] = 0
-        elif d.startswith("else"):
-            if st and st[-1] in (1, 2):
-                st[-1] = 3 - st[-1]
-        elif d.startswith("endif"):
-            if st:
-                self.depth = max(0, self.depth - 1)
-                st.pop()
-        else:
-            return None
-        return (1 in st, 2 in st, self.depth > 0)
-
-
-def _regions_stream(batches):
-    """Directive lines of a partition, clustered by file and sorted by line
-    -> regions.  One pass; state is carried across Arrow batches."""
-    cur_file, state, pending, out = None, None, None, []
-
-    def close(to_line):
-        if pending is not None and any(pending[3:]):
-            out.append((*pending[:2], pending[2], to_line, *pending[3:]))
-
-    for pdf in batches:
-        for proj, path, n, d in zip(pdf["project"].tolist(), pdf["path"].tolist(), pdf["n"].tolist(),
-                                    pdf["d"].tolist()):
-            if (proj, path) != cur_file:
-                close(LAST_LINE)
-                cur_file, state, pending = (proj, path), _GuardState(), None
-            s = state.step(d)
-            if s is None:
-                continue
-            close(int(n) - 1)
-            pending = (proj, path, int(n), *s)
-        if out:
-            yield pd.DataFrame(out, columns=["project", "path", "from_line", "to_line", "in_win", "in_posix",
-                                             "in_platform"])
-            out = []
-    close(LAST_LINE)
-    if out:
-        yield pd.DataFrame(out, columns=["project", "path", "from_line", "to_line", "in_win", "in_posix",
-                                         "in_platform"])
-
-
 def guard_regions(lines: DataFrame) -> DataFrame:
     """lines -> regions(project, path, from_line, to_line, in_win, in_posix,
-    in_platform): line ranges where a suppressing guard state holds.  Only
-    directive lines are shuffled; they are clustered by file and sorted, and
-    each partition is folded in one pass (mapInPandas), so there is no
-    per-file Python call and no file group is ever collected."""
-    return regions_from_directives(directive_lines(lines))
+    in_platform): line ranges where a suppressing guard state holds.  For tables
+    of lines: the (rare) directive lines of a file meet by one exchange.  Where
+    the file row is at hand, `file_regions` needs none."""
+    d = (directive_lines(lines).groupBy("project", "path")
+         .agg(F.sort_array(F.collect_list(F.struct(F.col("n").cast("int").alias("n"), "d"))).alias("directives")))
+    return guards.with_regions(d)
 
 
-def regions_from_directives(d: DataFrame) -> DataFrame:
-    """(project, path, n, d) directive rows -> regions."""
-    d = d.repartition("project", "path").sortWithinPartitions("project", "path", "n")
-    return d.mapInPandas(_regions_stream, REGION_SCHEMA)
+def file_regions(files: DataFrame) -> DataFrame:
+    """The same regions from file rows: a projection."""
+    return guards.with_regions(files.select("project", "path", guards.directives(lines_array(F.col("content"))).alias("directives")))
 
 
 def suppress_guard(issues: DataFrame, regions: DataFrame) -> DataFrame:
@@ -296,17 +224,11 @@ def suppress_guard(issues: DataFrame, regions: DataFrame) -> DataFrame:
 
 
 def file_issues(lines: DataFrame, cfg: ScanConfig = ScanConfig(), rules: list[Rule] | None = None) -> DataFrame:
-    """Final issues table: rules applied, guard suppression done."""
+    """Issues of a table of lines: rules applied, guard suppression done.  Plans
+    that hold file rows take them from plans/facts.py, without a join."""
     return suppress_guard(apply_rules(lines, cfg, rules), guard_regions(lines))
 
 
-def file_issue_count(metrics: DataFrame, issues: DataFrame) -> DataFrame:
-    """metrics + issues per file (0 when none): partial count then left join."""
-    cnt = issues.groupBy("project", "path").agg(F.count("*").alias("issues"))
-    return (metrics.join(cnt, ["project", "path"], "left")
-                   .withColumn("issues", F.coalesce(F.col("issues"), F.lit(0)).cast("long")))
-
-
 def platform_bucket(rule_id: Column) -> Column:
     return (F.when(F.startswith(rule_id, F.lit("PORT-WIN")), "WIN")
             .when(F.startswith(rule_id, F.lit("PORT-POSIX")), "NIX").otherwise("ALL"))

@@ -2,9 +2,8 @@
 technologies} -> per-project report.
 
 Everything is lazy; each frame is built on first use.  Shuffle boundaries:
-  * metrics, licences, blocks, candidate issues: none (per-file projections
-    and Generate over the file row);
-  * guard regions: directive lines only, by file;
+  * metrics, licences, blocks, issues with guard suppression, previews: none
+    (per-file projections and Generate over the file row);
   * duplicate counting: by (project, block hash), partial aggregation first;
   * rollups: by project, partial aggregation first.
 `lines` is not cached: re-deriving it from the files scan is cheaper than
@@ -19,24 +18,31 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from linewise.config import ScanConfig, ScoreConfig
-from linewise.operators import deps, duplicates, health, licenses, lines, metrics, rules
+from linewise.functions.text import issue_key
+from linewise.operators import deps, duplicates, health, issues, licenses, lines, metrics
 
 
 class Analysis:
     def __init__(self, files: DataFrame, cfg: ScanConfig = ScanConfig(), score_cfg: ScoreConfig = ScoreConfig(),
-                 thresholds: DataFrame | None = None, materialize: bool = False):
+                 thresholds: DataFrame | None = None, materialize: bool = False, corpus: str | None = None):
         """materialize=True: one pass over the corpus writes a per-file facts
         table (plans/facts.py) under spark.checkpoint.dir; metrics, issues,
-        guard regions, blocks and licences are then read from it."""
+        blocks and licences are then read from it.  With a corpus name that table
+        is shared: written once per state of the input files and merged when
+        they change (plans/store.py)."""
         self.files = files
         self.cfg = cfg
         self.score_cfg = score_cfg
         self.thresholds = thresholds
-        self.materialized = materialize
+        self.materialized = materialize or corpus is not None
+        self.corpus = corpus
 
     @cached_property
     def facts(self) -> DataFrame:
         from linewise.plans.facts import file_facts, materialize
+        from linewise.plans.store import shared_facts
+        if self.corpus is not None:
+            return shared_facts(self.files, self.corpus, self.cfg)
         return materialize(file_facts(self.files, self.cfg))
 
     @cached_property
@@ -50,27 +56,35 @@ class Analysis:
         return metrics.file_metrics(self.files, self.cfg)
 
     @cached_property
-    def candidate_issues(self) -> DataFrame:
+    def file_issues(self) -> DataFrame:
+        """(project, path, issues) per file; each issue says whether guards silence it."""
         if self.materialized:
-            i = self.facts.select("project", "path", F.explode("issues").alias("i")).select("project", "path", "i.*")
-            return i.withColumn("key", F.concat_ws(":", "project", "rule_id", "path", F.col("line").cast("string")))
-        return rules.apply_rules(self.lines, self.cfg)
+            return self.facts.select("project", "path", "issues")
+        from linewise.plans.facts import file_issues
+        return file_issues(self.files, self.cfg)
 
     @cached_property
-    def regions(self) -> DataFrame:
-        if self.materialized:
-            d = self.facts.select("project", "path", F.explode("directives").alias("x")).select("project", "path", "x.*")
-            return rules.regions_from_directives(d)
-        return rules.guard_regions(self.lines)
+    def candidate_issues(self) -> DataFrame:
+        i = self.file_issues.select("project", "path", F.explode("issues").alias("i")).select("project", "path", "i.*")
+        return i.withColumn("key", issue_key(F.col("project"), F.col("rule_id"), F.col("path"), F.col("line")))
 
     @cached_property
     def issues(self) -> DataFrame:
-        return rules.suppress_guard(self.candidate_issues, self.regions)
+        return self.candidate_issues.filter("not silenced").drop("silenced")
 
     @cached_property
     def file_records(self) -> DataFrame:
         """metrics + issue count per file."""
-        return rules.file_issue_count(self.metrics, self.issues)
+        many = F.expr("cast(size(filter(issues, i -> not i.silenced)) as long)").alias("issues")
+        if self.materialized:
+            return self.facts.select("project", "path", "language", "mtime", *metrics.METRIC_COLUMNS, "dependencies", many)
+        return self.metrics.join(self.file_issues.select("project", "path", many), ["project", "path"])
+
+    @cached_property
+    def previews(self) -> DataFrame:
+        """The source around each issue, cut out of its file's row: one scan, no exchange."""
+        from linewise.plans.facts import file_issues
+        return issues.file_previews(file_issues(self.files, self.cfg, lines=True))
 
     @cached_property
     def blocks(self) -> DataFrame:

@@ -39,9 +39,9 @@ def _files(spark, sf):
 
 
 def _analysis(spark, sf, materialize: bool = True) -> Analysis:
-    """Scan plan over the corpus; by default one pass writes the per-file
-    facts table and every rollup reads from it."""
-    return Analysis(_files(spark, sf), materialize=materialize)
+    """Scan plan over the corpus; by default every rollup reads the corpus's
+    shared facts table, which the first query writes."""
+    return Analysis(_files(spark, sf), corpus=f"driver tables {sf}" if materialize else None)
 
 
 # ----------------------------------------------------------------- step 1
@@ -238,14 +238,13 @@ def q_rule_enabled(spark, sf):
 
 @query("guard_regions")
 def q_guard_regions(spark, sf):
-    return rules.guard_regions(lines.explode_lines(_files(spark, sf)))
+    return rules.file_regions(_files(spark, sf))
 
 
 @query("suppress_guard")
 def q_suppress_guard(spark, sf):
     a = _analysis(spark, sf)
-    gone = a.candidate_issues.join(a.issues.select("key"), "key", "left_anti")
-    return gone.select("project", "path", F.col("line").cast("int").alias("line"), "rule_id")
+    return a.candidate_issues.filter("silenced").select("project", "path", F.col("line").cast("int").alias("line"), "rule_id")
 
 
 @query("join_guard_regions")

@@ -4,6 +4,7 @@ exports, history, incremental scans, logs and sessions."""
 from __future__ import annotations
 
 import hashlib
+import uuid
 
 from pyspark.sql import functions as F
 
@@ -21,8 +22,9 @@ from linewise.sources import fixtures as FX
 
 
 def _scratch(spark, sf, name):
+    """A folder of this call's own: a later query never overwrites what an earlier result still reads."""
     tag = hashlib.sha1(sf.encode()).hexdigest()[:10]
-    return shared_path(spark, f"linewise/{name}-{tag}")
+    return shared_path(spark, f"linewise/{name}-{tag}-{uuid.uuid4().hex[:12]}")
 
 
 def _status_store(spark, sf):
@@ -65,9 +67,7 @@ def q_overlay_status(spark, sf):
 
 @query("source_preview")
 def q_source_preview(spark, sf):
-    a = _analysis(spark, sf)
-    # the line text is re-derived from the files scan only for the preview
-    return I.source_preview(a.issues, a.lines).select("key", "from_line", "to_line", "n_lines", "preview")
+    return _analysis(spark, sf, materialize=False).previews.select("key", "from_line", "to_line", "n_lines", "preview")
 
 
 @query("platform_bucket")

@@ -2,8 +2,8 @@
 
 `file_facts` evaluates, in a single projection of each file row, everything
 the rollups need: line breakdown, complexity, functions, nesting,
-dependencies, licence header, candidate issues, preprocessor directives and
-duplicate-block hashes.  Written once (parquet under spark.checkpoint.dir),
+dependencies, licence header, issues (with what platform guards say of them)
+and duplicate-block hashes.  Written once (parquet under spark.checkpoint.dir),
 it replaces four scans of the raw corpus by one, and cuts the lineage: a lost
 executor recomputes from the facts table, not from the raw text.
 """
@@ -21,6 +21,7 @@ from linewise.functions.lang import decision_points, function_count_raw, max_nes
 from linewise.functions.text import has_copyright, snippet, spdx_of_line
 from linewise.operators.deps import dependencies_of
 from linewise.operators.duplicates import block_array, normalized_lines
+from linewise.operators.guards import directives, silenced_issues
 from linewise.operators.lines import breakdown_fold, lines_array, phantom_line
 from linewise.operators.rules import _hit, select_rules
 from linewise.session import shared_path
@@ -47,13 +48,6 @@ def _line_issues(lines, cfg: ScanConfig):
     return F.flatten(F.transform(lines, per_line))
 
 
-def _directives(lines):
-    numbered = F.transform(lines, lambda x, i: F.struct((i + 1).alias("n"), x.alias("text")))
-    kept = F.filter(numbered, lambda s: s["text"].rlike(r"^[ \t]*#"))
-    return F.transform(kept, lambda s: F.struct(s["n"].alias("n"),
-                                                F.regexp_extract(s["text"], r"(?s)^[ \t]*#[ \t]*(.*)\z", 1).alias("d")))
-
-
 def file_facts(files: DataFrame, cfg: ScanConfig = ScanConfig()) -> DataFrame:
     content, lang = F.col("content"), F.col("language")
     base = files.select("project", "path", "language", "mtime", "content", lines_array(content).alias("_lines"))
@@ -65,8 +59,8 @@ def file_facts(files: DataFrame, cfg: ScanConfig = ScanConfig()) -> DataFrame:
     code = F.col("_bd.code")
     spdx = F.get(F.filter(F.transform(head, spdx_of_line), lambda s: s != ""), 0)
     cr = F.exists(head, has_copyright)
-    return base.select(
-        "project", "path", "language", "mtime",
+    facts = base.select(
+        "project", "path", "language", "mtime", F.xxhash64("content").alias("content_hash"),
         (F.size("_lines").cast("long") + ph).alias("total_lines"),
         code.alias("code_lines"),
         F.col("_bd.cmt").alias("comment_lines"),
@@ -77,10 +71,20 @@ def file_facts(files: DataFrame, cfg: ScanConfig = ScanConfig()) -> DataFrame:
         F.col("_bd.lng").alias("long_lines"),
         dependencies_of(F.col("_lines")).alias("dependencies"),
         spdx.alias("spdx"), cr.alias("has_copyright"), (spdx.isNotNull() | cr).alias("has_header"),
-        _line_issues(F.col("_lines"), cfg).alias("issues"),
-        _directives(F.col("_lines")).alias("directives"),
         block_array(F.col("_norm"), max(1, cfg.duplication_block_lines)).alias("blocks"),
+        _line_issues(F.col("_lines"), cfg).alias("issues"),
+        directives(F.col("_lines")).alias("_directives"),
     )
+    return silenced_issues(facts, "issues", "_directives").drop("_directives")
+
+
+def file_issues(files: DataFrame, cfg: ScanConfig = ScanConfig(), lines: bool = False) -> DataFrame:
+    """(project, path, issues): the issues of each file in one projection of its row,
+    each with `silenced`; with `lines`, also the file's line array."""
+    base = files.select("project", "path", lines_array(F.col("content")).alias("lines"))
+    d = base.select("project", "path", "lines", _line_issues(F.col("lines"), cfg).alias("issues"), directives(F.col("lines")).alias("_directives"))
+    out = silenced_issues(d, "issues", "_directives").drop("_directives")
+    return out if lines else out.drop("lines")
 
 
 def materialize(df: DataFrame, name: str = "facts") -> DataFrame:
