@@ -245,11 +245,11 @@ def q_burst_throttle(spark, sf):
 
 
 # ----------------------------------------------------------------- streaming
-def _run_stream(spark, name, frame, job, order_by=None, **kw):
+def _run_stream(spark, name, frame, job, order_by=None, tick=None, **kw):
     """Stage `frame` as a file stream source, run `job` with availableNow,
     return the sink path."""
     from linewise.streaming import jobs as S
-    src = S.stage(frame, S.fresh(spark, f"{name}-src"), order_by=order_by)
+    src = S.stage(frame, S.fresh(spark, f"{name}-src"), order_by=order_by, tick=tick)
     sink, ckpt = S.fresh(spark, f"{name}-sink"), S.fresh(spark, f"{name}-ckpt")
     job(spark, src, frame.schema, sink, ckpt, **kw)
     return sink
@@ -257,16 +257,30 @@ def _run_stream(spark, name, frame, job, order_by=None, **kw):
 
 @query("stream_watch_scan")
 def q_stream_watch_scan(spark, sf):
+    """Two listings of the corpus: the second edits, adds and removes files of the first."""
     from linewise.streaming import jobs as S
-    sink = _run_stream(spark, "watch", _files(spark, sf), S.watch_scan)
-    m = spark.read.parquet(sink)
-    return m.select("project", "path", "language", *M.METRIC_COLUMNS)
+    files = _files(spark, sf).select("project", "path", "ext", "language", "content", "size", "mtime")
+    doc = FX.doc_id_of(F.col("path"))
+    was, is_now = F.coalesce(doc % 11 != 0, F.lit(True)), F.coalesce(doc % 13 != 0, F.lit(True))
+    old = F.coalesce(doc % 4 == 0, F.lit(False))
+    before = files.filter(was).withColumn("content", F.when(old, F.concat("content", F.lit("\ngoto old;"))).otherwise(F.col("content")))
+    before = before.withColumn("mtime", F.when(old, F.timestamp_add("HOUR", F.lit(-1), F.col("mtime"))).otherwise(F.col("mtime")))
+    now = files.filter(is_now).unionByName(files.filter(was & ~is_now).withColumn("content", F.lit(None).cast("string")))
+    src, sink, ckpt = (S.fresh(spark, f"watch-{n}") for n in ("src", "sink", "ckpt"))
+    schema = before.withColumn("seen", F.lit(1)).schema
+    S.stage(before.withColumn("seen", F.lit(1)), src, 2)
+    S.watch_scan(spark, src, schema, sink, ckpt)
+    now.withColumn("seen", F.lit(2)).repartition(2).write.mode("append").parquet(src)
+    S.watch_scan(spark, src, schema, sink, ckpt)
+    issues = F.expr("cast(size(filter(issues, i -> not i.silenced)) as long)").alias("issues")
+    return S.watched(spark, sink).select("project", "path", "language", *M.METRIC_COLUMNS, issues)
 
 
 @query("stream_rule_counts")
 def q_stream_rule_counts(spark, sf):
     from linewise.streaming import jobs as S
-    sink = _run_stream(spark, "rulecounts", _files(spark, sf), S.rule_counts)
+    tick = dict.fromkeys(("project", "path", "language", "content"), "tick")
+    sink = _run_stream(spark, "rulecounts", _files(spark, sf), S.rule_counts, order_by="mtime", tick=tick)
     r = spark.read.parquet(sink)
     return r.select(iso_ts(F.col("window_start")).alias("window_start"), iso_ts(F.col("window_end")).alias("window_end"),
                     "rule_id", "severity", "issues")
@@ -298,8 +312,8 @@ def q_stream_grade_alert(spark, sf):
 @query("stream_log_ring")
 def q_stream_log_ring(spark, sf):
     from linewise.streaming import jobs as S
-    sink = _run_stream(spark, "logs", FX.logs(spark, sf), S.log_sink)
-    r = L.log_recent(spark.read.parquet(sink), "info", 200)
+    table = _run_stream(spark, "logs", FX.logs(spark, sf), S.log_ring)
+    r = L.log_recent(S.read_ring(spark, table), "info", 200)
     return r.select(iso_ts(F.col("timestamp")).alias("timestamp"), "level", "message")
 
 
@@ -307,7 +321,7 @@ def q_stream_log_ring(spark, sf):
 def q_stream_sessionize(spark, sf):
     from linewise.streaming import jobs as S
     ev = FX.events_ts(spark, sf).select("user_id", "ts")
-    sink = _run_stream(spark, "sessions", ev, S.sessions, order_by="ts")
+    sink = _run_stream(spark, "sessions", ev, S.sessions, order_by="ts", tick={})
     s = spark.read.parquet(sink)
     return s.select("user_id", iso_ts(F.col("session_start")).alias("session_start"),
                     iso_ts(F.col("session_end")).alias("session_end"), "events")
@@ -316,10 +330,9 @@ def q_stream_sessionize(spark, sf):
 @query("stream_burst_throttle")
 def q_stream_burst_throttle(spark, sf):
     from linewise.streaming import jobs as S
-    sink = _run_stream(spark, "throttle", FX.attempts(spark, sf), S.throttle, order_by="ts")
+    sink = _run_stream(spark, "throttle", FX.attempts(spark, sf), S.throttle, order_by="ts", tick={})
     t = spark.read.parquet(sink)
-    return t.groupBy("user_id").agg(F.count("*").alias("attempts"), F.count_if("blocked").alias("blocked"),
-                                    F.count_if(~F.col("ok")).alias("failures"))
+    return t.select("user_id", "event_id", iso_ts(F.col("ts")).alias("ts"), "ok", "blocked")
 
 
 # ----------------------------------------------------------------- helpers seen from the other side

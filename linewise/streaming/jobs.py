@@ -11,27 +11,28 @@ from __future__ import annotations
 
 import uuid
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupStateTimeout
 
 from linewise.config import ScanConfig
 from linewise.functions.text import grade_at_or_below, log_level_from, log_level_rank
 from linewise.operators import lines as LN
-from linewise.operators import metrics as M
 from linewise.operators import rules as R
+from linewise.plans.facts import file_facts
 from linewise.session import shared_path
+from linewise.streaming import stateful
 
 
 def fresh(spark: SparkSession, name: str) -> str:
     return shared_path(spark, f"linewise-stream/{name}-{uuid.uuid4().hex[:12]}")
 
 
-def stage(df: DataFrame, path: str, parts: int = 4, order_by: str | None = None) -> str:
+def stage(df: DataFrame, path: str, parts: int = 4, order_by: str | None = None, tick: dict | None = None) -> str:
     """Write a frame as `parts` parquet files: the stream then sees several
     micro-batches when read with maxFilesPerTrigger=1 (in event-time order
-    when order_by names the time column)."""
+    when order_by names the time column; rows without a time come first).
+    tick: values of one last row, a clock tick three days after all others, which
+    moves the watermark past them (columns that it does not name are null)."""
     if not order_by:
         df.repartition(parts).write.mode("overwrite").parquet(path)
         return path
@@ -41,14 +42,19 @@ def stage(df: DataFrame, path: str, parts: int = 4, order_by: str | None = None)
     secs = F.unix_micros(F.col(order_by).cast("timestamp"))
     cuts = df.select(secs.alias("_t")).approxQuantile("_t", [i / parts for i in range(1, parts)], 0.001)
     bounds = [None, *cuts, None]
-    for i in range(parts):
+    for i in range(len(bounds) - 1):
         lo, hi = bounds[i], bounds[i + 1]
         cond = F.lit(True)
         if lo is not None:
             cond = cond & (secs >= F.lit(int(lo)))
         if hi is not None:
             cond = cond & (secs < F.lit(int(hi)))
-        df.filter(cond).coalesce(1).write.mode("overwrite" if i == 0 else "append").parquet(path)
+        df.filter(F.coalesce(cond, F.lit(i == 0))).coalesce(1).write.mode("overwrite" if i == 0 else "append").parquet(path)
+    if tick is not None:
+        last = df.agg(F.max(order_by).alias("_t")).filter("_t is not null")
+        at = F.timestamp_add("DAY", F.lit(3), F.col("_t"))
+        row = [(at if c == order_by else F.lit(tick.get(c))).cast(df.schema[c].dataType).alias(c) for c in df.columns]
+        last.select(*row).write.mode("append").parquet(path)
     return path
 
 
@@ -66,37 +72,54 @@ def _finish(query) -> None:
 # ------------------------------------------------------------------ watch scan
 def watch_scan(spark: SparkSession, files_path: str, schema, sink: str, ckpt: str,
                cfg: ScanConfig = ScanConfig()) -> None:
-    """New files -> per-file metrics, appended (stateless map).  Edited files
-    are not re-emitted by a file source; they go through incremental_plan
-    in a scheduled batch."""
-    files = file_stream(spark, files_path, schema)
-    out = M.file_metrics(files, cfg, with_deps=False)
-    q = (out.writeStream.format("parquet").option("path", sink).option("checkpointLocation", ckpt)
-            .outputMode("append").trigger(availableNow=True).start())
-    _finish(q)
+    """Sightings of files (content null: the file is gone; seen: which listing)
+    -> facts of the files that were added or edited, and a mark for removed ones.
+
+    Keyed state (path -> time, content hash) lets only changes through.  Each
+    batch writes what changed in it to a folder of its own, which a batch that is
+    run again overwrites; `watched` reads the present state of the corpus."""
+    rows = stateful.sightings(file_stream(spark, files_path, schema))
+    changes = rows.groupBy("project", "path").transformWithStateInPandas(stateful.Listing(), stateful.CHANGE, "Append", "none")
+
+    def write(batch: DataFrame, epoch: int) -> None:
+        # the state runs once: what it let through is written before it is evaluated
+        at = f"{sink}/changes/epoch={epoch}"
+        batch.write.mode("overwrite").parquet(at)
+        changed = batch.sparkSession.read.schema(batch.schema).parquet(at)
+        facts = file_facts(changed.filter("change != 'removed'"), cfg).withColumn("removed", F.lit(False))
+        gone = changed.filter("change = 'removed'").select("project", "path", F.lit(True).alias("removed"))
+        facts.unionByName(gone, allowMissingColumns=True).write.mode("overwrite").parquet(f"{sink}/facts/epoch={epoch}")
+
+    with stateful.state_in_rocksdb(spark):
+        q = (changes.writeStream.outputMode("append").foreachBatch(write).option("checkpointLocation", ckpt)
+                .trigger(availableNow=True).start())
+        _finish(q)
+
+
+def watched(spark: SparkSession, sink: str) -> DataFrame:
+    """The facts of the corpus as watch_scan last saw it: per file the last batch's row."""
+    facts = spark.read.parquet(f"{sink}/facts")
+    last = facts.groupBy("project", "path").agg(F.max("epoch").alias("epoch"))
+    return facts.join(last, ["project", "path", "epoch"]).filter("not removed").drop("removed", "epoch")
 
 
 # ------------------------------------------------------------------ rule counts
 def rule_counts(spark: SparkSession, files_path: str, schema, sink: str, ckpt: str,
-                window: str = "1 hour", delay: str = "1 day", cfg: ScanConfig = ScanConfig()) -> None:
-    """Live rule-hit counts per (event-time window of the file mtime, rule,
-    severity), before platform-guard suppression (guard regions need the
-    whole file's directive stack; the batch plan applies them).  The
-    watermark bounds the window state; each micro-batch rewrites the full
-    result table (complete mode through foreachBatch)."""
+                window: str = "1 hour", slide: str = "30 minutes", delay: str = "1 day",
+                cfg: ScanConfig = ScanConfig()) -> None:
+    """Live rule-hit counts per (sliding event-time window of the file mtime,
+    rule, severity), before platform-guard suppression (the batch plan applies
+    it).  Append mode: a window is written once, when the watermark passes its
+    end, and then leaves the state; rows later than `delay` are dropped."""
     files = file_stream(spark, files_path, schema).withWatermark("mtime", delay)
     ln = (files.select("project", "path", "language", "mtime", F.posexplode(LN.lines_array(F.col("content"))))
                .select("project", "path", "language", "mtime", (F.col("pos") + 1).alias("n"), F.col("col").alias("text")))
     iss = _issues_with_mtime(ln, cfg)
-    agg = (iss.groupBy(F.window("mtime", window).alias("w"), "rule_id", "severity")
+    agg = (iss.groupBy(F.window("mtime", window, slide).alias("w"), "rule_id", "severity")
               .agg(F.count("*").alias("issues")))
-
-    def write(batch: DataFrame, epoch: int) -> None:
-        batch.select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"),
-                     "rule_id", "severity", "issues").write.mode("overwrite").parquet(sink)
-
-    q = (agg.writeStream.outputMode("complete").foreachBatch(write).option("checkpointLocation", ckpt)
-            .trigger(availableNow=True).start())
+    out = agg.select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "rule_id", "severity", "issues")
+    q = (out.writeStream.format("parquet").option("path", sink).option("checkpointLocation", ckpt)
+            .outputMode("append").trigger(availableNow=True).start())
     _finish(q)
 
 
@@ -168,14 +191,26 @@ def grade_alert(spark: SparkSession, history_path: str, schema, sink: str, ckpt:
 
 
 # ------------------------------------------------------------------ log ring
-def log_sink(spark: SparkSession, logs_path: str, schema, sink: str, ckpt: str, min_level: str = "info") -> None:
-    """Log entries at or above min_level appended to a log table; the recent
-    view is log_recent over the table."""
+def log_ring(spark: SparkSession, logs_path: str, schema, table: str, ckpt: str, min_level: str = "info",
+             keep: int = 200, shards: int = 8) -> None:
+    """The newest `keep` log entries at or above min_level, in keyed state of at
+    most `keep` entries for each of `shards` keys.  The versioned table holds
+    the shards' rings, so it is as bounded as the state."""
     s = file_stream(spark, logs_path, schema)
-    out = s.filter(log_level_rank(log_level_from(F.col("level"))) >= log_level_rank(F.lit(min_level)))
-    q = (out.writeStream.format("parquet").option("path", sink).option("checkpointLocation", ckpt)
-            .outputMode("append").trigger(availableNow=True).start())
-    _finish(q)
+    s = s.filter(log_level_rank(log_level_from(F.col("level"))) >= log_level_rank(F.lit(min_level)))
+    rings = stateful.ring_entries(s, shards).groupBy("shard").transformWithStateInPandas(stateful.LogRing(keep), stateful.RING_OUT, "Append", "none")
+
+    def newest(df: DataFrame) -> DataFrame:
+        return df.join(df.groupBy("shard").agg(F.max("turn").alias("turn")), ["shard", "turn"])
+    with stateful.state_in_rocksdb(spark):
+        q = (rings.writeStream.foreachBatch(_versioned_merge(table, newest)).option("checkpointLocation", ckpt)
+                .outputMode("append").trigger(availableNow=True).start())
+        _finish(q)
+
+
+def read_ring(spark: SparkSession, table: str) -> DataFrame:
+    """timestamp, level, message, event_id of all shards' rings."""
+    return read_versioned(spark, table).select(F.timestamp_micros("at").alias("timestamp"), "level", "message", "event_id")
 
 
 # ------------------------------------------------------------------ sessions
@@ -192,44 +227,20 @@ def sessions(spark: SparkSession, events_path: str, schema, sink: str, ckpt: str
 
 
 # ------------------------------------------------------------------ throttle
-THROTTLE_OUT = "user_id long, event_id long, ts timestamp, ok boolean, blocked boolean"
-THROTTLE_STATE = "failures long, start long"
-
-
-def _throttle_state_fn(max_attempts: int, window_s: int):
-    def fn(key, pdfs, state):
-        count, start = (state.get if state.exists else (0, None))
-        if start is not None and start < 0:
-            start = None
-        for pdf in pdfs:
-            pdf = pdf.sort_values(["ts", "event_id"])
-            blocked = []
-            for t, ok in zip(pdf["ts"].tolist(), pdf["ok"].tolist()):
-                now = pd.Timestamp(t).value // 10**9
-                if start is None or now - start >= window_s:
-                    count, start = 0, now
-                b = max_attempts > 0 and count >= max_attempts
-                if not b:
-                    if ok:
-                        count, start = 0, None
-                    else:
-                        count += 1
-                blocked.append(b)
-            out = pdf[["user_id", "event_id", "ts", "ok"]].copy()
-            out["blocked"] = blocked
-            yield out
-        state.update((int(count), -1 if start is None else int(start)))
-    return fn
-
-
 def throttle(spark: SparkSession, attempts_path: str, schema, sink: str, ckpt: str,
-             max_attempts: int = 5, window_s: int = 60) -> None:
-    """Per-user throttle state (failures, window start) kept in keyed state
-    across micro-batches (applyInPandasWithState)."""
-    s = file_stream(spark, attempts_path, schema)
-    out = s.groupBy("user_id").applyInPandasWithState(
-        _throttle_state_fn(max_attempts, window_s), THROTTLE_OUT, THROTTLE_STATE, "append",
-        GroupStateTimeout.NoTimeout)
-    q = (out.writeStream.format("parquet").option("path", sink).option("checkpointLocation", ckpt)
-            .outputMode("append").trigger(availableNow=True).start())
-    _finish(q)
+             max_attempts: int = 5, window_s: int = 60, delay: str = "2 hours") -> None:
+    """Per-user throttle in event time: attempts that come out of order, by up to
+    `delay`, are judged in order once the watermark has passed them; users whose
+    window has ended leave the state."""
+    s = file_stream(spark, attempts_path, schema).withWatermark("ts", delay)
+    kind = schema["user_id"].dataType
+    rows = s.select(F.col("user_id").cast("string").alias("user_id"), "event_id", "ts", "ok")
+    machine = stateful.OrderedThrottle(max_attempts, window_s)
+    # the watermark's column stays a timestamp; the processor takes microseconds
+    judged = rows.withColumn("ts_micros", F.unix_micros("ts")).groupBy("user_id").transformWithStateInPandas(
+        machine, stateful.JUDGED, "Append", "EventTime")
+    out = judged.select(F.col("user_id").cast(kind).alias("user_id"), "event_id", F.timestamp_micros("ts").alias("ts"), "ok", "blocked")
+    with stateful.state_in_rocksdb(spark):
+        q = (out.writeStream.format("parquet").option("path", sink).option("checkpointLocation", ckpt)
+                .outputMode("append").trigger(availableNow=True).start())
+        _finish(q)

@@ -131,12 +131,12 @@ def test_history_ring_and_bad_lines(spark):
 def test_streaming_equals_batch_and_restart(spark):
     from linewise.sources.corpus import corpus_files
     from linewise.streaming import jobs as S
-    f = corpus_files(spark, SF_SMALL)
+    f = corpus_files(spark, SF_SMALL).withColumn("seen", F.lit(1))
     src = S.stage(f, S.fresh(spark, "t-src"))
     sink, ckpt = S.fresh(spark, "t-sink"), S.fresh(spark, "t-ckpt")
     S.watch_scan(spark, src, f.schema, sink, ckpt)
     S.watch_scan(spark, src, f.schema, sink, ckpt)          # restart: nothing new, no duplicates
-    got = spark.read.parquet(sink).select("path", "code_lines").collect()
+    got = S.watched(spark, sink).select("path", "code_lines").collect()
     want = file_metrics(f, with_deps=False).select("path", "code_lines").collect()
     assert sorted(got) == sorted(want)
 
