@@ -9,6 +9,7 @@ of lines alone there is an anti join on (project, path) with a line range.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -19,6 +20,7 @@ from linewise.config import ScanConfig
 from linewise.functions.text import issue_key, java_regex, snippet
 from linewise.operators import guards
 from linewise.operators.lines import lines_array
+from linewise.operators.rule_index import necessary_literals, proposer
 
 
 @dataclass(frozen=True)
@@ -172,13 +174,55 @@ def apply_rules(lines: DataFrame, cfg: ScanConfig = ScanConfig(), rules: list[Ru
                      issue_key(F.col("project"), F.col("r.rule_id"), F.col("path"), F.col("line")).alias("key"))
 
 
+RULE_BATCH = 5_000          # rules of one index
+RULE_BATCH_BYTES = 4 << 20  # and bytes of their patterns
+
+
+def rule_batches(rules_df: DataFrame) -> Iterator[list]:
+    """The enabled rules in batches of bounded size, read one after the other."""
+    batch, size = [], 0
+    for r in rules_df.filter("enabled").select("rule_ord", "rule_id", "pattern").toLocalIterator():
+        if batch and (len(batch) >= RULE_BATCH or size + len(r.pattern or "") > RULE_BATCH_BYTES):
+            yield batch
+            batch, size = [], 0
+        if r.pattern is not None:
+            batch.append(r)
+            size += len(r.pattern)
+    if batch:
+        yield batch
+
+
 def join_rules(lines: DataFrame, rules_df: DataFrame, cfg: ScanConfig = ScanConfig()) -> DataFrame:
-    """Generic form for a user-supplied rules table: theta join of lines with
-    the (small, broadcast) enabled rules on `text rlike pattern`.  The
-    catalogue form `apply_rules` is preferred: its patterns are literals."""
-    enabled = rules_df.filter("enabled").withColumn("jpattern", F.col("pattern"))
-    guarded = rule_lines(lines, cfg)
-    j = guarded.join(F.broadcast(enabled), F.expr("text rlike jpattern"), "inner")
+    """Issues of lines by a user's rules table of any size (rule_ord names a rule).
+
+    Rules are taken in batches of bounded size.  An index of the literals that a
+    match must hold proposes (line, rule) pairs; those pairs join the rules by
+    number and the pattern decides.  Patterns without such a literal are tested
+    on every line, as literal predicates compiled once a task.  Patterns that
+    java.util.regex rejects match nothing (see rejected_rules)."""
+    cols = ["project", "path", "n", "text"]
+    guarded = rule_lines(lines, cfg).select(*cols)
+    hits = None
+    for batch in rule_batches(rules_df):
+        sound = [r for r in batch if pattern_error(r.pattern) is None]
+        literals = {r.rule_ord: necessary_literals(r.pattern) for r in sound}
+        entries = [(w, o) for o, ws in literals.items() for w in ws or ()]
+        found = []
+        if entries:
+            pairs = guarded.mapInPandas(proposer(entries), f"{_schema(guarded)}, proposed array<int>")
+            pairs = pairs.select(*cols, F.explode("proposed").alias("rule_ord"))
+            # a batch's patterns: at most RULE_BATCH rows and RULE_BATCH_BYTES bytes
+            patterns = lines.sparkSession.createDataFrame([(r.rule_ord, r.pattern) for r in sound if literals[r.rule_ord]], "rule_ord int, jpattern string")
+            found.append(pairs.join(F.broadcast(patterns), "rule_ord").filter(F.expr("text rlike jpattern")).select(*cols, "rule_ord"))
+        for group in _groups([r for r in sound if not literals[r.rule_ord]], 50):
+            each = F.array_compact(F.array(*[F.when(F.col("text").rlike(r.pattern), F.lit(r.rule_ord)) for r in group]))
+            found.append(guarded.select(*cols, F.explode(each).alias("rule_ord")))
+        for f in found:
+            hits = f if hits is None else hits.unionByName(f)
+    if hits is None:
+        hits = guarded.limit(0).withColumn("rule_ord", F.lit(0))
+    info = rules_df.filter("enabled").select(F.col("rule_ord").cast("int").alias("rule_ord"), "rule_id", "title", "cwe", "severity", "factor", "remediation_minutes")
+    j = hits.join(info, "rule_ord")
     j = j.filter(~(F.contains("text", F.lit(cfg.suppress_marker)) & F.contains("text", F.col("rule_id"))))
     return j.select("project", "path", F.col("n").alias("line"), "rule_ord", "rule_id", "title", "cwe", "severity",
                     "factor", "remediation_minutes", snippet(F.col("text")).alias("snippet"),
@@ -186,6 +230,14 @@ def join_rules(lines: DataFrame, rules_df: DataFrame, cfg: ScanConfig = ScanConf
                     issue_key(F.col("project"), F.col("rule_id"), F.col("path"), F.col("n")).alias("key"))
 
 
+def _groups(items: list, n: int) -> list[list]:
+    return [items[i:i + n] for i in range(0, len(items), n)]
+
+
+def _schema(df: DataFrame) -> str:
+    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
+
+
 # ------------------------------------------------------------------ guards
 def directive_lines(lines: DataFrame) -> DataFrame:
     """Lines whose first non-blank character is '#': (project, path, n, d)
