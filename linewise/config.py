@@ -51,8 +51,8 @@ class ScoreConfig:
     dup_transfer_cap: float = 15.0
     hourly_rate: float = 75.0
     dev_minutes_per_line: float = 0.5
-    # Per-language complexity thresholds: read by the tool but never used in
-    # scoring; honoured only when use_language_thresholds is set.
+    # Per-language complexity thresholds: they count only when
+    # use_language_thresholds is set (health.language_excess).
     language_thresholds: dict = field(default_factory=dict)
     use_language_thresholds: bool = False
 
@@ -67,6 +67,7 @@ class GateConfig:
     min_tqi: float = 80.0          # < 0 disables the check
     max_issues: int = -1           # < 0 disables the check
     max_critical: int = 0          # < 0 disables the check
+    max_new_critical: int = -1     # < 0 disables the check
 
 
 @dataclass(frozen=True)

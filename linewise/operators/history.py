@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from linewise.functions.text import grade_at_or_below, iso_ts
+from linewise.operators.numbering import numbered
 
 HISTORY_JSON_SCHEMA = T.StructType([
     T.StructField("project", T.StringType()), T.StructField("timestamp", T.StringType()),
@@ -47,19 +48,27 @@ def read_history(spark: SparkSession, path: str) -> DataFrame:
 
 def history_ring(history: DataFrame, keep: int = 50) -> DataFrame:
     """Newest `keep` snapshots per project (row_number limit, planned as a
-    partial WindowGroupLimit before the exchange)."""
-    w = Window.partitionBy("project").orderBy(F.desc("ts"))
+    partial WindowGroupLimit before the exchange).  Snapshots of one time are
+    ordered by their other columns, so the same ones stay on any cluster."""
+    ties = [F.desc(c) for c in sorted(history.columns) if c not in ("project", "ts")]
+    w = Window.partitionBy("project").orderBy(F.desc("ts"), *ties)
     return history.withColumn("age", F.row_number().over(w)).filter(F.col("age") <= keep).drop("age")
 
 
 def trend(history: DataFrame) -> DataFrame:
-    """Ordered tqi / issue series with deltas; projects with >= 2 points."""
-    w = Window.partitionBy("project").orderBy("ts")
-    wc = Window.partitionBy("project")
-    return (history.withColumn("points", F.count("*").over(wc)).filter(F.col("points") >= 2)
-                   .withColumn("seq", F.row_number().over(w))
-                   .withColumn("tqi_delta", F.col("tqi") - F.lag("tqi").over(w))
-                   .withColumn("issue_delta", F.col("issue_count") - F.lag("issue_count").over(w)))
+    """Ordered tqi / issue series with deltas; projects with >= 2 points.
+
+    Numbered over all tasks (a long series is not sorted in one), by time and
+    then by the other columns; each point meets the one before it by number."""
+    ties = [F.col(c).asc() for c in sorted(history.columns) if c not in ("project", "ts")]
+    laid = numbered(history, [F.col("ts").asc(), *ties], "seq", ["project"])
+    before = laid.select(F.col("project").alias("_p"), (F.col("seq") + 1).alias("_s"), F.col("tqi").alias("_tqi"), F.col("issue_count").alias("_n"))
+    points = laid.groupBy(F.col("project").alias("_q")).agg(F.max("seq").alias("points")).filter("points >= 2")
+    return (laid.join(points, F.col("project").eqNullSafe(F.col("_q")))
+                .join(before, F.col("project").eqNullSafe(F.col("_p")) & (F.col("seq") == F.col("_s")), "left")
+                .withColumn("tqi_delta", F.col("tqi") - F.col("_tqi"))
+                .withColumn("issue_delta", F.col("issue_count") - F.col("_n"))
+                .select(*history.columns, "points", "seq", "tqi_delta", "issue_delta"))
 
 
 def grade_alerts(history: DataFrame, threshold: str = "C") -> DataFrame:
@@ -73,18 +82,18 @@ def change_set(prev: DataFrame, cur: DataFrame) -> DataFrame:
     p, c = prev.alias("p"), cur.alias("c")
     j = p.join(c, (F.col("p.project") == F.col("c.project")) & (F.col("p.path") == F.col("c.path")), "full_outer")
     change = (F.when(F.col("p.path").isNull(), "added").when(F.col("c.path").isNull(), "removed")
-              .when(F.col("p.mtime") != F.col("c.mtime"), "modified"))
+              .when(~F.col("p.mtime").eqNullSafe(F.col("c.mtime")), "modified"))
     return (j.select(F.coalesce("c.project", "p.project").alias("project"), F.coalesce("c.path", "p.path").alias("path"),
                      change.alias("change")).filter(F.col("change").isNotNull()))
 
 
 def incremental_plan(cached: DataFrame, cur: DataFrame) -> DataFrame:
     """(project, path, mtime, action): reuse when (project, path, mtime) is in
-    the cache of the previous scan, else recompute."""
+    the cache of the previous scan, else recompute (also without a time)."""
     key = ["project", "path", "mtime"]
-    reuse = cur.join(cached.select(*key), key, "left_semi").withColumn("action", F.lit("reuse"))
-    redo = cur.join(cached.select(*key), key, "left_anti").withColumn("action", F.lit("recompute"))
-    return reuse.unionByName(redo)
+    known = cached.select(*key).distinct().withColumn("_known", F.lit(True))
+    return (cur.join(known, key, "left")
+               .withColumn("action", F.when(F.col("_known"), "reuse").otherwise("recompute")).drop("_known"))
 
 
 def incremental_metrics(cached_metrics: DataFrame, cur_files: DataFrame, compute) -> DataFrame:

@@ -101,10 +101,19 @@ class Analysis:
     def totals(self) -> DataFrame:
         return metrics.project_totals(self.metrics)
 
+    @cached_property
+    def complexity_excess(self) -> DataFrame | None:
+        """By language, where thresholds are given or switched on; else the global threshold holds."""
+        limits = self.thresholds
+        if limits is None and self.score_cfg.use_language_thresholds:
+            rows = sorted(self.score_cfg.language_thresholds.items())
+            limits = self.files.sparkSession.createDataFrame(rows, "language string, complexity_threshold double")
+        return None if limits is None else health.language_excess(self.metrics, limits, self.score_cfg)
+
     @cached_property
     def report(self) -> DataFrame:
         return health.project_report(self.totals, health.issue_rollup(self.issues, self.score_cfg),
-                                     self.duplicate_counts, self.score_cfg, self.thresholds)
+                                     self.duplicate_counts, self.score_cfg, self.complexity_excess)
 
     @cached_property
     def licenses(self) -> DataFrame:

@@ -9,13 +9,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linewise.config import GateConfig, ScanConfig
+from linewise.config import GateConfig, ScanConfig, ScoreConfig
 from linewise.functions import text as T
 from linewise.functions.lang import decision_points
 from linewise.operators import deps, duplicates, health, licenses, lines, metrics, rules
+from linewise.operators.numbering import numbered
 from linewise.plans.analyze import Analysis
 from linewise.sources import corpus
 
@@ -81,9 +82,7 @@ def q_explode_lines(spark, sf):
 
 @query("source_order")
 def q_source_order(spark, sf):
-    f = _files(spark, sf)
-    w = Window.partitionBy("project").orderBy("path")
-    return f.select("project", "path", F.row_number().over(w).alias("ord"))
+    return numbered(_files(spark, sf).select("project", "path"), [F.col("path").asc()], "ord", ["project"])
 
 
 # ----------------------------------------------------------------- step 2
@@ -402,13 +401,14 @@ def q_projects_overview(spark, sf):
     return _analysis(spark, sf).projects_overview()
 
 
+#: Thresholds of the registered query; other languages have the global one.
+LANGUAGE_THRESHOLDS = {"JavaScript": 3.0, "Python": 2.5, "C++": 4.0, "Java": 30.0}
+
+
 @query("join_complexity_threshold")
 def q_join_complexity_threshold(spark, sf):
-    f = _files(spark, sf)
-    # per-project threshold override: projects of the 'web' pages get 3.0
-    thr = f.select("project").distinct().withColumn(
-        "complexity_threshold", F.when(F.col("project") == "web", F.lit(3.0)).otherwise(F.lit(None).cast("double")))
-    a = Analysis(f, thresholds=thr, materialize=True)
+    cfg = ScoreConfig(language_thresholds=LANGUAGE_THRESHOLDS, use_language_thresholds=True)
+    a = Analysis(_files(spark, sf), score_cfg=cfg, corpus=f"driver tables {sf}")
     return a.report.select("project", _r6(F.col("robustness")).alias("robustness"),
                            _r6(F.col("changeability")).alias("changeability"), _r6(F.col("tqi")).alias("tqi"))
 

@@ -8,16 +8,21 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from linewise.functions.text import clamp, severity_from
+from linewise.config import GateConfig
+from linewise.functions.text import clamp, factor_from, severity_from
 from linewise.functions.text import iso_ts, project_label
+from linewise.operators import deps, health, lines
 from linewise.operators import history as H
 from linewise.operators import issues as I
 from linewise.operators import logs as L
 from linewise.operators import metrics as M
+from linewise.operators.numbering import numbered
 from linewise.operators.rules import platform_bucket
 from linewise.plans import exports as X
+from linewise.plans.analyze import Analysis
 from linewise.plans.catalog import _analysis, _files, _r6, query
 from linewise.session import shared_path
+from linewise.sources import corpus
 from linewise.sources import fixtures as FX
 
 
@@ -46,6 +51,12 @@ def q_status_valid(spark, sf):
     return I.status_valid(st).select("key", "status", iso_ts(F.col("updated_at")).alias("updated_at"))
 
 
+@query("status_rejected")
+def q_status_rejected(spark, sf):
+    """The side table of statuses that are not taken."""
+    return I.status_rejected(_status_store(spark, sf)).select("key", "status", "note")
+
+
 @query("latest_status")
 def q_latest_status(spark, sf):
     return I.latest_status(I.status_valid(_status_store(spark, sf))).select("key", "status", "note")
@@ -135,21 +146,40 @@ def q_export_issues_csv(spark, sf):
 
 @query("export_report_json")
 def q_export_report_json(spark, sf):
+    """The whole report written as JSON (report, files, issues), then read back."""
     a = _analysis(spark, sf)
     out = _scratch(spark, sf, "report")
-    X.report_struct(a.report).write.mode("overwrite").partitionBy("project").json(out)
-    back = spark.read.schema("report string, project string").json(out)
-    r = F.from_json("report", "issue_count long, grade string, health struct<tqi double>, "
-                              "debt struct<total_minutes long>")
-    return back.select("project", r.alias("r")).select(
+    X.export_report_json(a.report, a.file_records, a.issues, out)
+    r = F.from_json("report", "issue_count long, grade string, health struct<tqi double>, debt struct<total_minutes long>")
+    back = spark.read.schema("report string, project string").json(f"{out}/report").select("project", r.alias("r"))
+    files = (spark.read.schema("path string, cyclomatic long, dependencies array<string>, issues long, project string").json(f"{out}/files")
+             .groupBy("project").agg(F.count("path").alias("files"), F.sum("cyclomatic").alias("cyclomatic")))
+    issues = (spark.read.schema("key string, remediation_minutes long, project string").json(f"{out}/issues")
+              .groupBy("project").agg(F.countDistinct("key").alias("issues"), F.sum("remediation_minutes").alias("issue_minutes")))
+    return back.join(files, "project", "left").join(issues, "project", "left").select(
         "project", F.col("r.issue_count").alias("issue_count"), F.col("r.grade").alias("grade"),
-        _r6(F.col("r.health.tqi")).alias("tqi"), F.col("r.debt.total_minutes").alias("debt_minutes"))
+        _r6(F.col("r.health.tqi")).alias("tqi"), F.col("r.debt.total_minutes").alias("debt_minutes"), "files", "cyclomatic",
+        F.coalesce("issues", F.lit(0)).alias("issues"), F.coalesce("issue_minutes", F.lit(0)).alias("issue_minutes"))
 
 
 @query("export_metrics_text")
 def q_export_metrics_text(spark, sf):
-    rows = X.metrics_rows(_analysis(spark, sf).report)
-    return rows.select("project", "metric", "labels", _r6(F.col("value")).alias("value"))
+    """The exposition text written, read back and taken apart."""
+    out = _scratch(spark, sf, "metrics")
+    X.export_metrics_text(_analysis(spark, sf).report, out)
+    part = lambda k: F.regexp_extract("value", r'^([a-z_]+)\{project="([^"]*)"(?:,([^}]*))?\} (\S+)$', k)
+    return spark.read.text(out).select(part(2).alias("project"), part(1).alias("metric"), part(3).alias("labels"),
+                                       _r6(part(4).cast("double")).alias("value"))
+
+
+@query("gate_new_critical")
+def q_gate_new_critical(spark, sf):
+    """The quality gate that fails a project for critical issues which the scan before did not have."""
+    a = _analysis(spark, sf)
+    prev = a.issues.filter(FX.doc_id_of(F.col("path")) % 7 != 0)
+    gate = GateConfig(min_tqi=-1.0, max_critical=-1, max_new_critical=2)
+    g = health.quality_gate(a.report, gate, I.new_critical_issues(a.issues, prev))
+    return g.select("project", "passed", "reason")
 
 
 @query("new_critical_issues")
@@ -390,6 +420,15 @@ def q_severity_from(spark, sf):
     return e.select(severity_from(written).alias("severity")).groupBy("severity").agg(F.count("*").alias("issues"))
 
 
+@query("factor_from")
+def q_factor_from(spark, sf):
+    """Health factors as a foreign tool may write them: unknown ones become robustness."""
+    e = FX.events_ts(spark, sf).select("event_type")
+    written = (F.when(F.col("event_type") == "error", "security").when(F.col("event_type") == "purchase", "efficiency")
+               .when(F.col("event_type") == "signup", "portability").otherwise(F.upper("event_type")))
+    return e.select(factor_from(written).alias("factor")).groupBy("factor").agg(F.count("*").alias("issues"))
+
+
 @query("clamp")
 def q_clamp(spark, sf):
     """Scores below 0 and above 100 are brought to the ends of the scale."""
@@ -397,11 +436,30 @@ def q_clamp(spark, sf):
     return e.select("event_id", _r6(clamp(F.col("value") * 3 - 50)).alias("score"))
 
 
-def _alias(name, target):
-    from linewise.plans.catalog import REGISTRY
-    REGISTRY[name] = REGISTRY[target]
+# ----------------------------------------------------------------- operators also used inside others
+@query("join_language")
+def q_join_language(spark, sf):
+    """Each file with the language that its extension joins to; files of no known language go."""
+    f = corpus.detect_language(corpus.documents_with_strays(spark, sf))
+    return f.select("project", "path", "ext", "language")
+
+
+@query("join_technology")
+def q_join_technology(spark, sf):
+    """A row for each technology that a file's dependencies name."""
+    return deps.file_technologies(M.file_metrics(_files(spark, sf))).select("project", "path", "name", "category")
+
+
+@query("distinct_sorted")
+def q_distinct_sorted(spark, sf):
+    """Each project's distinct dependencies in order, with their place."""
+    d = deps.extract_dependencies(lines.explode_lines(_files(spark, sf))).select("project", "dependency").distinct()
+    return numbered(d, [F.col("dependency").asc()], "place", ["project"]).select("project", "dependency", "place")
 
 
-for _n, _t in [("join_language", "detect_language"), ("join_technology", "technology_fold"),
-               ("distinct_sorted", "distinct_dependencies"), ("union_projects", "multi_project_sources")]:
-    _alias(_n, _t)
+@query("union_projects")
+def q_union_projects(spark, sf):
+    """The reports of two scans, one after the other: each project's from the scan that holds it."""
+    docs = Analysis(corpus.documents_as_files(spark, sf), corpus=f"documents {sf}")
+    pages = Analysis(corpus.pages_as_files(spark, sf), corpus=f"pages {sf}")
+    return docs.projects_overview().unionByName(pages.projects_overview())

