@@ -463,3 +463,16 @@ def q_union_projects(spark, sf):
     docs = Analysis(corpus.documents_as_files(spark, sf), corpus=f"documents {sf}")
     pages = Analysis(corpus.pages_as_files(spark, sf), corpus=f"pages {sf}")
     return docs.projects_overview().unionByName(pages.projects_overview())
+
+
+@query("sql_source_lines")
+def q_sql_source_lines(spark, sf):
+    """A scan in SQL: files laid out by the table function, issues and grades from the views."""
+    from linewise.sql import register
+    register(spark, _files(spark, sf), corpus=f"driver tables {sf}", prefix="sql_scan_")
+    return spark.sql("""
+        WITH laid AS (SELECT f.project, count(*) AS n_lines, sum(octet_length(l.text)) AS bytes, max(l.n) AS longest
+                      FROM sql_scan_files f, LATERAL source_lines(f.content) l GROUP BY f.project),
+             found AS (SELECT project, count(*) AS issues, count_if(severity_from(severity) = 'critical') AS critical FROM sql_scan_issues GROUP BY project)
+        SELECT laid.project, n_lines, bytes, longest, coalesce(issues, 0) AS issues, coalesce(critical, 0) AS critical, grade_of(r.tqi) AS grade
+        FROM laid LEFT JOIN found ON found.project = laid.project JOIN sql_scan_report r ON r.project = laid.project""")

@@ -246,6 +246,9 @@ FROM (SELECT DISTINCT project FROM files) g LEFT JOIN (
     SELECT 1 FROM issues p WHERE p.severity = 'critical' AND TRY_CAST(regexp_extract(p.path, 'doc([0-9]+)\\.', 1) AS BIGINT) % 7 <> 0
       AND p.project = c.project AND p.rule_id = c.rule_id AND p.path = c.path AND p.full_text = c.full_text)
   GROUP BY c.project) n ON n.project = g.project""", RULE_CTES)
+q("sql_source_lines", """SELECT l.project, l.n_lines, l.bytes, l.longest, g.issue_count AS issues, g.n_critical AS critical, g.grade
+FROM (SELECT project, count(*) AS n_lines, CAST(sum(strlen(text)) AS BIGINT) AS bytes, max(n) AS longest FROM lines GROUP BY project) l
+JOIN graded g ON g.project = l.project""", REPORT)
 q("join_language", """SELECT project, path, ext, language FROM docfiles
 UNION ALL SELECT project, 'vendor/' || path, ext, language FROM docfiles WHERE TRY_CAST(regexp_extract(path, 'doc([0-9]+)', 1) AS BIGINT) % 10 = 9""")
 q("join_technology", "SELECT project, path, name, category FROM ftech", DEP_CTES)
