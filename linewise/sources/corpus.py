@@ -102,15 +102,61 @@ def finish_files(raw: DataFrame, cfg: ScanConfig = ScanConfig()) -> DataFrame:
 
 
 # ---------------------------------------------------------------- source tree
+def source_glob() -> str:
+    """A file name pattern of the known extensions, in any case."""
+    each = ["".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in ext[1:]) for _, exts in fixed.LANGUAGES for ext in exts]
+    return "*.{" + ",".join(sorted(set(each))) + "}"
+
+
+def tree_listing(spark: SparkSession, root: str) -> DataFrame:
+    """(path, rel) of the files of known extensions below root.  Only names are
+    read: Spark lists the folders (as a job, when they are many), and a scan of
+    this source without its content column opens no file."""
+    base = root.split("://")[-1].replace("file:", "")
+    rel = F.regexp_replace(F.col("path"), r"^.*?" + _re_escape(base) + "/", "")
+    listed = (spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", source_glob()).load(root))
+    return listed.select("path", rel.alias("rel"))
+
+
+def kept_roots(listing: DataFrame, excludes: Iterable[str]) -> DataFrame:
+    """The fewest subtrees (and single files) that hold all kept files and no
+    excluded one: (rel), one row each.
+
+    A folder with an excluded folder or file somewhere below it is mixed.  A
+    kept file is reached through its topmost folder that is not mixed, or by
+    itself where all of its folders are."""
+    ex = list(excludes)
+    first = F.filter(F.sequence(F.lit(1), F.size("parts")), lambda i: F.get("parts", i - 1).isin(ex))
+    d = listing.select(F.split("rel", "/").alias("parts")).withColumn("bad", F.get(first, 0) if ex else F.lit(None).cast("int"))
+    upto = lambda n: F.array_join(F.slice("parts", F.lit(1), n), "/")
+    # above the topmost excluded name, every folder is mixed (the root is, if anything is excluded)
+    mixed = (d.filter("bad is not null").select("parts", F.explode(F.sequence(F.lit(0), F.col("bad") - 1)).alias("n"))
+              .select(upto(F.col("n")).alias("mixed")).distinct())
+    kept = d.filter("bad is null").select("parts", F.slice("parts", F.lit(1), F.size("parts") - 1).alias("folder"))
+    folders = kept.select("folder").distinct()
+    steps = folders.select("folder", F.posexplode(F.transform(F.sequence(F.lit(0), F.size("folder")), lambda n: F.array_join(F.slice("folder", F.lit(1), n), "/"))).alias("n", "at"))
+    clean = steps.join(mixed, steps["at"] == mixed["mixed"], "left_anti")
+    top = clean.groupBy("folder").agg(F.min_by("at", "n").alias("rel"))
+    reached = kept.join(top, "folder", "left")
+    return reached.select(F.coalesce("rel", F.array_join("parts", "/")).alias("rel")).distinct()
+
+
 def scan_source_tree(spark: SparkSession, root: str, project: str = "default",
                      cfg: ScanConfig = ScanConfig()) -> DataFrame:
     """Recursive walk of `root` (any Hadoop file system) -> files frame.
-    Excluded paths and unknown extensions drop out before the content is
-    decoded; their bytes are still read, as the file source reads whole files."""
+
+    The names are listed first; the content is then read only below the folders
+    that `kept_roots` finds, so no byte of an excluded tree or of an unknown
+    extension is read.  A tree without a kept file gives no row."""
     root_uri = root.rstrip("/")
-    df = (spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root_uri))
-    # Relative POSIX path: strip everything up to and including the root folder.
     base = root_uri.split("://")[-1].replace("file:", "")
+    # a few names: those of subtrees that border on an excluded one, which the file source needs as its paths
+    roots = sorted(r.rel for r in kept_roots(tree_listing(spark, root_uri), cfg.excludes).collect())
+    paths = [_glob_escape(f"{root_uri}/{r}" if r else root_uri) for r in roots]
+    if not paths:
+        return spark.createDataFrame([], T.StructType(FILES_SCHEMA.fields + ([T.StructField("truncated", T.BooleanType())] if cfg.max_file_bytes else [])))
+    df = (spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", source_glob()).load(paths))
+    # Relative POSIX path: strip everything up to and including the root folder.
     rel = F.regexp_replace(F.col("path"), r"^.*?" + _re_escape(base) + "/", "")
     raw = (df.select(F.lit(project).alias("project"), rel.alias("path"),
                      F.col("modificationTime").alias("mtime"), F.col("content"), F.col("length")))
@@ -125,6 +171,11 @@ def scan_source_tree(spark: SparkSession, root: str, project: str = "default",
                .select(*FILES_COLUMNS, *(["truncated"] if cut else [])))
 
 
+def _glob_escape(path: str) -> str:
+    """Names are names: the file source would take these characters as patterns."""
+    return "".join("\\" + c if c in "*?[]{}\\" else c for c in path)
+
+
 def _re_escape(s: str) -> str:
     return "".join("\\" + c if c in r".^$*+?{}[]\|()" else c for c in s)
 
