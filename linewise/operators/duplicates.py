@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from linewise.config import ScanConfig
 from linewise.functions.text import normalize_line
 from linewise.operators.lines import lines_array
+from linewise.operators.numbering import numbered
 
 MAX_LOCATIONS = 20
 MAX_GROUPS = 100
@@ -83,22 +84,30 @@ def duplicate_locations(blk: DataFrame) -> DataFrame:
     return blk.join(c, ["project", "h1", "h2"])
 
 
-def duplicate_groups(blk: DataFrame, max_groups: int = MAX_GROUPS,
-                     max_locations: int = MAX_LOCATIONS) -> DataFrame:
-    """Per project, at most max_groups duplicated blocks ordered by
-    occurrences desc then first location; each lists its first
-    max_locations locations 'path:line' in (path, line) order."""
-    counts = block_counts(blk).filter(F.col("occurrences") >= 2)
-    # First locations per block: the row_number cap is applied on the blocks
-    # themselves, so Spark inserts a partial WindowGroupLimit before the
-    # exchange and a hot block sends at most max_locations rows per map task.
-    wl = Window.partitionBy("project", "h1", "h2").orderBy("path", "line")
-    firsts = (blk.withColumn("_r", F.row_number().over(wl)).filter(F.col("_r") <= max_locations)
-                 .groupBy("project", "h1", "h2")
-                 .agg(F.sort_array(F.collect_list(F.struct("path", "line"))).alias("locs")))
-    g = counts.join(firsts, ["project", "h1", "h2"])
-    wg = Window.partitionBy("project").orderBy(F.desc("occurrences"), "first_path", "first_line")
-    g = g.withColumn("group_rank", F.row_number().over(wg)).filter(F.col("group_rank") <= max_groups)
+def duplicate_groups(blk: DataFrame, max_groups: int | None = MAX_GROUPS,
+                     max_locations: int | None = MAX_LOCATIONS) -> DataFrame:
+    """Per project the duplicated blocks ordered by occurrences desc then first
+    location, at most max_groups of them; each lists its first max_locations
+    locations 'path:line' in (path, line) order.  None lists all.
+
+    Blocks are counted first; only the groups that are listed fetch locations,
+    so a block that stands once never travels with its path."""
+    order = [F.desc("occurrences"), F.asc("first_path"), F.asc("first_line"), F.asc("h1"), F.asc("h2")]
+    groups = block_counts(blk).filter(F.col("occurrences") >= 2)
+    if max_groups is None:
+        groups = numbered(groups, order, "group_rank", ["project"])
+    else:
+        # a limit of row numbers: Spark keeps max_groups rows a project in each task before the exchange
+        rank = F.row_number().over(Window.partitionBy("project").orderBy(*order))
+        groups = groups.withColumn("group_rank", rank).filter(F.col("group_rank") <= max_groups)
+    on = ["project", "h1", "h2"]
+    starts = blk.join(groups.select(*on, "group_rank", "occurrences"), on)
+    # likewise, a hot block sends at most max_locations rows from each task
+    if max_locations is not None:
+        place = F.row_number().over(Window.partitionBy(*on).orderBy("path", "line"))
+        starts = starts.withColumn("_r", place).filter(F.col("_r") <= max_locations)
+    g = (starts.groupBy(*on, "group_rank", "occurrences")
+         .agg(F.sort_array(F.collect_list(F.struct("path", "line"))).alias("locs")))
     loc_str = F.transform("locs", lambda s: F.concat_ws(":", s["path"], s["line"].cast("string")))
     return g.select("project", "group_rank", "occurrences", F.size("locs").alias("listed"),
                     F.array_join(loc_str, ",").alias("locations"))

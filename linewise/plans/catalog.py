@@ -288,7 +288,7 @@ def q_block_hash(spark, sf):
 
 @query("duplicate_groups")
 def q_duplicate_groups(spark, sf):
-    return duplicates.duplicate_groups(duplicates.blocks(_files(spark, sf)))
+    return duplicates.duplicate_groups(_analysis(spark, sf).blocks)
 
 
 # ----------------------------------------------------------------- step 6

@@ -142,7 +142,9 @@ def exists(spark: SparkSession, path: str) -> bool:
 def _versioned_merge(table: str, reduce):
     """foreachBatch body: merge the batch into table version (epoch - 1) and
     write version epoch.  Batch ids come from the checkpoint, so a restarted
-    query re-writes the same version instead of duplicating rows."""
+    query re-writes the same version instead of duplicating rows.  A version
+    counts once its writer has committed it (its _SUCCESS file), so readers see
+    the one before or this one, never a part."""
     def body(batch: DataFrame, epoch: int) -> None:
         sp = batch.sparkSession
         merged = batch
@@ -150,7 +152,6 @@ def _versioned_merge(table: str, reduce):
         if epoch > 0 and exists(sp, f"{table}/v{epoch - 1}"):
             merged = sp.read.parquet(f"{table}/v{epoch - 1}").unionByName(batch)
         reduce(merged).write.mode("overwrite").parquet(f"{table}/v{epoch}")
-        sp.createDataFrame([(epoch,)], "version long").write.mode("overwrite").json(f"{table}/_current")
     return body
 
 
@@ -164,9 +165,12 @@ def latest_file(spark: SparkSession, listing_path: str, schema, table: str, ckpt
 
 
 def read_versioned(spark: SparkSession, table: str) -> DataFrame:
-    """Current version of a versioned upsert table (reads one small row)."""
-    v = spark.read.json(f"{table}/_current").collect()[0]["version"]
-    return spark.read.parquet(f"{table}/v{v}")
+    """The last committed version of a versioned upsert table."""
+    from linewise.plans.store import versions
+    done = [int(name[1:]) for _, name in versions(spark, table) if name[1:].isdigit()]
+    if not done:
+        raise FileNotFoundError(f"no committed version under {table}")
+    return spark.read.parquet(f"{table}/v{max(done)}")
 
 
 # ------------------------------------------------------------------ status upsert
