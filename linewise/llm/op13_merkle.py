@@ -199,3 +199,45 @@ def manifest(docs: DataFrame) -> DataFrame:
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return manifest(read(spark, sf_dir, "documents"))
+
+
+def oracle() -> str:
+    """DuckDB SQL of the query: row numbers, levels by recursion, crc32 by its table."""
+    text = lambda c: f"CASE WHEN {c} IS NULL THEN '-' ELSE concat(CAST(strlen(CAST({c} AS VARCHAR)) AS VARCHAR), ':', CAST({c} AS VARCHAR)) END"
+    head = ", ".join(text(c) for c in FIELDS[:-1])
+    lower = f"translate(text, '{LOWER.upper()}', '{LOWER}')"
+
+    def tree(name: str, start: str) -> str:
+        return f"""{name}(lang, lvl, idx, total, hash) AS (
+  SELECT lang, 0, idx, total, {start}
+  UNION ALL
+  SELECT lang, lvl + 1, idx // {RUN}, (total + {RUN - 1}) // {RUN}, sha256(string_agg(hash, '' ORDER BY idx)) FROM {name} WHERE total > 1
+  GROUP BY lang, lvl, idx // {RUN}, total),
+{name}_run AS (SELECT lang, lvl, idx // {RUN} AS up, list(hash ORDER BY idx) AS hs FROM {name} WHERE total > 1 GROUP BY lang, lvl, idx // {RUN})"""
+
+    def steps(of: str, runs: str, more: str, base: int) -> str:
+        at = f"((o.idx // CAST(power({RUN}, r.lvl) AS BIGINT)) % {RUN})"
+        return (f"SELECT {more}, r.lvl + {base} AS lvl, array_to_string(r.hs[1:{at}], '') AS l, array_to_string(r.hs[{at} + 2:], '') AS r FROM {of} o "
+                f"JOIN {runs} r ON r.up = o.idx // CAST(power({RUN}, r.lvl + 1) AS BIGINT)")
+
+    return f"""
+WITH RECURSIVE
+crc AS (SELECT list(list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS t
+        FROM (SELECT unnest(range(0, 256)) AS i) x),
+doc AS (SELECT doc_id, lang, sha256(concat({head}, {text('text')})) AS leaf,
+  xor(list_reduce(list_concat([CAST(4294967295 AS BIGINT)], list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT))),
+      lambda c, b: xor(t[(xor(c, b) & 255) + 1], c >> 8)), 4294967295) % 3 = 0 AS hit,
+  sha256(concat({head}, {text(lower)})) AS low FROM documents, crc),
+leaf AS (SELECT doc_id, lang, leaf, CASE WHEN hit THEN low ELSE leaf END AS start, row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1 AS idx,
+         count(*) OVER (PARTITION BY lang) AS total FROM doc),
+{tree('nodes', 'leaf FROM leaf')},
+sub AS (SELECT lang AS name, hash AS subroot, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS idx, count(*) OVER () AS total FROM nodes WHERE total = 1),
+{tree('tops', 'subroot FROM (SELECT 0 AS lang, idx, total, subroot FROM sub) q')},
+step AS ({steps('leaf', 'nodes_run', 'o.doc_id', 0)} AND r.lang IS NOT DISTINCT FROM o.lang
+  UNION ALL
+  SELECT d.doc_id, s.lvl, s.l, s.r FROM leaf d JOIN ({steps('sub', 'tops_run', 'o.name', 100)}) s ON s.name IS NOT DISTINCT FROM d.lang),
+way AS (SELECT doc_id, list({{'l': l, 'r': r}} ORDER BY lvl) AS p, string_agg(concat(l, r), '' ORDER BY lvl) AS sib FROM step GROUP BY doc_id),
+told AS (SELECT d.doc_id, d.leaf, s.subroot, (SELECT hash FROM tops WHERE total = 1) AS root, sha256(coalesce(w.sib, '')) AS proof_sha256,
+  list_reduce(list_concat([{{'l': d.start, 'r': ''}}], coalesce(w.p, [])), lambda a, q: {{'l': sha256(concat(q.l, a.l, q.r)), 'r': ''}}).l AS folded_root, d.lang, d.idx AS place
+  FROM leaf d JOIN sub s ON s.name IS NOT DISTINCT FROM d.lang LEFT JOIN way w ON w.doc_id = d.doc_id)
+SELECT doc_id, leaf, subroot, root, proof_sha256, folded_root, folded_root = root AS verified, lang, place FROM told"""

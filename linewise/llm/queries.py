@@ -22,4 +22,5 @@ QUERIES = {
 
 SQL: dict[str, str] = {
     "op11_licenses": op11_licenses.oracle(),
+    "op13_merkle": op13_merkle.oracle(),
 }
