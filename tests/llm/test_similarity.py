@@ -63,8 +63,8 @@ def made_documents():
     return rows
 
 
-def brute_components(rows, share=85):
-    sets = {i: shingle_set(t) for i, t in rows}
+def brute_components(rows, share=85, k=4):
+    sets = {i: shingle_set(t, k) for i, t in rows}
     ids = sorted(sets)
     pairs = [(a, b) for x, a in enumerate(ids) for b in ids[:x]
              if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= share * len(sets[a] | sets[b])]
@@ -255,7 +255,8 @@ def test_pipeline_stages(spark, tmp_path):
             assert out.columns == columns
         if name == "near_duplicates":
             rows = [(r["doc_id"], r["text"]) for r in before.collect()]
-            _, want = brute_components(rows)
+            _, want = brute_components(rows, corpus_pipeline.SHINGLE_SHARE, corpus_pipeline.SHINGLE_WORDS)
+            assert (corpus_pipeline.SHINGLE_SHARE, corpus_pipeline.SHINGLE_WORDS) == (80, 5)
             assert set(kept[name]) == set(want.values())
         before = out
     assert set(kept["quality"]) >= set(kept["near_duplicates"]) >= set(kept["decontaminate"]) == set(kept["pii"]) == set(kept["bpe"])

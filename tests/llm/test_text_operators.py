@@ -257,5 +257,5 @@ def test_pii_runs_no_python(spark):
 
 def test_queries_cover_every_operator():
     from linewise.llm.queries import QUERIES
-    assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in QUERIES) == list(range(1, 11))
+    assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in QUERIES) == list(range(1, 14))
     assert os.path.exists(os.path.join(os.path.dirname(__file__), "../../corpus_pipeline.py"))
