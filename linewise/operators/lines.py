@@ -1,15 +1,15 @@
 """Lines: explode, classify (blank / comment / code) and per-file breakdown.
 
-Two equivalent forms of the block-comment automaton are provided:
+Equivalent forms of the block-comment automaton are provided:
 
 * `file_line_breakdown` folds over the file's line array inside the file row
   (`aggregate` higher-order function).  No shuffle: a file is one row and at
   most `max_file_bytes` long, so the fold is bounded per task.  This is what
   the metrics and health plans use.
-* `line_class` keeps one row per line and carries the automaton with a
-  window `last(marker) IGNORE NULLS` over the file.  It needs the lines
-  clustered by file (one exchange on project, path) and is for callers that
-  want line-level output.
+* `file_line_class` gives line-level output by the same fold, from file rows.
+* `line_class` is for tables of lines: it carries the automaton with a window
+  `last(marker) IGNORE NULLS` over the file and needs the lines clustered by
+  file (one exchange on project, path).
 
 tests/test_lines.py checks the two agree with a sequential loop.
 """
@@ -77,6 +77,50 @@ def line_class(lines: DataFrame, cfg: ScanConfig = ScanConfig()) -> DataFrame:
                      is_long_line(F.col("text"), cfg).alias("is_long"))
 
 
+SLICE = 256  # lines that one inner fold takes
+
+
+def line_kinds(lines: Column, language: Column) -> Column:
+    """array<string> of 'b' (blank), 'm' (comment) or 'c' (code) for a line array.
+
+    The block state is carried by a fold over slices of the array, so what the
+    fold gathers is copied in proportion to the file."""
+    style, close = comment_style(language), block_close_token(language)
+
+    def feat(x):
+        tr = ltrim_ws(x)
+        return F.struct((tr == "").alias("blank"), line_comment(style, language, x, tr).alias("lc"),
+                        block_opens(style, language, tr).alias("op"), F.contains(tr, close).alias("cl"))
+
+    def step(acc, f):
+        inside = F.when(f["blank"], acc["inside"]).when(acc["inside"], ~f["cl"]).otherwise(f["lc"] & f["op"])
+        kind = F.when(f["blank"], "b").when(acc["inside"] | f["lc"], "m").otherwise("c")
+        return F.struct(inside.alias("inside"), F.concat(acc["kinds"], kind).alias("kinds"))
+
+    def part(acc, at):
+        piece = F.transform(F.slice(lines, at * SLICE + 1, SLICE), feat)
+        return F.aggregate(piece, acc, step)
+
+    slices = F.when(F.size(lines) > 0, F.sequence(F.lit(0), F.floor((F.size(lines) - 1) / SLICE).cast("int"))).otherwise(F.array().cast("array<int>"))
+    empty = F.struct(F.lit(False).alias("inside"), F.array().cast("array<string>").alias("parts"))
+
+    def outer(acc, at):
+        done = part(F.struct(acc["inside"].alias("inside"), F.lit("").alias("kinds")), at)
+        return F.element_at(F.transform(F.array(done), lambda d: F.struct(d["inside"].alias("inside"), F.concat(acc["parts"], F.array(d["kinds"])).alias("parts"))), 1)
+
+    joined = F.array_join(F.aggregate(slices, empty, outer, lambda acc: acc["parts"]), "")
+    return F.when(F.size(lines) > 0, F.split(joined, "")).otherwise(F.array().cast("array<string>"))
+
+
+def file_line_class(files: DataFrame, cfg: ScanConfig = ScanConfig()) -> DataFrame:
+    """files -> line_class(project, path, language, n, kind, is_long), in the file's row: no exchange."""
+    df = files.select("project", "path", "language", lines_array(F.col("content")).alias("_lines"))
+    df = df.withColumn("_kinds", line_kinds(F.col("_lines"), F.col("language")))
+    df = df.select("project", "path", "language", F.posexplode(F.arrays_zip("_lines", "_kinds")).alias("_pos", "_line"))
+    kind = F.when(F.col("_line._kinds") == "b", "blank").when(F.col("_line._kinds") == "m", "comment").otherwise("code")
+    return df.select("project", "path", "language", (F.col("_pos") + 1).alias("n"), kind.alias("kind"), is_long_line(F.col("_line._lines"), cfg).alias("is_long"))
+
+
 def _acc(b, code, cmt, blank, lng) -> Column:
     return F.struct(b.alias("b"), code.alias("code"), cmt.alias("cmt"), blank.alias("blank"), lng.alias("lng"))
 

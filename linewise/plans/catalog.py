@@ -88,12 +88,12 @@ def q_source_order(spark, sf):
 # ----------------------------------------------------------------- step 2
 @query("line_class")
 def q_line_class(spark, sf):
-    return lines.line_class(lines.explode_lines(_files(spark, sf)))
+    return lines.file_line_class(_files(spark, sf))
 
 
 @query("block_comment_state")
 def q_block_comment_state(spark, sf):
-    lc = lines.line_class(lines.explode_lines(corpus.documents_as_files(spark, sf)))
+    lc = lines.file_line_class(_files(spark, sf))
     return lc.groupBy("project", "language").agg(
         F.count_if(F.col("kind") == "comment").alias("comment_lines"),
         F.count_if(F.col("kind") == "code").alias("code_lines"),
@@ -265,7 +265,7 @@ def q_file_issue_count(spark, sf):
 # ----------------------------------------------------------------- step 5
 @query("normalize_line")
 def q_normalize_line(spark, sf):
-    ln = lines.explode_lines(corpus.documents_as_files(spark, sf))
+    ln = lines.explode_lines(_files(spark, sf))
     return ln.select("project", "path", "n", T.normalize_line(F.col("text")).alias("norm"))
 
 

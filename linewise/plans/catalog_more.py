@@ -373,9 +373,8 @@ def q_suppress_inline(spark, sf):
     from linewise.config import ScanConfig
     from linewise.operators.lines import explode_lines
     from linewise.operators.rules import apply_rules
-    from linewise.sources.corpus import documents_as_files
     m = ScanConfig().suppress_marker
-    ln = explode_lines(documents_as_files(spark, sf)).withColumn("doc_id", FX.doc_id_of(F.col("path")))
+    ln = explode_lines(_files(spark, sf)).withColumn("doc_id", FX.doc_id_of(F.col("path")))
     marked = F.when((F.col("text") == FX.SECRET_LINE) & (F.col("doc_id") % 8 == 0),
                     F.concat(F.col("text"), F.lit(f" // {m} SEC-HARDCODED-SECRET: test value"))) \
               .when((F.col("text") == FX.SECRET_LINE) & (F.col("doc_id") % 8 == 4),

@@ -203,8 +203,7 @@ FROM (SELECT project, path, n,
                        THEN concat(text, ' // {_M} SEC-HARDCODED-SECRET: test value')
                   WHEN text = 'password = "hunter2x"' AND doc % 8 = 4 THEN concat(text, ' // {_M} SEC-EVAL')
                   ELSE text END AS text
-      FROM (SELECT *, TRY_CAST(regexp_extract(path, 'doc([0-9]+)\\.', 1) AS BIGINT) AS doc FROM lines
-            WHERE project <> 'web') x) l
+      FROM (SELECT *, TRY_CAST(regexp_extract(path, 'doc([0-9]+)\\.', 1) AS BIGINT) AS doc FROM lines) x) l
 JOIN {rules_values()} r ON regexp_matches(l.text, r.re2)
 WHERE NOT (contains(l.text, '{_M}') AND contains(l.text, r.rule_id))
 GROUP BY l.project, r.rule_id""")

@@ -347,7 +347,7 @@ q("line_class", "SELECT project, path, language, n, kind, is_long FROM lc", METR
 q("block_comment_state", """
 SELECT project, language, count(*) FILTER (WHERE kind = 'comment') AS comment_lines,
        count(*) FILTER (WHERE kind = 'code') AS code_lines, count(*) FILTER (WHERE kind = 'blank') AS blank_lines
-FROM lc WHERE project <> 'web' GROUP BY project, language""", METRIC_CTES)
+FROM lc GROUP BY project, language""", METRIC_CTES)
 q("comment_line", f"""
 SELECT project, path, n FROM (SELECT *, {ltrim_ws('text')} AS tr, {style('language')} AS st FROM lines) x
 WHERE tr <> '' AND {line_comment('st', 'language', 'text', 'tr')}""")
@@ -417,7 +417,7 @@ bw AS (SELECT project, path, n AS line,
 blocks AS (SELECT project, path, CAST(line AS INTEGER) AS line, blk FROM bw WHERE last_t IS NOT NULL),
 bcount AS (SELECT project, blk, count(*) AS occurrences, min(struct_pack(path := path, line := line)) AS first
            FROM blocks GROUP BY project, blk)"""
-q("normalize_line", f"SELECT project, path, n, {NORM} AS norm FROM lines WHERE project <> 'web'")
+q("normalize_line", f"SELECT project, path, n, {NORM} AS norm FROM lines")
 q("duplicate_window", """
 SELECT b.project, b.path, b.line, c.occurrences FROM blocks b JOIN bcount c ON c.project = b.project AND c.blk = b.blk
 WHERE c.occurrences >= 2""", DUP_CTES)

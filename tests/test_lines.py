@@ -158,3 +158,19 @@ def test_random_documents_match_loop(spark):
     random.seed(1)
     for r in random.sample(rows, 40):
         assert bd[r["path"]] == classify_loop(r["language"], r["content"]), r["path"]
+
+
+def test_line_classes_in_the_file_row_equal_the_window(spark, monkeypatch):
+    import random
+
+    from linewise.operators import lines as LN
+    from linewise.sources.corpus import corpus_files
+    monkeypatch.setattr(LN, "SLICE", 7)  # many slices per file
+    rng = random.Random(6)
+    pieces = ["/* a", "b */", "// c", "# d", "-- e", "code();", "", "  ", '"""', "{- x", "-}", "x /* y */ z", "'''", "!f", "* g", "=begin", "=end", "é" * 130]
+    rows = [(f"f{i}{ext}", "\n".join(rng.choices(pieces, k=rng.randrange(0, 60)))) for i in range(6) for ext in (".c", ".py", ".sql", ".hs", ".js", ".f90", ".cbl", ".rb")]
+    df = files_df(spark, rows + [("empty.c", "")])
+    for files in (df, corpus_files(spark, "/root/testdata/sf0.001")):
+        got = LN.file_line_class(files)
+        assert "Exchange hash" not in LN.file_line_class(df)._jdf.queryExecution().executedPlan().toString()
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, LN.line_class(LN.explode_lines(files)).collect()))
