@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from linewise.config import UiConfig
 from linewise.functions.text import grade_at_or_below, iso_ts
 from linewise.operators.numbering import numbered
 
@@ -46,7 +47,7 @@ def read_history(spark: SparkSession, path: str) -> DataFrame:
     return out.filter(F.col("ts").isNotNull())
 
 
-def history_ring(history: DataFrame, keep: int = 50) -> DataFrame:
+def history_ring(history: DataFrame, keep: int = UiConfig.history_max) -> DataFrame:
     """Newest `keep` snapshots per project (row_number limit, planned as a
     partial WindowGroupLimit before the exchange).  Snapshots of one time are
     ordered by their other columns, so the same ones stay on any cluster."""

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from linewise import fixed
+from linewise.config import UiConfig
 from linewise.functions.text import issue_key
 from linewise.operators.rules import platform_bucket
 
@@ -89,18 +90,18 @@ def severity_filter(issues: DataFrame, severity: str = "all") -> DataFrame:
     return issues if severity == "all" else issues.filter(F.col("severity") == severity)
 
 
-def issue_page(issues: DataFrame, severity: str = "all", n: int = 500) -> DataFrame:
+def issue_page(issues: DataFrame, severity: str = "all", n: int = UiConfig.max_table_rows) -> DataFrame:
     """Filtered issues of each project in scan order, capped at n rows."""
     w = Window.partitionBy("project").orderBy("path", "line", "rule_ord")
     return (severity_filter(issues, severity).withColumn("rank", F.row_number().over(w))
                                              .filter(F.col("rank") <= n))
 
 
-def report_top_issues(issues: DataFrame, n: int = 40) -> DataFrame:
+def report_top_issues(issues: DataFrame, n: int = UiConfig.pdf_max_issues) -> DataFrame:
     return issue_page(issues, "all", n)
 
 
-def report_digest(report: DataFrame, issues: DataFrame, n: int = 15) -> DataFrame:
+def report_digest(report: DataFrame, issues: DataFrame, n: int = UiConfig.max_report_issues) -> DataFrame:
     """Plain-text summary per project: counts, integer-truncated scores and
     the first n issues in scan order (`severity rule_id path:line`)."""
     top = issue_page(issues, "all", n)

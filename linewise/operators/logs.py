@@ -9,12 +9,13 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from linewise.config import UiConfig
 from linewise.functions.text import log_level_from, log_level_rank
 from linewise.operators.numbering import numbered
 from linewise.session import shared_path
 
 
-def log_recent(logs: DataFrame, min_level: str = "info", limit: int = 200) -> DataFrame:
+def log_recent(logs: DataFrame, min_level: str = "info", limit: int = UiConfig.log_default_limit) -> DataFrame:
     """Entries at or above min_level, the newest `limit` (0 = all), returned
     oldest first.  The limit is a global top-k (TakeOrderedAndProject: each
     task keeps `limit` rows, the final merge sees tasks x limit rows)."""

@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from linewise.config import ScanConfig
+from linewise.operators.rules import CATALOGUE
 from linewise.plans.facts import file_facts
 from linewise.session import shared_path
 
@@ -69,7 +70,7 @@ def taken_over(previous: DataFrame, files: DataFrame) -> tuple[DataFrame, DataFr
 def shared_facts(files: DataFrame, corpus: str, cfg: ScanConfig = ScanConfig()) -> DataFrame:
     """The facts of a named corpus, evaluated only where its files have changed."""
     spark = files.sparkSession
-    root = shared_path(spark, f"linewise/facts/{_hash(corpus, repr(cfg), str(FORM))}")
+    root = shared_path(spark, f"linewise/facts/{_hash(corpus, repr(cfg), repr(CATALOGUE), str(FORM))}")
     state = input_state(files)
     known = versions(spark, root)
     if state and (at := next((n for _, n in reversed(known) if n.startswith(state)), None)):

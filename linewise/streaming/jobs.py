@@ -14,7 +14,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linewise.config import ScanConfig
+from linewise.config import ScanConfig, UiConfig
 from linewise.functions.text import grade_at_or_below, log_level_from, log_level_rank
 from linewise.operators import lines as LN
 from linewise.operators import rules as R
@@ -196,7 +196,7 @@ def grade_alert(spark: SparkSession, history_path: str, schema, sink: str, ckpt:
 
 # ------------------------------------------------------------------ log ring
 def log_ring(spark: SparkSession, logs_path: str, schema, table: str, ckpt: str, min_level: str = "info",
-             keep: int = 200, shards: int = 8) -> None:
+             keep: int = UiConfig.log_max_entries, shards: int = 8) -> None:
     """The newest `keep` log entries at or above min_level, in keyed state of at
     most `keep` entries for each of `shards` keys.  The versioned table holds
     the shards' rings, so it is as bounded as the state."""
