@@ -5,6 +5,10 @@ perceptron, both with residuals.  The next id's probability is a product of
 sigmoids along its path in a Huffman tree over all ids, so it is normalised
 without a sum over the vocabulary.  The node biases start from the corpus
 counts: before training, the model is the subword unigram model.
+
+The root of the tree asks whether the next id starts a word (or ends the text),
+and a Huffman tree of either kind hangs below it.  The chance that a word ends
+is then one sigmoid, and a word's probability can be told from its ids' alone.
 """
 
 from __future__ import annotations
@@ -14,42 +18,58 @@ import heapq
 import numpy as np
 
 WIDTH, HIDDEN, WINDOW, STRIDE = 16, 32, 32, 28
-TOP = 64
+TOP, BATCH, CHUNK = 64, 64, 512  # nodes of the dense product; windows a training step; windows scored at once
 _NAMES = ("emb", "pos", "wq", "wk", "wv", "wo", "w1", "b1", "w2", "node", "bias")
 
 
-def huffman(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(first, nodes, signs, bias): id i takes nodes[first[i]:first[i+1]], +1 for
-    the heavier side; bias is the log odds of that side."""
+def huffman(counts: np.ndarray, starts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(first, nodes, signs, bias): id i takes nodes[first[i]:first[i+1]], upwards,
+    +1 for the heavier side; bias is the log odds of that side.  Nodes are
+    numbered by weight, the root is the last.  With `starts` (true or false per
+    id) the root parts the two kinds, +1 for those that start a word."""
     n = len(counts)
-    heap = [(int(c) + 1, i) for i, c in enumerate(counts)]
-    heapq.heapify(heap)
     parent, side = np.zeros(2 * n - 1, np.int64), np.zeros(2 * n - 1, np.float32)
-    bias = np.zeros(max(n - 1, 1), np.float32)
+    weight, odds = np.zeros(max(n - 1, 1)), np.zeros(max(n - 1, 1), np.float32)
     top = n
-    while len(heap) > 1:
-        (a, x), (b, y) = heapq.heappop(heap), heapq.heappop(heap)
+
+    def join(light: tuple, heavy: tuple) -> tuple:
+        nonlocal top
+        (a, x), (b, y) = light, heavy
         parent[x] = parent[y] = top
         side[x], side[y] = -1.0, 1.0
-        bias[top - n] = np.log(b / a)
-        heapq.heappush(heap, (a + b, top))
+        odds[top - n], weight[top - n] = np.log(b / a), a + b
         top += 1
+        return a + b, top - 1
+
+    def tree(ids) -> tuple:
+        heap = [(int(counts[i]) + 1, int(i)) for i in ids]
+        heapq.heapify(heap)
+        while len(heap) > 1:
+            heapq.heappush(heap, join(heapq.heappop(heap), heapq.heappop(heap)))
+        return heap[0]
+
+    if starts is not None and starts.any() and not starts.all():
+        join(tree(np.flatnonzero(~starts)), tree(np.flatnonzero(starts)))
+    else:
+        tree(range(n))
+    order = np.argsort(weight, kind="stable")
+    number = np.argsort(order, kind="stable")
     first, nodes, signs = [0], [], []
     for i in range(n):
         x = i
         while x != top - 1:
-            nodes.append(parent[x] - n)
+            nodes.append(number[parent[x] - n])
             signs.append(side[x])
             x = parent[x]
         first.append(len(nodes))
-    return np.array(first), np.array(nodes, np.int64), np.array(signs, np.float32), bias
+    return np.array(first), np.array(nodes, np.int64), np.array(signs, np.float32), odds[order]
 
 
 class Attention:
-    def __init__(self, counts: np.ndarray, seed: int = 11):
+    def __init__(self, counts: np.ndarray, starts: np.ndarray | None = None, seed: int = 11):
         g = np.random.default_rng(seed)
         d, v = WIDTH, len(counts)
-        self.first, self.nodes, self.signs, bias = huffman(counts)
+        self.first, self.nodes, self.signs, bias = huffman(counts, starts)
         self.size = np.diff(self.first)
         r = lambda *s, scale: (g.standard_normal(s) * scale).astype(np.float32)
         self.p = {"emb": r(v, d, scale=0.3), "pos": r(WINDOW, d, scale=0.1), "wq": r(d, d, scale=d ** -0.5),
@@ -104,19 +124,28 @@ class Attention:
         at = np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size) + np.repeat(self.first[targets], size)
         return row, self.nodes[at], self.signs[at]
 
-    def log_probability(self, h: np.ndarray, targets: np.ndarray) -> np.ndarray:
-        """Natural log probability of each target given its state."""
-        row, node, sign = self.paths(targets)
-        top = max(len(self.p["bias"]) - TOP, 0)  # the heaviest nodes are the last made: near the root, in most paths
+    def path_odds(self, h: np.ndarray, row: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+        """(log odds of every step, steps at the TOP heaviest nodes, other steps,
+        the first of those nodes): most steps are at a few nodes, whose products
+        with all states are one dense product."""
+        top = max(len(self.p["bias"]) - TOP, 0)
         z = np.empty(len(row), np.float32)
         near, far = np.flatnonzero(node >= top), np.flatnonzero(node < top)
-        z[near] = (h @ self.p["node"][top:].T)[row[near], node[near] - top]
-        z[far] = np.einsum("ij,ij->i", self.p["node"][node[far]], h[row[far]])
+        z[near] = (h @ self.p["node"][top:].T).ravel().take(row[near] * (len(self.p["bias"]) - top) + node[near] - top)
+        z[far] = np.einsum("ij,ij->i", self.p["node"].take(node[far], axis=0), h.take(row[far], axis=0))
         z += self.p["bias"][node]
+        return z, near, far, top
+
+    def log_probability(self, h: np.ndarray, targets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Natural log probability of each target given its state, and the part of
+        it that the root decides (starts a word or not)."""
+        row, node, sign = self.paths(targets)
+        z, *_ = self.path_odds(h, row, node)
         z *= -sign
         np.minimum(z, 25, out=z)  # a path has under 28 steps: the product stays finite
-        size = self.size[targets]
-        return -np.log(np.multiply.reduceat(1 + np.exp(z).astype(np.float64), np.cumsum(size) - size))
+        step = 1 + np.exp(z).astype(np.float64)
+        end = np.cumsum(self.size[targets])
+        return -np.log(np.multiply.reduceat(step, end - self.size[targets])), -np.log(step[end - 1])
 
     def gradient(self, ids: np.ndarray, targets: np.ndarray, counts: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
         """Mean loss over the positions where counts is true, and its gradient."""
@@ -125,15 +154,21 @@ class Attention:
         m = counts.ravel()
         flat, want = h.reshape(-1, WIDTH)[m], targets.ravel()[m]
         row, node, sign = self.paths(want)
-        z = (np.einsum("ij,ij->i", p["node"][node], flat[row]) + p["bias"][node]) * sign
-        loss = np.logaddexp(0, -z).sum() / len(want)
-        gz = (-sign / (1 + np.exp(np.clip(z, -30, 30))) / len(want)).astype(np.float32)
+        z, near, far, top = self.path_odds(flat, row, node)
+        z *= -sign
+        np.clip(z, -30, 30, out=z)
+        e = np.exp(z)
+        loss = np.log1p(e).sum() / len(want)
+        gz = -sign * e / ((1 + e) * len(want))
         g = {"bias": np.bincount(node, gz, len(p["bias"])).astype(np.float32)}
-        g["node"] = _sums(node, gz[:, None] * flat[row], len(p["node"]))
-        part = gz[:, None] * p["node"][node]
-        size = np.bincount(row, minlength=len(want))
+        dense = np.zeros((len(want), len(p["bias"]) - top), np.float32)
+        dense[row[near], node[near] - top] = gz[near]
+        few, at = gz[far, None], node[far]
+        g["node"] = _sums(at, few * flat.take(row[far], axis=0), len(p["node"]))
+        g["node"][top:] += dense.T @ flat
+        dflat = dense @ p["node"][top:] + _sums(row[far], few * p["node"].take(at, axis=0), len(want))
         dh = np.zeros((m.size, WIDTH), np.float32)
-        dh[m] = np.add.reduceat(part, np.cumsum(size) - size)
+        dh[m] = dflat
         dh = dh.reshape(h.shape)
         two = lambda x: x.reshape(-1, x.shape[-1])
         g["w2"] = two(r).T @ two(dh)
@@ -153,7 +188,7 @@ class Attention:
         g["emb"] = _sums(ids.ravel(), two(dx), len(p["emb"]))
         return float(loss), g
 
-    def train(self, windows: np.ndarray, counts: np.ndarray, rate: float, batch: int = 24) -> None:
+    def train(self, windows: np.ndarray, counts: np.ndarray, rate: float, batch: int = BATCH) -> None:
         """One pass of Adam over windows (rows, WINDOW + 1) in the order given."""
         one = {k: np.zeros_like(v) for k, v in self.p.items()}
         two = {k: np.zeros_like(v) for k, v in self.p.items()}
@@ -162,20 +197,20 @@ class Attention:
             if not c.any():
                 continue
             _, g = self.gradient(w[:, :-1], w[:, 1:], c)
-            lr = rate * min(1.0, step / 20) * np.sqrt(1 - 0.99 ** step) / (1 - 0.9 ** step)
+            lr = float(rate * min(1.0, step / 20) * (1 - 0.99 ** step) ** 0.5 / (1 - 0.9 ** step))
             for k, x in g.items():
                 one[k] += 0.1 * (x - one[k])
                 two[k] += 0.01 * (x * x - two[k])
-                self.p[k] -= (lr * one[k] / (np.sqrt(two[k]) + 1e-7)).astype(np.float32)
+                self.p[k] -= lr * one[k] / (np.sqrt(two[k]) + 1e-7)
 
-    def score(self, texts: list[np.ndarray], start: int) -> np.ndarray:
+    def score(self, texts: list[np.ndarray], start: int) -> tuple[np.ndarray, np.ndarray]:
         """Natural log probability of every id of the sequences, one after the
-        other (each with its end id last).  Windows overlap by WINDOW - STRIDE positions; each id is scored once,
+        other (each with its end id last), and the root's part of it.  Windows overlap by WINDOW - STRIDE positions; each id is scored once,
         in the first window that holds it."""
         size = np.fromiter(map(len, texts), np.int64, len(texts))
-        out = np.zeros(size.sum())
+        out, root = np.zeros(size.sum()), np.zeros(size.sum())
         if not len(out):
-            return out
+            return out, root
         target = np.concatenate(texts).astype(np.int64)
         base = np.cumsum(size) - size
         source = np.roll(target, 1)
@@ -186,8 +221,8 @@ class Attention:
         # short texts together, so that windows need not be padded far
         length = np.minimum(size[text] - k * STRIDE, WINDOW)
         order = np.argsort(length, kind="stable")
-        for a in range(0, len(order), 1024):
-            w = order[a:a + 1024]
+        for a in range(0, len(order), CHUNK):
+            w = order[a:a + CHUNK]
             span = int(length[w].max())
             at = base[text[w]][:, None] + (k[w] * STRIDE)[:, None] + np.arange(span)
             inside = np.arange(span) < length[w][:, None]
@@ -195,15 +230,12 @@ class Attention:
             at = np.where(inside, at, 0)
             s = self.states(source[at])
             _, h = self.head(s["h1"][mine])
-            out[at[mine]] = self.log_probability(h, target[at[mine]])
-        return out
+            out[at[mine]], root[at[mine]] = self.log_probability(h, target[at[mine]])
+        return out, root
 
 
 def _sums(index: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
     """Rows summed by index."""
-    order = np.argsort(index, kind="stable")
-    i = index[order]
-    first = np.flatnonzero(np.append(True, i[1:] != i[:-1]))
-    out = np.zeros((n, rows.shape[1]), np.float32)
-    out[i[first]] = np.add.reduceat(rows[order], first)
-    return out
+    width = rows.shape[1]
+    at = index[:, None] * width + np.arange(width)
+    return np.bincount(at.ravel(), rows.ravel(), n * width).reshape(n, width).astype(np.float32)

@@ -26,12 +26,13 @@ def shared_dir(spark: SparkSession) -> str:
     return d
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df written once to the shared folder and read back: cuts the lineage,
-    and a lost executor costs a reread, not a recomputation."""
+def written(df: DataFrame, name: str, *by: str) -> DataFrame:
+    """df written once to the shared folder (a folder per value of the columns
+    `by`) and read back: cuts the lineage, and a lost executor costs a reread,
+    not a recomputation."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/llm/{name}-{uuid.uuid4().hex[:12]}"
-    df.write.parquet(path)
+    df.write.partitionBy(*by).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -1,22 +1,33 @@
 """LM scoring with a causal self-attention model over subword ids.
 
 Words are cut into subwords by the first VOCABULARY ranks of a public byte-
-level vocabulary; `attention.Attention` gives each subword's probability from
-overlapping context windows, and a word's is the product of its subwords'.
-The text's score mixes that with the smoothed frequency of known words:
+level vocabulary, a word's first subword beginning with a space;
+`attention.Attention` gives each subword's probability from overlapping context
+windows.  The root of its tree tells whether a word goes on or another (or the
+end of the text) comes.  So, given that a word begins, the chance that exactly
+this word stands there is
 
-    p(word) = MIX * [c > 0] (c + 0.5) / (N + 0.5 (V + 1)) + (1 - MIX) * p_attention(word | its context)
+    p_attention(word) = product of its subwords' probabilities, the first given that a word
+                        begins, times the chance that no further subword of it comes
 
-with the counts c, N, V of all training tokens.  `attention_score` is the
-attention model's log probability alone.
+which sums to at most 1 over all words and the end of the text.  The text's
+score mixes it, word by word, with the smoothed frequency of known words:
+
+    p(word) = MIX * [c > 0] (c + 0.5) / (N + 0.5 (V + 1)) + (1 - MIX) * p_attention(word)
+
+with the counts c, N, V of all training tokens.  This sums to at most 1 as well,
+so the score is a log probability of the text.  `attention_score` is the
+attention model's alone.
 
 All counts cover all training documents, and so does the attention model's
-training: every window is trained on in equally many rounds, ceil(least / ids)
-(one, on a corpus of LEAST_TOKENS ids or more; on so few that all rounds take
-all windows, each round passes over them up to MOST_PASSES times).  Windows for training meet
-in one id and do not overlap further.  In a round every partition of the
-windows trains a copy on its part, and the copies are averaged, block by block,
-in Spark; only the average comes to the driver.
+training.  Every window is trained on once, at every size of the input: a hash
+of its document and place deals it to one of the rounds and there to one of
+ceil(windows / (rounds * SHARD)) shards.  A copy of the model is trained on each
+shard, in the order of that hash, and the copies are averaged block by block, at
+most FAN at a time; only the average comes to the driver.  So the model depends
+on the documents and not on how they are partitioned (windows of rows without
+doc_id are dealt by the row's place instead).  Windows for training meet in one
+id and do not overlap further.
 
 Counts of words meet their occurrences in a join on the word's 64-bit hash.
 Words that make up more than 1 / HOT of all tokens (at most HOT of them) are
@@ -31,6 +42,7 @@ from __future__ import annotations
 
 import base64
 import math
+import struct
 from collections import Counter
 from collections.abc import Iterator
 
@@ -44,8 +56,9 @@ from pyspark.sql import functions as F
 from linewise.llm.attention import WINDOW, Attention
 from linewise.llm.common import Bounded, crc_mod, read, words_of, written
 
-VOCABULARY, HOT, MIX = 2048, 65_536, 0.35
-LEAST_TOKENS, MOST_PASSES, RATES, BLOCKS = 8_000_000, 8, (0.012, 0.008, 0.004, 0.002), 32
+VOCABULARY, HOT, MIX = 8192, 65_536, 0.2
+#: Learning rates of the rounds; windows of a shard; parts of the model averaged apart; copies averaged at once.
+RATES, SHARD, BLOCKS, FAN = (0.016, 0.011, 0.006, 0.003), 32_768, 32, 64
 MEMO_WORDS, FLUSH_WORDS = 300_000, 400_000
 
 
@@ -59,6 +72,13 @@ def ranks(path: str | None = None, n: int = VOCABULARY) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in pairs if int(b) < n}
 
 
+def starts_of(by_bytes: dict[bytes, int]) -> np.ndarray:
+    """True for ids that begin a word (with a space) and for the end's."""
+    starts = np.zeros(len(by_bytes) + 1, bool)
+    starts[[i for w, i in by_bytes.items() if w[:1] == b" "] + [len(by_bytes)]] = True
+    return starts
+
+
 class Subwords:
     """Word -> its ids as uint16 bytes; n is the id of the end."""
 
@@ -131,102 +151,93 @@ def subword_counts(counts: DataFrame, vocabulary) -> np.ndarray:
     return out
 
 
-def training_windows(train: DataFrame, vocabulary) -> DataFrame:
-    """ids binary: WINDOW + 1 ids (uint16; one beyond the end pads), of all documents."""
+def training_windows(train: DataFrame, vocabulary, rounds: int = len(RATES)) -> DataFrame:
+    """(h long, ids binary, round int): WINDOW + 1 ids (uint16; one beyond the end
+    pads), of all documents; a folder per round."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sub = subwords(vocabulary.value)
         for b in batches:
-            rows = []
-            for t in b["text"]:
+            rows, keys = [], []
+            for key, t in zip(b["key"], b["text"]):
                 ids, _ = sub.text(words_of(t))
                 ids = np.append([sub.n], ids)
                 for a in range(0, len(ids) - 1, WINDOW):
                     w = ids[a:a + WINDOW + 1]
                     rows.append(np.append(w, np.full(WINDOW + 1 - len(w), sub.n + 1)).astype(np.uint16).tobytes())
-            yield pd.DataFrame({"ids": rows})
+                    keys.append(xxhash.xxh64_intdigest(struct.pack("<qq", key, a) + rows[-1], seed=3))
+            h = np.array(keys, np.uint64)
+            yield pd.DataFrame({"h": h.view(np.int64), "ids": rows, "round": (h % np.uint64(max(rounds, 1))).astype(np.int32)})
+
+    keyed = train.select(F.coalesce("doc_id", F.monotonically_increasing_id()).alias("key"), "text")
+    return written(keyed.mapInPandas(run, "h long, ids binary, round int"), "op2-windows", "round")
 
-    return written(train.select("text").mapInPandas(run, "ids binary"), "op2-windows")
 
+def averaged(copies: DataFrame, shards: int) -> DataFrame:
+    """(shard long, block int, n long, w binary) with one shard: the mean of all
+    copies, each as often as it has windows."""
 
-def epochs_of(ids: int, least: int) -> int:
-    return max(1, -(-least // max(ids, 1)))
+    def mean(g: pd.DataFrame) -> pd.DataFrame:
+        g = g.sort_values("part")
+        total = sum(np.frombuffer(w, np.float32).astype(np.float64) * n for n, w in zip(g["n"], g["w"]))
+        n = int(g["n"].sum())
+        return pd.DataFrame({"shard": g["shard"].iloc[:1], "block": g["block"].iloc[0], "n": n, "w": [(total / n).astype(np.float32).tobytes()]})
 
+    while shards > 1:
+        some = copies.select(F.col("shard").alias("part"), F.floor(F.col("shard") / FAN).alias("shard"), "block", "n", "w")
+        copies = some.groupBy("shard", "block").applyInPandas(mean, "shard long, block int, n long, w binary")
+        shards = -(-shards // FAN)
+    return copies
 
-def of_round(windows: DataFrame, r: int, rounds: int, epochs: int) -> DataFrame:
-    """Each window is in `epochs` of the rounds, in all where there are fewer."""
-    part = F.pmod(F.xxhash64("ids"), F.lit(rounds))
-    return windows.filter(F.pmod(part + r, F.lit(rounds)) < epochs)
 
+def on_shard(shared, rate: float, n_ids: int):
+    """The training of one copy: windows of a shard -> its parameters in BLOCKS parts."""
 
-def train_model(windows: DataFrame, counts: np.ndarray, rates=RATES, least: int = LEAST_TOKENS, seed: int = 5) -> Attention:
-    """Rounds of local training on every partition, then averaging.  Every
-    window is in `epochs` of the rounds, or in all of them with several passes."""
+    def run(g: pd.DataFrame) -> pd.DataFrame:
+        flat, first, nodes, signs, size = shared.value
+        local = Attention.__new__(Attention)
+        local.restore(flat, first, nodes, signs, size, n_ids)
+        g = g.sort_values(["h", "ids"])
+        w = np.frombuffer(b"".join(g["ids"]), np.uint16).reshape(-1, WINDOW + 1).astype(np.int64)
+        local.train(np.minimum(w, n_ids - 1), w[:, 1:] < n_ids, rate)
+        parts = np.array_split(local.flat(), BLOCKS)
+        return pd.DataFrame({"shard": g["shard"].iloc[0], "block": range(BLOCKS), "n": len(w), "w": [p.tobytes() for p in parts]})
+
+    return run
+
+
+def train_model(windows: DataFrame, counts: np.ndarray, starts: np.ndarray | None = None, rates=RATES, shard: int = SHARD) -> Attention:
+    """Rounds of training on shards, then averaging; every window once."""
     spark = windows.sparkSession
-    model = Attention(counts)
-    n = windows.count()
-    if not n:
-        return model
-    rounds = len(rates)
-    epochs = epochs_of(int(counts.sum()), least)
-    passes = min(MOST_PASSES, max(1, epochs // rounds)) if rounds else 1
-    slots = max(1, min(spark.sparkContext.defaultParallelism, n // 2000))
-    rows = windows
-    if slots > 1 and epochs > 1:
-        rows = rows.repartition(slots, F.xxhash64("ids"))
-    end = len(counts) - 1
-    for r, rate in enumerate(rates):
+    model = Attention(counts, starts)
+    n = windows.count() if rates else 0
+    shards = max(1, -(-n // (max(len(rates), 1) * shard)))
+    for r, rate in enumerate(rates if n else ()):
         shared = spark.sparkContext.broadcast((model.flat(), model.first, model.nodes, model.signs, model.size))
-
-        def run(batches: Iterator[pd.DataFrame], shared=shared, rate=rate, r=r) -> Iterator[pd.DataFrame]:
-            flat, first, nodes, signs, size = shared.value
-            local = Attention.__new__(Attention)
-            local.restore(flat, first, nodes, signs, size, len(counts))
-            seen, held, n_held = 0, [], 0
-
-            def step(rows):
-                w = np.frombuffer(b"".join(rows), np.uint16).reshape(-1, WINDOW + 1).astype(np.int64)
-                w = w[np.random.default_rng(seed + r).permutation(len(w))]
-                for _ in range(passes):
-                    local.train(np.minimum(w, end), w[:, 1:] <= end, rate)
-                return len(w)
-
-            for b in batches:
-                held += b["ids"].tolist()
-                if len(held) >= 50_000:
-                    seen += step(held)
-                    held = []
-            if held:
-                seen += step(held)
-            if seen:
-                parts = np.array_split(local.flat(), BLOCKS)
-                yield pd.DataFrame({"block": range(BLOCKS), "n": seen, "w": [p.astype(np.float32).tobytes() for p in parts]})
-
-        def mean(g: pd.DataFrame) -> pd.DataFrame:
-            total = sum(np.frombuffer(w, np.float32).astype(np.float64) * n for n, w in sorted(zip(g["n"], g["w"]), key=str))
-            return pd.DataFrame({"block": g["block"].iloc[:1], "w": [(total / g["n"].sum()).astype(np.float32).tobytes()]})
-
-        now = of_round(rows, r, rounds, epochs)
-        got = now.select("ids").mapInPandas(run, "block int, n long, w binary").groupBy("block").applyInPandas(mean, "block int, w binary").collect()
+        dealt = windows.filter(F.col("round") == r).select(F.pmod(F.xxhash64("h"), F.lit(shards)).cast("long").alias("shard"), "h", "ids")
+        copies = dealt.groupBy("shard").applyInPandas(on_shard(shared, rate, len(counts)), "shard long, block int, n long, w binary")
+        got = averaged(copies, shards).select("block", "w").collect()  # one model
         if got:
             model.load(np.concatenate([np.frombuffer(x["w"], np.float32) for x in sorted(got, key=lambda x: x["block"])]))
+        shared.unpersist()
     return model
 
 
-def score(docs: DataFrame, training: Column, rates=RATES, least: int = LEAST_TOKENS) -> DataFrame:
+def score(docs: DataFrame, training: Column, rates=RATES, shard: int = SHARD) -> DataFrame:
     """For every row of docs(doc_id, text): doc_id, n_tokens, n_known,
     train_tokens, base_score, score, attention_score (log10)."""
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), training.alias("train"))
     train = docs.filter("train")
-    vocabulary = spark.sparkContext.broadcast(ranks())
+    by_bytes = ranks()
+    vocabulary = spark.sparkContext.broadcast(by_bytes)
     counts = written(word_counts(train), "op2-words")
     ends = train.count()
     n_words, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).collect()[0]
     total, kinds = n_words + ends, distinct + (ends > 0)
     ids = subword_counts(counts, vocabulary)
     ids[-1] = ends
-    model = train_model(training_windows(train, vocabulary), ids, rates, least)
+    model = train_model(training_windows(train, vocabulary, len(rates)), ids, starts_of(by_bytes), rates, shard)
     hot = {bytes(r["word"]): r["c"] for r in counts.filter(F.col("c") * HOT > total).collect()}  # at most HOT words
     shared = spark.sparkContext.broadcast((model.flat(), model.first, model.nodes, model.signs, model.size, len(ids), hot))
 
@@ -245,9 +256,8 @@ def score(docs: DataFrame, training: Column, rates=RATES, least: int = LEAST_TOK
                     parts.append(sub.text(words[-1]))
                     n_ids += len(parts[-1][0])
                     at += 1
-                lp = local.score([p[0] for p in parts], n - 1) / math.log(10)
-                each = np.concatenate([p[1] for p in parts])
-                word_lp = np.add.reduceat(lp, np.cumsum(each) - each)
+                lp, root = local.score([p[0] for p in parts], n - 1)
+                word_lp = of_words(lp, root, [p[1] for p in parts]) / math.log(10)
                 yield emitted(uid.slice(begin, at - begin), doc.slice(begin, at - begin), words, word_lp, hot, ends, total, kinds)
 
     schema = "uid long, doc_id long, h long, lp double, n_tokens long, known long, base double, score double, attention double"
@@ -269,6 +279,17 @@ def score(docs: DataFrame, training: Column, rates=RATES, least: int = LEAST_TOK
     return out.drop("uid")
 
 
+def of_words(lp: np.ndarray, root: np.ndarray, sizes: list[np.ndarray]) -> np.ndarray:
+    """Log probability of every word and end, given that one begins, from those
+    of the ids and of their root step; sizes: ids of each word and end, by text.
+    The root step of the next word's first id says that a word is over."""
+    each = np.concatenate(sizes)
+    first = np.cumsum(each) - each
+    over = np.append(root[first[1:]], 0.0)
+    over[np.cumsum([len(x) for x in sizes]) - 1] = 0.0  # nothing follows an end
+    return np.add.reduceat(lp, first) - root[first] + over
+
+
 def emitted(uid, doc, words: list[list[bytes]], lp: np.ndarray, hot: dict, ends: int, total: int, kinds: int) -> pa.RecordBatch:
     """One row for every word whose count the join must bring, and one per text
     with all that is known already (null word columns; its hash is spread)."""

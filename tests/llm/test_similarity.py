@@ -1,5 +1,6 @@
 """Operators 2, 4 and 10 and the pipeline against brute force."""
 
+import itertools
 import math
 import random
 import zlib
@@ -162,11 +163,11 @@ def test_attention_probabilities_sum_to_one_and_gradient_is_right():
     g = np.random.default_rng(2)
     m.p["node"] = g.normal(size=m.p["node"].shape).astype(np.float32)
     h = g.normal(size=(1, 16)).astype(np.float32)
-    total = sum(np.exp(m.log_probability(h, np.array([i])))[0] for i in range(7))
+    total = sum(np.exp(m.log_probability(h, np.array([i]))[0])[0] for i in range(7))
     assert abs(total - 1) < 1e-5
     first, nodes, signs, bias = huffman(counts)
     m0 = Attention(counts)
-    p = np.array([np.exp(m0.log_probability(np.zeros((1, 16), np.float32), np.array([i])))[0] for i in range(7)])
+    p = np.array([np.exp(m0.log_probability(np.zeros((1, 16), np.float32), np.array([i]))[0])[0] for i in range(7)])
     assert np.allclose(p, (counts + 1) / (counts + 1).sum(), atol=1e-5)
     w = g.integers(0, 7, size=(3, WINDOW + 1))
     on = np.ones((3, WINDOW), bool)
@@ -186,7 +187,7 @@ def test_each_token_is_scored_once_with_its_window():
     g = np.random.default_rng(4)
     m.p["node"] = (0.5 * g.normal(size=m.p["node"].shape)).astype(np.float32)
     texts = [g.integers(0, 11, size=n) for n in (1, 5, 31, 32, 33, 60, 61, 200)]
-    got, at = m.score(texts, 10), 0
+    got, at = m.score(texts, 10)[0], 0
     from linewise.llm.attention import STRIDE
     for t in texts:
         source = np.append([10], t[:-1])
@@ -194,7 +195,7 @@ def test_each_token_is_scored_once_with_its_window():
             k = 0 if i < WINDOW else (i - WINDOW) // STRIDE + 1
             ids = source[k * STRIDE:i + 1][None, :]
             _, h = m.head(m.states(ids)["h1"][0, -1:])
-            assert abs(m.log_probability(h, t[i:i + 1])[0] - got[at + i]) < 1e-3
+            assert abs(m.log_probability(h, t[i:i + 1])[0][0] - got[at + i]) < 1e-3
         at += len(t)
     assert at == len(got)
 
@@ -204,7 +205,7 @@ def test_lm_base_score(spark):
     rows += [(100, None), (101, ""), (102, "zz zz unseen"), (103, "x" * 3000), (104, "aa bb"), (104, "aa bb")]
     df = spark.createDataFrame(rows, "doc_id long, text string")
     train = F.col("doc_id") % 5 != 1
-    got = o2.score(df, train, rates=(0.01,), least=5000).collect()
+    got = o2.score(df, train, rates=(0.01,)).collect()
     c = Counter(w for i, t in rows if i % 5 != 1 for w in [*(t or "").encode().lower().split(), None])
     n, v = sum(c.values()), len(c)
     assert len(got) == len(rows)
@@ -215,31 +216,80 @@ def test_lm_base_score(spark):
         assert (r["n_tokens"], r["n_known"], r["train_tokens"]) == (len(ws), sum(c[w] > 0 for w in ws), n)
         assert abs(r["base_score"] - base) < 1e-6 * abs(base) and math.isfinite(r["score"]) and r["score"] < 0
     assert o2.score(df.limit(0), train).count() == 0
-    assert o2.score(df.filter("doc_id = 101"), F.lit(False), least=10).count() == 1
+    assert o2.score(df.filter("doc_id = 101"), F.lit(False)).count() == 1
 
 
-def test_lm_training_helps_on_held_out_text(spark):
-    docs = spark.read.parquet(f"{SF_SMALL}/documents.parquet").select("doc_id", "text")
+def test_lm_word_probabilities_sum_to_one():
+    """All words of ids 0, 1 (which go on) after 2 or 3 (which begin), and the end 4."""
+    m = Attention(np.array([9, 5, 7, 2, 3]), np.array([False, False, True, True, True]))
+    g = np.random.default_rng(8)
+    m.p["node"] = g.normal(size=m.p["node"].shape).astype(np.float32)
+    before, total = [2, 1], 0.0
+    for long in range(5):
+        for word in itertools.product((2, 3), *[(0, 1)] * long):
+            ids = np.array([*before, *word, 4])
+            lp, root = m.score([ids], 4)
+            each = np.array([2, len(word), 1])
+            total += math.exp(o2.of_words(lp, root, [each])[1])
+            if long == 4:  # all that is longer: the same prefix, and no new word
+                total += math.exp(lp[2:2 + len(word)].sum() - root[2]) * (1 - math.exp(root[-1]))
+    lp, root = m.score([np.array([2, 1, 4])], 4)
+    total += math.exp(o2.of_words(lp, root, [np.array([2, 1])])[1])
+    assert abs(total - 1) < 1e-4
+
+
+def test_lm_score_against_brute_force(spark, monkeypatch):
+    g, made = np.random.default_rng(9), []
+
+    def some_model(windows, counts, starts, *a):
+        m = Attention(counts, starts)
+        m.p["node"] = (0.3 * g.normal(size=m.p["node"].shape)).astype(np.float32)
+        made.append(m)
+        return m
+
+    monkeypatch.setattr(o2, "train_model", some_model)
+    rows = [(i, " ".join(random.Random(i).choice(["aa", "Bb", "cc dd", "strange", "é"]) + "x" * (i % 7) for _ in range(i))) for i in range(1, 50)]
+    rows += [(61, None), (66, "only\u00a0unseen .words"), (71, "y" * 300), (None, "aa")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("uid", F.lit(1)).withColumn("train", F.lit("x"))
+    got = {r["doc_id"]: r for r in o2.score(df, F.coalesce("doc_id", F.lit(0)) % 5 != 1).collect()}
+    words = {i: [*(t or "").encode().lower().split(), None] for i, t in rows}
+    c = Counter(w for i, ws in words.items() if (i or 0) % 5 != 1 for w in ws)
+    n, v, sub = sum(c.values()), len(c), o2.Subwords(o2.ranks())
+    for i, ws in words.items():
+        ids = [np.frombuffer(sub.end if w is None else sub.word(w), np.uint16).astype(int) for w in ws]
+        lp, root = made[0].score([np.concatenate(ids)], sub.n)
+        at, want, alone = 0, 0.0, 0.0
+        for w, x in zip(ws, ids):
+            log = lp[at:at + len(x)].sum() - root[at] + (0 if w is None else root[at + len(x)])
+            at += len(x)
+            alone += log / math.log(10)
+            known = o2.MIX * (c[w] + 0.5) / (n + 0.5 * (v + 1)) if c[w] else 0.0
+            want += np.logaddexp(math.log(1 - o2.MIX) + log, math.log(known) if known else -math.inf) / math.log(10)
+        assert abs(got[i]["score"] - want) < 1e-5 * abs(want) and abs(got[i]["attention_score"] - alone) < 1e-5 * abs(alone)
+
+
+def test_lm_beats_word_frequency_on_held_out_text(spark):
+    """The attention model alone, and with word frequency mixed in."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text")
     train = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 1
-    total = [o2.score(docs, train, rates=rates, least=300_000).filter(~train).agg(F.sum("attention_score"), F.sum("score")).collect()[0]
-             for rates in ((), (0.012, 0.006))]
-    assert total[1][0] > 0.9 * total[0][0] and total[1][1] > total[0][1]  # all negative
+    r = o2.score(docs, train).join(docs.filter(~train).select("doc_id"), "doc_id").agg(*[F.sum(x) for x in ("base_score", "attention_score", "score")]).collect()[0]
+    assert r[0] < r[1] < r[2] < 0
 
 
-def test_lm_trains_on_windows_of_all_documents(spark, monkeypatch):
-    """Every document's windows, each in equally many rounds, on inputs far above `least` too."""
+def test_lm_trains_on_each_window_once_however_partitioned(spark, monkeypatch):
     g = random.Random(5)
     rows = [(i, " ".join(g.choice(["aa", "bb", "cc", "dd", "ee"]) + str(i) for _ in range(20))) for i in range(300)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    made, whole = [], o2.training_windows
-    monkeypatch.setattr(o2, "training_windows", lambda *a: made.append(whole(*a)) or made[-1])
-    assert o2.score(df, F.lit(True), rates=(), least=100).count() == 300
-    windows = made[0]
-    assert sum((np.frombuffer(r["ids"], np.uint16)[1:] == o2.VOCABULARY).sum() for r in windows.collect()) == 300  # ends
-    assert [o2.epochs_of(n, 100) for n in (0, 25, 34, 50, 99, 100, 101, 10 ** 9)] == [100, 4, 3, 2, 2, 1, 1, 1]
-    for epochs in (1, 2, 3, 4, 9):
-        seen = Counter(r["ids"] for k in range(4) for r in o2.of_round(windows, k, 4, epochs).collect())
-        assert seen == Counter({w: min(epochs, 4) * n for w, n in Counter(r["ids"] for r in windows.collect()).items()})
+    seen, flats, train, whole = [], [], o2.train_model, o2.training_windows
+    monkeypatch.setattr(o2, "training_windows", lambda *a: seen.append(whole(*a)) or seen[-1])
+    monkeypatch.setattr(o2, "train_model", lambda *a: flats.append(train(*a).flat()) or train(*a))
+    monkeypatch.setattr(o2, "FAN", 3)
+    for parts in (1, 5):
+        assert o2.score(df.repartition(parts), F.lit(True), (0.01, 0.005), 60).count() == 300
+    a, b = ([(r["round"], r["h"], r["ids"]) for r in w.collect()] for w in seen)
+    assert sorted(a) == sorted(b) and {r for r, *_ in a} == {0, 1} and len(set(a)) == len(a) > 4 * 60 * 2
+    assert sum((np.frombuffer(ids, np.uint16)[1:] == o2.VOCABULARY).sum() for *_, ids in a) == 300  # ends
+    assert np.array_equal(*flats)
 
 
 def test_pipeline_stages(spark, tmp_path):
