@@ -6,9 +6,11 @@ any gram is known, then progressively shorter ones.  A text's score per
 language is the sum over its words.
 
 The counts come from about `max_docs` training texts per language (chosen by a
-hash of doc_id; a documented bound), aggregated in Spark; the model keeps the
-most frequent words and grams of that sample (`max_words`, `max_grams`) and is
-broadcast.  Prediction reads whole texts.
+hash of doc_id; a documented bound), aggregated in Spark; the model keeps every
+language's own most frequent words and grams of that sample (`max_words`,
+`max_grams` of each, documented bounds too), with their counts in all languages,
+and is broadcast.  So a rare language keeps its words beside common ones.
+Prediction reads whole texts.
 
 Defined results: `und` with score 0 for a null text, a text without letters, or
 if no language could be learned; ties go to the language that sorts first;
@@ -23,12 +25,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from linewise.llm.common import crc_mod, drop_new, read
 
-MAX_DOCS, MAX_WORDS, MAX_GRAMS = 1500, 60_000, 60_000
+#: Bounds for each language: texts learned from, about; words and grams kept.
+MAX_DOCS, MAX_WORDS, MAX_GRAMS = 1500, 30_000, 30_000
 ORDERS = (5, 4, 3, 2, 1)
 MEMO_WORDS = 200_000
 _WORD = re.compile(r"[^\W\d_]+")
@@ -139,11 +142,11 @@ def fit(docs: DataFrame, max_docs: int = MAX_DOCS, max_words: int = MAX_WORDS, m
                 yield pd.DataFrame({"key": list(many), "lang": lang, "n": list(many.values())})
 
     total = sample.mapInPandas(counts, "key string, lang string, n long").groupBy("key", "lang").agg(F.sum("n").alias("n"))
-    total = total.groupBy("key").agg(F.sum("n").alias("all"), F.collect_list(F.struct("lang", "n")).alias("by"))
     gram = F.col("key").startswith("#")
-    total = total.filter("all >= 2").select("key", "all", "by", gram.alias("gram"))
-    top = [r for g, k in ((False, max_words), (True, max_grams))
-           for r in total.filter(F.col("gram") == g).orderBy(F.desc("all"), "key").limit(k).collect()]
+    place = F.row_number().over(Window.partitionBy("lang", gram).orderBy(F.desc("n"), "key"))
+    by = total.withColumn("place", place).groupBy("key").agg(
+        F.sum("n").alias("all"), F.min("place").alias("place"), F.collect_list(F.struct("lang", "n")).alias("by"))
+    top = by.filter(F.col("place") <= F.when(gram, max_grams).otherwise(max_words)).filter("all >= 2").select("key", "by").collect()
     return Model(sorted(sizes), [(r["key"], b["lang"], b["n"]) for r in top for b in r["by"]])
 
 

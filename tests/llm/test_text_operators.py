@@ -213,6 +213,20 @@ def test_language(spark, docs, none):
     assert o8.predict(none, empty).count() == 0
 
 
+def test_language_keeps_the_words_of_a_rare_language(spark):
+    """Three common languages of many words beside a rare one, same letters; bounds below the common words."""
+    g = random.Random(4)
+    word = lambda: "".join(g.choice("abcdefgh") for _ in range(7))
+    vocab = {x: [word() for _ in range(400)] for x in "pqrs"}
+    text = lambda x: " ".join(g.choices(vocab[x], k=40))
+    rows = [(i, text(x), x) for i, x in enumerate("pqr" * 150 + "s" * 20)]
+    m = o8.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), max_words=300, max_grams=300)
+    assert sum(w in m.known for w in vocab["s"]) >= 250
+    new = spark.createDataFrame([(i, text(x), x) for i, x in enumerate("pqrs" * 25)], "doc_id long, text string, want string")
+    got = o8.predict(new, m).collect()
+    assert all(r["lang_pred"] == r["want"] for r in got)
+
+
 PLAIN = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
          "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
 
