@@ -1,9 +1,9 @@
 """Quality classifier: histogram gradient-boosted trees over document statistics.
 
 The statistics are taken from the whole text in Arrow batches; the trees are
-fitted on the driver from the statistics of at most about `max_rows` labelled
-rows (chosen by a hash of doc_id, a documented bound), flattened into arrays
-and applied to batches of rows at once.
+fitted from the statistics of all labelled rows (on the driver up to `max_rows`
+of them, else by sums over the executors), flattened into arrays and applied to
+batches of rows at once.
 
 Defined results: null and empty texts get the statistics of an empty text and
 so a score like any other; repeated rows score alike; without usable labels
@@ -22,9 +22,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from linewise.llm import boosting
-from linewise.llm.common import crc_mod, drop_new, read
+from linewise.llm.common import crc_mod, drop_new, read, written
 
-#: Labelled rows used for fitting, about; those of smallest hash.
+#: Labels up to which the trees are fitted on the driver.
 MAX_ROWS = 20_000
 #: Score from which a document counts as good.
 THRESHOLD = 0.3
@@ -65,32 +65,30 @@ def statistics_of(texts) -> np.ndarray:
     return np.array([statistics(t) for t in texts], dtype=np.float64).reshape(-1, len(STATISTICS))
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, label: str, usable: Column, max_rows: int) -> DataFrame:
-    """text and label of about max_rows labelled documents: every row of docs
-    whose id passes a hash threshold set from the number of labels."""
-    lab = (labels.filter(usable & F.col("doc_id").isNotNull() & F.col(label).isNotNull())
-           .groupBy("doc_id").agg(F.max(label).alias("label")))
-    n = lab.count()
-    share = 1 << 20
-    if n > max_rows:
-        lab = lab.filter(F.pmod(F.xxhash64("doc_id"), F.lit(share)) < int(share * max_rows / n))
-    # at most about max_rows rows of 16 bytes: broadcast
-    return docs.select("doc_id", "text").join(F.broadcast(lab), "doc_id").select("text", "label")
-
-
 def fit(docs: DataFrame, labels: DataFrame, usable: Column | None = None, max_rows: int = MAX_ROWS,
         **tree) -> boosting.Trees:
-    """Trees from the labelled rows that `usable` (over doc_id) admits."""
+    """Trees from all labelled rows that `usable` (over doc_id) admits."""
     usable = F.lit(True) if usable is None else usable
+    lab = (labels.filter(usable & F.col("doc_id").isNotNull() & F.col("quality").isNotNull())
+           .groupBy("doc_id").agg(F.max("quality").alias("label")))
 
     @F.pandas_udf("array<double>")
     def stats(s: pd.Series) -> pd.Series:
         return pd.Series(list(statistics_of(s)), dtype=object)
 
-    rows = training_rows(docs, labels, "quality", usable, max_rows).select(stats("text"), "label").collect()
-    rows = sorted((tuple(r[0]), r[1]) for r in rows)  # the same trees whatever order tasks end in
-    x = np.array([r[0] for r in rows]).reshape(-1, len(STATISTICS))
-    return boosting.fit(x, np.array([r[1] for r in rows], dtype=float), **tree)
+    docs = docs.select("doc_id", "text")
+    few = lab.count() <= max_rows
+    if few:  # at most max_rows rows of 16 bytes: broadcast
+        found = docs.join(F.broadcast(lab), "doc_id").select(stats("text").alias("x"), "label")
+    else:    # statistics travel to their labels, texts do not
+        found = docs.filter(usable & F.col("doc_id").isNotNull()).select("doc_id", stats("text").alias("x")).join(lab, "doc_id").select("x", "label")
+    if few and found.count() <= max_rows:
+        rows = sorted((tuple(r[0]), r[1]) for r in found.collect())  # the same trees whatever order tasks end in
+        x = np.array([r[0] for r in rows]).reshape(-1, len(STATISTICS))
+        return boosting.fit(x, np.array([r[1] for r in rows], dtype=float), **tree)
+    found = written(found, "quality-statistics")
+    rows = found.select("x", F.col("label").cast("double").alias("y"), F.lit(1.0).alias("w"), F.lit(-1).alias("fold"))
+    return boosting.fit_frame(rows, **tree)[0][0]
 
 
 def score(df: DataFrame, trees: boosting.Trees, text_col: str = "text") -> DataFrame:

@@ -7,9 +7,9 @@ what is added.  Everything stays in the row: matches and the pieces between
 them give code-point positions, the trees are literal arrays that an
 `aggregate` walks, so there is no shuffle and no Python code on executors.
 
-The trees are fitted on the driver from the candidates of about `max_docs`
-documents (chosen by a hash of the text; a documented bound) with the base
-checks as labels; secrets are labelled by a rule of length and alphabet.
+The trees are fitted from the candidates of all documents (on the driver up to
+`max_candidates` of them, else by sums over the executors) with the base checks
+as labels; secrets are labelled by a rule of length and alphabet.
 
 Defined results: a null text is an empty text without spans; repeated rows give
 equal spans; new columns replace clashing old ones.
@@ -24,9 +24,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from linewise.llm import boosting
-from linewise.llm.common import drop_new, read
+from linewise.llm.common import drop_new, read, written
 
-MAX_DOCS, MAX_CANDIDATES, FOLDS, PRECISION = 20_000, 20_000, 5, 0.99
+MAX_CANDIDATES, FOLDS, PRECISION = 20_000, 5, 0.99  # candidates up to which the trees are fitted on the driver
 KINDS = ("email", "ip", "card", "phone")
 ADDED = ("email", "number", "secret")
 SPAN = "array<struct<start:int,end:int>>"
@@ -157,17 +157,17 @@ class Model:
         return F.aggregate(lit, F.lit(t.base), lambda acc, tree: acc + F.get(tree["value"], leaf(tree)))
 
 
-def fit(df: DataFrame, text_col: str = "text", max_docs: int = MAX_DOCS, trees: int = 16, depth: int = 3) -> Model:
-    n = df.count()
-    share = 1 << 20
-    if n > max_docs:
-        df = df.filter(F.pmod(F.xxhash64(F.col(f"`{text_col}`")), F.lit(share)) < int(share * max_docs / n))
+def fit(df: DataFrame, text_col: str = "text", max_candidates: int = MAX_CANDIDATES, trees: int = 16, depth: int = 3) -> Model:
     both = with_base(df.select(F.col(f"`{text_col}`").alias("text")), "text").filter(F.size("__new") > 0)
     spans = F.concat(*[F.col(f"__{k}") for k in KINDS])
     rows = both.select(F.transform("__new", lambda c: F.struct(
         c["f"].alias("f"), F.when(c["kind"] == "secret", c["long"]).otherwise(F.exists(spans, lambda b: _meets(b, c))).alias("y"))
     ).alias("c")).select(F.explode("c").alias("c")).select("c.f", "c.y")
-    got = rows.orderBy(F.xxhash64("f"), "f", "y").limit(MAX_CANDIDATES).collect()
+    # candidates that look alike are one row with their number
+    rows = written(rows.groupBy("f", "y").agg(F.count("*").alias("n")), "pii-candidates")
+    if (rows.agg(F.sum("n")).first()[0] or 0) > max_candidates:
+        return _fit_large(rows, trees, depth)
+    got = [r for r in rows.orderBy(F.xxhash64("f"), "f", "y").collect() for _ in range(r["n"])]
     x = np.array([r["f"] for r in got]).reshape(-1, 13)
     y = np.array([r["y"] for r in got], dtype=float)
     model = boosting.fit(x, y, trees=trees, depth=depth, rate=0.4)
@@ -181,7 +181,23 @@ def fit(df: DataFrame, text_col: str = "text", max_docs: int = MAX_DOCS, trees:
     right = np.cumsum(y[order]) / np.arange(1, len(y) + 1)
     good = np.flatnonzero((right >= PRECISION) & (p[order] > 0.5))
     q = float(p[order][good[-1]]) if len(good) else 2.0
-    return Model(model, float(np.log(q / (1 - q))) if q < 1 else float("inf") if q > 1 else 30.0, depth)
+    return _model(model, q, depth)
+
+
+def _model(trees: boosting.Trees, q: float, depth: int) -> Model:
+    """Candidates of probability q or more are added; q above 1: none."""
+    return Model(trees, float(np.log(q / (1 - q))) if q < 1 else float("inf") if q > 1 else 30.0, depth)
+
+
+def _fit_large(rows: DataFrame, trees: int, depth: int) -> Model:
+    """The same from (f, y, n) of any number; candidates that look alike share a fold."""
+    at = rows.select(F.col("f").alias("x"), F.col("y").cast("double").alias("y"), F.col("n").cast("double").alias("w"),
+                     F.pmod(F.xxhash64("f"), F.lit(FOLDS)).cast("int").alias("fold"))
+    models, (n, right) = boosting.fit_frame(at, trees=trees, depth=depth, rate=0.4, folds=FOLDS)
+    n, right = n[::-1], right[::-1]  # from the likeliest step down; lower[i]: the least probability of a step
+    lower = np.arange(len(n))[::-1] / len(n)
+    good = np.flatnonzero((np.cumsum(right) >= PRECISION * np.cumsum(n)) & (n > 0) & (lower >= 0.5))
+    return _model(models[0], float(lower[good[-1]]) if len(good) else 2.0, depth)
 
 
 def find(df: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
