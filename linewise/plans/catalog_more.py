@@ -300,7 +300,7 @@ def q_stream_watch_scan(spark, sf):
     schema = before.withColumn("seen", F.lit(1)).schema
     S.stage(before.withColumn("seen", F.lit(1)), src, 2)
     S.watch_scan(spark, src, schema, sink, ckpt)
-    now.withColumn("seen", F.lit(2)).repartition(2).write.mode("append").parquet(src)
+    S.append_slices(now.withColumn("seen", F.lit(2)), src, 2)
     S.watch_scan(spark, src, schema, sink, ckpt)
     issues = F.expr("cast(size(filter(issues, i -> not i.silenced)) as long)").alias("issues")
     return S.watched(spark, sink).select("project", "path", "language", *M.METRIC_COLUMNS, issues)

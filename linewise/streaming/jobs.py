@@ -27,14 +27,48 @@ def fresh(spark: SparkSession, name: str) -> str:
     return shared_path(spark, f"linewise-stream/{name}-{uuid.uuid4().hex[:12]}")
 
 
+FILE_BYTES = 32 << 20  # bytes of a frame's input that one staged file takes, about
+_BATCH = "_files_per_batch-"
+
+
+def _spread(df: DataFrame, parts: int) -> int:
+    """How many files one of `parts` slices of a frame takes: more as its input grows."""
+    spark = df.sparkSession
+    conf, path_of = spark._jsc.hadoopConfiguration(), spark._jvm.org.apache.hadoop.fs.Path
+    size = 0
+    for name in df.inputFiles():
+        p = path_of(name)
+        size += p.getFileSystem(conf).getFileStatus(p).getLen()
+    return max(1, -(-size // (parts * FILE_BYTES)))
+
+
+def _names(spark: SparkSession, path: str) -> list[str]:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    return [s.getPath().getName() for s in fs.listStatus(p)] if fs.exists(p) else []
+
+
+def _write_slice(df: DataFrame, path: str, files: int, mode: str) -> None:
+    """df as exactly `files` files (empty ones fill up), written by as many tasks."""
+    spark = df.sparkSession
+    count = lambda: sum(not n.startswith(("_", ".")) for n in _names(spark, path))
+    before = 0 if mode == "overwrite" else count()
+    (df.coalesce(1) if files == 1 else df.repartition(files)).write.option("maxRecordsPerFile", 0).mode(mode).parquet(path)
+    for _ in range(files - (count() - before)):
+        df.limit(0).coalesce(1).write.mode("append").parquet(path)
+
+
 def stage(df: DataFrame, path: str, parts: int = 4, order_by: str | None = None, tick: dict | None = None) -> str:
-    """Write a frame as `parts` parquet files: the stream then sees several
-    micro-batches when read with maxFilesPerTrigger=1 (in event-time order
-    when order_by names the time column; rows without a time come first).
+    """Write a frame as `parts` slices of parquet files: the stream then sees several
+    micro-batches when read with file_stream, one for each slice (in event-time order
+    when order_by names the time column; rows without a time come first).  A slice
+    is one file, or as many as its size needs; a mark in the folder says how many.
     tick: values of one last row, a clock tick three days after all others, which
     moves the watermark past them (columns that it does not name are null)."""
+    spark, files = df.sparkSession, _spread(df, parts)
     if not order_by:
-        df.repartition(parts).write.mode("overwrite").parquet(path)
+        df.repartition(parts * files).write.mode("overwrite").parquet(path)
+        _mark(spark, path, files)
         return path
     # The file source orders files by modification time: write the time
     # slices one after the other, split at approximate quantiles (a few
@@ -49,16 +83,31 @@ def stage(df: DataFrame, path: str, parts: int = 4, order_by: str | None = None,
             cond = cond & (secs >= F.lit(int(lo)))
         if hi is not None:
             cond = cond & (secs < F.lit(int(hi)))
-        df.filter(F.coalesce(cond, F.lit(i == 0))).coalesce(1).write.mode("overwrite" if i == 0 else "append").parquet(path)
+        _write_slice(df.filter(F.coalesce(cond, F.lit(i == 0))), path, files, "overwrite" if i == 0 else "append")
     if tick is not None:
         last = df.agg(F.max(order_by).alias("_t")).filter("_t is not null")
         at = F.timestamp_add("DAY", F.lit(3), F.col("_t"))
         row = [(at if c == order_by else F.lit(tick.get(c))).cast(df.schema[c].dataType).alias(c) for c in df.columns]
         last.select(*row).write.mode("append").parquet(path)
+    _mark(spark, path, files)
     return path
 
 
-def file_stream(spark: SparkSession, path: str, schema, files_per_trigger: int = 1) -> DataFrame:
+def append_slices(df: DataFrame, path: str, parts: int) -> None:
+    """Later rows of a staged stream, in batches no larger than its first ones."""
+    df.repartition(parts * _spread(df, parts)).write.mode("append").parquet(path)
+
+
+def _mark(spark: SparkSession, path: str, files: int) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{_BATCH}{files}")
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(p)
+
+
+def file_stream(spark: SparkSession, path: str, schema, files_per_trigger: int | None = None) -> DataFrame:
+    """Batches of files_per_trigger files; by default of a staged slice, else of one file."""
+    if files_per_trigger is None:
+        marked = [int(n[len(_BATCH):]) for n in _names(spark, path) if n.startswith(_BATCH)]
+        files_per_trigger = max(marked, default=1)
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
 
 

@@ -118,3 +118,36 @@ def test_stages_keep_rows_without_a_time(spark):
     df = spark.createDataFrame([(None if i % 4 == 0 else T0 + timedelta(seconds=i), i) for i in range(40)], "ts timestamp, i int")
     got = spark.read.parquet(S.stage(df, S.fresh(spark, "t-null"), 3, order_by="ts", tick={"i": -1}))
     assert sorted(r.i for r in got.collect()) == [-1, *range(40)]
+
+
+def test_staged_slices_grow_in_files_not_in_file_size(spark, monkeypatch, tmp_path):
+    """A slice of a larger frame is several files, which one batch takes together."""
+    import os
+
+    from linewise.streaming import jobs as S
+    monkeypatch.setattr(S, "FILE_BYTES", 1000)
+    src = str(tmp_path / "in")
+    spark.range(4000).selectExpr("id as i", "timestamp_seconds(id) as ts").repartition(3).write.parquet(src)
+    df = spark.read.parquet(src)
+    path = S.stage(df, S.fresh(spark, "t-wide"), 2, order_by="ts", tick={"i": -1})
+    files = [f for f in os.listdir(path) if f.endswith(".parquet")]
+    each = S._spread(df, 2)
+    assert each > 3 and len(files) == 2 * each + 1
+    seen = []
+    q = (S.file_stream(spark, path, df.schema).writeStream.foreachBatch(lambda b, _: seen.append(b.selectExpr("count(*)", "min(i)", "max(i)").first()))
+         .option("checkpointLocation", S.fresh(spark, "t-ck")).trigger(availableNow=True).start())
+    S._finish(q)
+    assert len(seen) == 3 and sum(n for n, _, _ in seen) == 4001
+    assert seen[0][2] < seen[1][1] and tuple(seen[2]) == (1, -1, -1)
+
+
+def test_a_slice_with_few_rows_still_has_its_files(spark, monkeypatch, tmp_path):
+    import os
+
+    from linewise.streaming import jobs as S
+    path = S.fresh(spark, "t-few")
+    d = spark.createDataFrame([(1,), (2,)], "i int")
+    S._write_slice(d, path, 5, "overwrite")
+    S._write_slice(d, path, 5, "append")
+    assert len([f for f in os.listdir(path) if f.endswith(".parquet")]) == 10
+    assert spark.read.parquet(path).count() == 4
