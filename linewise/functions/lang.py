@@ -104,7 +104,7 @@ def function_count_raw(content: Column, language: Column) -> Column:
 
 def brace_depth_max(content: Column) -> Column:
     """Max depth of '{' / '}' with the counter floored at zero."""
-    chars = F.split(F.regexp_replace(content, r"[^{}]", ""), "")
+    chars = F.split(F.regexp_replace(content, r"[^{}]+", ""), "")
     acc0 = F.struct(F.lit(0).alias("d"), F.lit(0).alias("m"))
 
     def step(acc, ch):

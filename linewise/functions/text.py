@@ -147,9 +147,12 @@ def _quote(kw: str) -> str:
 
 def keyword_regex(keywords: list[str]) -> str:
     """Whole-word alternation; an edge that is not a word character needs no
-    boundary of its own (e.g. '->' is bounded by the look-arounds directly)."""
+    boundary of its own (e.g. '->' is bounded by the look-arounds directly).
+    The class of first characters comes first: at most places it settles the
+    test, before the look-behind and the alternatives are tried."""
     alts = "|".join(_quote(k) for k in keywords)
-    return f"(?<![{WORD}])(?:{alts})(?![{WORD}])"
+    first = "".join(sorted({_quote(k[0]) for k in keywords}))
+    return f"(?=[{first}])(?<![{WORD}])(?:{alts})(?![{WORD}])"
 
 
 def keyword_regex_re2(keywords: list[str]) -> str:
@@ -195,8 +198,10 @@ def is_blank(col: Column) -> Column:
 
 
 def normalize_line(col: Column) -> Column:
-    """Collapse space/tab/CR runs to one space; trim both ends."""
-    return F.regexp_replace(F.regexp_replace(col, r"[ \t\r]+", " "), r"^ | \z", "")
+    """Collapse space/tab/CR runs to one space; trim both ends.
+    Only a line with a tab, a CR or two spaces in a row needs the pattern."""
+    runs = F.contains(col, F.lit("  ")) | F.contains(col, F.lit("\t")) | F.contains(col, F.lit("\r"))
+    return F.trim(F.when(runs, F.regexp_replace(col, r"[ \t\r]+", " ")).otherwise(col))
 
 
 def snippet(col: Column, n: int = 160) -> Column:
@@ -215,6 +220,16 @@ def has_copyright(col: Column) -> Column:
     return F.contains(up, F.lit("COPYRIGHT")) | F.contains(up, F.lit("@LICENSE"))
 
 
+def header_of(content: Column, lines: Column) -> tuple[Column, Column]:
+    """(first SPDX identifier, whether there is a copyright) of a file's leading lines.
+    A text that holds a mark nowhere, in any case, has it in none of its lines."""
+    up = F.upper(strip_cr(content))
+    named = F.contains(up, F.lit("SPDX-LICENSE-IDENTIFIER:"))
+    marked = F.contains(up, F.lit("COPYRIGHT")) | F.contains(up, F.lit("@LICENSE"))
+    spdx = F.when(named, F.get(F.filter(F.transform(lines, spdx_of_line), lambda s: s != ""), 0))
+    return spdx, F.when(~marked, False).otherwise(F.exists(lines, has_copyright))
+
+
 def issue_key(project: Column, rule_id: Column, path: Column, line: Column) -> Column:
     """Identity of an issue: projects share one table, so the project is part of it."""
     return F.concat_ws(":", project, rule_id, path, line.cast("string"))

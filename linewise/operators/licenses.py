@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from linewise import fixed
-from linewise.functions.text import has_copyright, spdx_of_line
+from linewise.functions.text import header_of
 from linewise.operators.lines import lines_array
 
 
@@ -14,8 +14,7 @@ def file_licenses(files: DataFrame) -> DataFrame:
     """files -> licenses(project, path, spdx, has_copyright, has_header).
     A projection over the first LICENSE_SCAN_LINES lines of each file."""
     head = F.slice(lines_array(F.col("content")), 1, fixed.LICENSE_SCAN_LINES)
-    spdx = F.get(F.filter(F.transform(head, spdx_of_line), lambda s: s != ""), 0)
-    cr = F.exists(head, has_copyright)
+    spdx, cr = header_of(F.col("content"), head)
     df = files.select("project", "path", spdx.alias("spdx"), cr.alias("has_copyright"))
     return df.withColumn("has_header", F.col("spdx").isNotNull() | F.col("has_copyright"))
 

@@ -27,10 +27,11 @@ LINE_COLUMNS = ["project", "path", "language", "n", "text"]
 
 
 def lines_array(content: Column) -> Column:
-    """Split on LF, drop the final piece when empty, strip CR."""
-    parts = F.split(content, "\n", -1)
-    kept = F.when(F.element_at(parts, -1) == "", F.slice(parts, F.lit(1), F.size(parts) - 1)).otherwise(parts)
-    return F.transform(kept, lambda x: F.replace(x, F.lit("\r"), F.lit("")))
+    """Split on LF, drop the final piece when empty, strip CR.
+    CRs go from the whole text at once; a final piece that held only CRs stays."""
+    parts = F.split(strip_cr(content), "\n", -1)
+    dropped = F.when((content == "") | F.endswith(content, F.lit("\n")), 1).otherwise(0)
+    return F.slice(parts, F.lit(1), F.size(parts) - dropped)
 
 
 def phantom_line(content: Column) -> Column:
@@ -80,12 +81,13 @@ def line_class(lines: DataFrame, cfg: ScanConfig = ScanConfig()) -> DataFrame:
 SLICE = 256  # lines that one inner fold takes
 
 
-def line_kinds(lines: Column, language: Column) -> Column:
+def line_kinds(lines: Column, language: Column, style: Column) -> Column:
     """array<string> of 'b' (blank), 'm' (comment) or 'c' (code) for a line array.
+    `style` is a column of the file row, so it is found once a file and not once a line.
 
     The block state is carried by a fold over slices of the array, so what the
     fold gathers is copied in proportion to the file."""
-    style, close = comment_style(language), block_close_token(language)
+    close = block_close_token(language)
 
     def feat(x):
         tr = ltrim_ws(x)
@@ -114,8 +116,8 @@ def line_kinds(lines: Column, language: Column) -> Column:
 
 def file_line_class(files: DataFrame, cfg: ScanConfig = ScanConfig()) -> DataFrame:
     """files -> line_class(project, path, language, n, kind, is_long), in the file's row: no exchange."""
-    df = files.select("project", "path", "language", lines_array(F.col("content")).alias("_lines"))
-    df = df.withColumn("_kinds", line_kinds(F.col("_lines"), F.col("language")))
+    df = files.select("project", "path", "language", lines_array(F.col("content")).alias("_lines"), comment_style(F.col("language")).alias("_style"))
+    df = df.withColumn("_kinds", line_kinds(F.col("_lines"), F.col("language"), F.col("_style")))
     df = df.select("project", "path", "language", F.posexplode(F.arrays_zip("_lines", "_kinds")).alias("_pos", "_line"))
     kind = F.when(F.col("_line._kinds") == "b", "blank").when(F.col("_line._kinds") == "m", "comment").otherwise("code")
     return df.select("project", "path", "language", (F.col("_pos") + 1).alias("n"), kind.alias("kind"), is_long_line(F.col("_line._lines"), cfg).alias("is_long"))
@@ -125,10 +127,10 @@ def _acc(b, code, cmt, blank, lng) -> Column:
     return F.struct(b.alias("b"), code.alias("code"), cmt.alias("cmt"), blank.alias("blank"), lng.alias("lng"))
 
 
-def breakdown_fold(lines: Column, language: Column, long_line_columns: int) -> Column:
+def breakdown_fold(lines: Column, language: Column, style: Column, long_line_columns: int) -> Column:
     """struct(code, cmt, blank, lng) of a line array, block state carried by a
-    left fold (O(lines), bounded by the file size)."""
-    style = comment_style(language)
+    left fold (O(lines), bounded by the file size).  `style` is a column of the
+    file row: the comment style is found once a file and not once a line."""
     close = block_close_token(language)
 
     def feat(x):
@@ -157,8 +159,8 @@ def file_line_breakdown(files: DataFrame, cfg: ScanConfig = ScanConfig()) -> Dat
     """files -> (project, path, language, total_lines, code_lines,
     comment_lines, blank_lines, long_lines).  Pure projection: no shuffle."""
     arr = lines_array(F.col("content"))
-    df = files.select("project", "path", "language", "content", arr.alias("_lines"))
-    df = df.withColumn("_bd", breakdown_fold(F.col("_lines"), F.col("language"), cfg.long_line_columns))
+    df = files.select("project", "path", "language", "content", arr.alias("_lines"), comment_style(F.col("language")).alias("_style"))
+    df = df.withColumn("_bd", breakdown_fold(F.col("_lines"), F.col("language"), F.col("_style"), cfg.long_line_columns))
     ph = phantom_line(F.col("content"))
     return df.select(
         "project", "path", "language",

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from linewise.config import ScanConfig
-from linewise.functions.lang import decision_points, function_count_raw, max_nesting
+from linewise.functions.lang import comment_style, decision_points, function_count_raw, max_nesting
 from linewise.operators.deps import dependencies_of
 from linewise.operators.lines import breakdown_fold, lines_array, phantom_line
 
@@ -26,8 +26,8 @@ def file_metrics(files: DataFrame, cfg: ScanConfig = ScanConfig(), with_deps: bo
     content = F.col("content")
     lang = F.col("language")
     df = files.select("project", "path", "language", "mtime", "content",
-                      lines_array(content).alias("_lines"))
-    df = df.withColumn("_bd", breakdown_fold(F.col("_lines"), lang, cfg.long_line_columns))
+                      lines_array(content).alias("_lines"), comment_style(lang).alias("_style"))
+    df = df.withColumn("_bd", breakdown_fold(F.col("_lines"), lang, F.col("_style"), cfg.long_line_columns))
     ph = phantom_line(content)
     fn_raw = function_count_raw(content, lang)
     code = F.col("_bd.code")

@@ -81,22 +81,78 @@ PREFILTER: dict[str, list[str]] = {
 }
 
 
+# What else every match of a pattern holds: one literal of each list.
+ALSO: dict[str, list[list[str]]] = {
+    "SEC-HARDCODED-SECRET": [['"', "'"]],
+    "SEC-EVAL": [["("]],
+    "SEC-SQL-CONCAT": [["+"], ['"', "'"]],
+    "SEC-SYSTEM-CALL": [["("]],
+    "ROB-EMPTY-CATCH": [["("], ["}"]],
+    "EFF-SELECT-STAR": [["*"]],
+    "CHG-MAGIC-PATH": [['"/', "'/", ":\\\\"]],
+    "SEC-BEARER-TOKEN": [["."]],
+    "PORT-WIN-API": [[".h>"]],
+    "PORT-WIN-SLEEP": [["("]],
+    "PORT-POSIX-FORK": [["("]],
+    "PORT-POSIX-ONLY": [[".h>"]],
+    "PORT-PATH-SEP": [['"']],
+    "SEC-PATH-TRAVERSAL": [["../", "..\\"]],
+    "SEC-PRINTF-FORMAT": [["("]],
+    "ROB-NULL-DEREF": [["("], [")"]],
+    "EFF-LOOP-INVARIANT": [["("], [";"]],
+}
+
+# Rules that share a condition of their matches: where a line does not meet it, none of them is tried.
+GATES: list[tuple[str, list[str]]] = [
+    (r"\(", ["SEC-EVAL", "SEC-SYSTEM-CALL", "ROB-EMPTY-CATCH", "PORT-WIN-SLEEP", "PORT-POSIX-FORK", "SEC-PRINTF-FORMAT",
+             "ROB-NULL-DEREF", "EFF-LOOP-INVARIANT"]),
+    (r"[\"']", ["SEC-HARDCODED-SECRET", "SEC-SQL-CONCAT", "CHG-MAGIC-PATH", "PORT-PATH-SEP"]),
+    (r"[A-Z]{4}", ["SEC-PRIVATE-KEY", "SEC-AWS-KEY", "PORT-WIN-TYPES", "PORT-MAX-PATH"]),
+    (r"#include", ["PORT-WIN-API", "PORT-POSIX-ONLY"]),
+]
+
 _SHIPPED = {r.id: r.pattern for r in CATALOGUE}
 
 
-def prefilter(r: Rule, text: Column, cfg: ScanConfig) -> Column:
-    """The literals belong to the shipped pattern: a user's rule that reuses
-    an id with another pattern has none."""
-    lits = PREFILTER.get(r.id) if _SHIPPED.get(r.id) == r.pattern else None
-    if not lits or cfg.case_insensitive_rules:
-        return F.lit(True)
+def _any_literal(text: Column, literals: list[str]) -> Column:
     out = None
-    for lit in lits:
+    for lit in literals:
         c = F.contains(text, F.lit(lit))
         out = c if out is None else (out | c)
     return out
 
 
+def _plain(r: Rule, cfg: ScanConfig) -> bool:
+    """The literals belong to the shipped pattern: a user's rule that reuses
+    an id with another pattern has none."""
+    return _SHIPPED.get(r.id) == r.pattern and not cfg.case_insensitive_rules
+
+
+def prefilter(r: Rule, text: Column, cfg: ScanConfig) -> Column:
+    lits = PREFILTER.get(r.id) if _plain(r, cfg) else None
+    if not lits:
+        return F.lit(True)
+    out = _any_literal(text, lits)
+    for more in reversed(ALSO.get(r.id, [])):
+        out = _any_literal(text, more) & out
+    return out
+
+
+def line_hits(rs: list[Rule], text: Column, cfg: ScanConfig) -> Column:
+    """array<struct> of the rules that a line of an array hits, gate by gate.
+    The order of the rules is that of the gates; who needs another one sorts."""
+    left, parts = list(rs), []
+    for pattern, ids in GATES:
+        gated = [r for r in left if r.id in ids and _plain(r, cfg)]
+        left = [r for r in left if r not in gated]
+        if gated:
+            hits = F.array_compact(F.array(*[_hit(r, text, cfg) for r in gated]))
+            parts.append(F.when(text.rlike(pattern), hits))
+    if left:
+        parts.append(F.array_compact(F.array(*[_hit(r, text, cfg) for r in left])))
+    return F.flatten(F.array_compact(F.array(*parts)))
+
+
 def select_rules(cfg: ScanConfig = ScanConfig(), rules: list[Rule] | None = None) -> list[Rule]:
     """Enabled rules (disabled ones are defined but not applied), optionally
     restricted to cfg.rule_ids; patterns that java.util.regex rejects are
@@ -154,7 +210,7 @@ def _hit(r: Rule, text: Column, cfg: ScanConfig) -> Column:
     info = F.struct(F.lit(r.ord).alias("rule_ord"), F.lit(r.id).alias("rule_id"), F.lit(r.title).alias("title"),
                     F.lit(r.cwe).alias("cwe"), F.lit(r.severity).alias("severity"), F.lit(r.factor).alias("factor"),
                     F.lit(r.minutes).alias("remediation_minutes"))
-    return F.when(~suppressed & matched, info)
+    return F.when(matched & ~suppressed, info)
 
 
 ISSUE_COLUMNS = ["project", "path", "line", "rule_ord", "rule_id", "title", "cwe", "severity", "factor",

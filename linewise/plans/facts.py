@@ -17,13 +17,13 @@ from pyspark.sql import functions as F
 
 from linewise import fixed
 from linewise.config import ScanConfig
-from linewise.functions.lang import decision_points, function_count_raw, max_nesting
-from linewise.functions.text import has_copyright, snippet, spdx_of_line
+from linewise.functions.lang import comment_style, decision_points, function_count_raw, max_nesting
+from linewise.functions.text import header_of, snippet
 from linewise.operators.deps import dependencies_of
 from linewise.operators.duplicates import block_array, normalized_lines
 from linewise.operators.guards import directives, silenced_issues
 from linewise.operators.lines import breakdown_fold, lines_array, phantom_line
-from linewise.operators.rules import _hit, select_rules
+from linewise.operators.rules import line_hits, select_rules
 from linewise.session import shared_path
 
 ISSUE_TYPE = ("array<struct<line:int,rule_ord:int,rule_id:string,title:string,cwe:string,severity:string,"
@@ -34,7 +34,7 @@ def _line_issues(lines, cfg: ScanConfig):
     rs = select_rules(cfg)
 
     def per_line(x, i):
-        hits = F.array_compact(F.array(*[_hit(r, x, cfg) for r in rs]))
+        hits = line_hits(rs, x, cfg)
         rows = F.transform(hits, lambda h: F.struct((i + 1).alias("line"), h["rule_ord"].alias("rule_ord"),
                                                     h["rule_id"].alias("rule_id"), h["title"].alias("title"),
                                                     h["cwe"].alias("cwe"), h["severity"].alias("severity"),
@@ -50,15 +50,15 @@ def _line_issues(lines, cfg: ScanConfig):
 
 def file_facts(files: DataFrame, cfg: ScanConfig = ScanConfig()) -> DataFrame:
     content, lang = F.col("content"), F.col("language")
-    base = files.select("project", "path", "language", "mtime", "content", lines_array(content).alias("_lines"))
+    base = files.select("project", "path", "language", "mtime", "content", lines_array(content).alias("_lines"),
+                        comment_style(lang).alias("_style"))
     base = base.select("*", normalized_lines(F.col("_lines")).alias("_norm"),
-                       breakdown_fold(F.col("_lines"), lang, cfg.long_line_columns).alias("_bd"))
+                       breakdown_fold(F.col("_lines"), lang, F.col("_style"), cfg.long_line_columns).alias("_bd"))
     head = F.slice(F.col("_lines"), 1, fixed.LICENSE_SCAN_LINES)
     ph = phantom_line(content)
     fn_raw = function_count_raw(content, lang)
     code = F.col("_bd.code")
-    spdx = F.get(F.filter(F.transform(head, spdx_of_line), lambda s: s != ""), 0)
-    cr = F.exists(head, has_copyright)
+    spdx, cr = header_of(content, head)
     facts = base.select(
         "project", "path", "language", "mtime", F.xxhash64("content").alias("content_hash"),
         (F.size("_lines").cast("long") + ph).alias("total_lines"),
