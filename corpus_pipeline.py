@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from linewise.llm import op1_decontaminate, op4_jaccard, op6_quality, op7_bpe, op9_pii
-from linewise.llm.common import crc_mod, fresh, read, written
+from linewise.llm.common import crc_mod, fresh, marked, read, written
 
 SHINGLE_WORDS, SHINGLE_SHARE = 5, 80  # near copies: shingle length; least Jaccard in hundredths
 
@@ -35,13 +35,18 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     found = written(op4_jaccard.components(docs, SHINGLE_WORDS, SHINGLE_SHARE), "pipeline-components")
-    kept = found.filter("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("__rows"))
-    out = docs.join(kept, "doc_id").select(*docs.columns, "__rows")
-    again = not kept.filter("__rows > 1").isEmpty()
+    # ids that are not simply one row which stays; the texts of all others need not travel
+    each = found.filter("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("__all"), F.count_if(F.expr("doc_id = component_id")).alias("__rows"))
+    touched = written(each.filter("__all > 1 or __rows = 0").drop("__all"), "pipeline-touched")
+    mark, = fresh(docs, "__touched")
+    split = marked(docs.filter("doc_id is not null"), "doc_id", touched.select("doc_id"), mark)
+    out = split.filter(~F.col(mark)).select(*docs.columns)
+    joined = split.filter(mark).join(touched, "doc_id", "left").select(*docs.columns, F.coalesce("__rows", F.lit(1)).alias("__rows"))
+    out = out.unionByName(joined.filter("__rows = 1").drop("__rows"))
+    again = not touched.filter("__rows > 1").isEmpty()
     nameless = not found.filter("doc_id is null").isEmpty()
     if again:
-        out = out.filter("__rows = 1").unionByName(out.filter("__rows > 1").dropDuplicates(["doc_id"]))
-    out = out.drop("__rows")
+        out = out.unionByName(joined.filter("__rows > 1").dropDuplicates(["doc_id"]).drop("__rows"))
     return out.unionByName(docs.filter("doc_id is null").dropDuplicates(["text"])) if nameless else out
 
 

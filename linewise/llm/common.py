@@ -36,6 +36,24 @@ def written(df: DataFrame, name: str, *by: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+FILTER = 1 << 26  # hashed bits of `marked`: 8 MB at every size of the input
+
+
+def marked(df: DataFrame, key: str, ids: DataFrame, mark: str) -> DataFrame:
+    """df with the boolean column `mark`: true wherever the id in df's column
+    `key` is in ids (a single column), else nearly always false.  A bitmap of
+    hashed ids is broadcast, so wide rows that a join would not need stay where
+    they are; only the share of rows marked in vain grows with the number of ids."""
+    at, bits = fresh(df, "__bucket", "__bits")
+    place = lambda c: F.pmod(F.xxhash64(F.col(c).cast("long")), F.lit(FILTER)) + 1
+    held = ids.select(place(ids.columns[0]).alias("p")).groupBy(F.bitmap_bucket_number("p").alias(at)).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias(bits))
+    out = df.withColumn(at, F.bitmap_bucket_number(place(key))).join(F.broadcast(held), at, "left")
+    bit = F.bitmap_bit_position(place(key))
+    byte = F.conv(F.hex(F.substring(F.col(bits), (F.floor(bit / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    return out.select(*[F.col(f"`{c}`") for c in df.columns], F.coalesce(F.getbit(byte, (bit % 8).cast("int")) == 1, F.lit(False)).alias(mark))
+
+
 def crc_mod(doc_id: Column, m: int) -> Column:
     """crc32 of the id as text, modulo m (a null id counts as empty text)."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % m

@@ -11,8 +11,10 @@ How Spark spreads the work, without losing a link:
 2. The tree's top level is a split by rare shingle: sets that link share one of
    their first n - ceil(0.85 n) + 1 shingles in any fixed order.  The order
    puts the commonest shingles (a bounded list) last, so buckets stay small.
-   In each bucket an R-tree over the count vectors finds the pairs whose bound
-   passes; a task sends on only a spanning forest of its pairs.
+   A set whose next smaller and next larger ones in the bucket are too far off
+   in size links with none there and leaves it before vectors travel.  In each
+   bucket an R-tree over the count vectors finds the pairs whose bound passes;
+   a task sends on only a spanning forest of its pairs.
 3. Components of that candidate graph hold every link.  Each document's text
    goes once to its candidate component, where the R-tree join is repeated and
    every surviving pair is verified exactly, unless both are known connected.
@@ -36,10 +38,10 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from linewise.llm.common import mix64, read, words_of, written
+from linewise.llm.common import marked, mix64, read, words_of, written
 from linewise.llm.components import connected
 
 WORDS, SHARE = 4, 85          # shingle length; link where 100 * both >= SHARE * either
@@ -224,13 +226,22 @@ def sets_of(docs: DataFrame, k: int, share: int, common: np.ndarray) -> DataFram
     return docs.select("doc_id", run("text").alias("s")).select("doc_id", "s.*")
 
 
+def size_meets(n: Column, by_size: WindowSpec, share: int) -> Column:
+    """Whether the next smaller or the next larger set of a bucket could link
+    with this one by size; if neither could, none in the bucket could."""
+    smaller, larger = F.lag(n).over(by_size), F.lead(n).over(by_size)
+    return F.coalesce(100 * smaller >= share * n, F.lit(False)) | F.coalesce(100 * n >= share * larger, F.lit(False))
+
+
 def candidate_edges(reps: DataFrame, share: int) -> DataFrame:
     """(a, b): a graph whose components hold every link of reps(rep, n, keys, v)."""
-    entries = written(reps.select(F.explode("keys").alias("key"), "rep"), "op4-entries")
-    keys = entries.groupBy("key").agg(F.count("*").alias("many"), F.min("rep").alias("b")).filter("many > 1")
-    hits = written(entries.join(keys, "key"), "op4-hits")
+    by_size = Window.partitionBy("key").orderBy("n")
+    bucket = by_size.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    entries = reps.select(F.explode("keys").alias("key"), "rep", "n").select(
+        "key", "rep", F.count("*").over(bucket).alias("many"), F.min("rep").over(bucket).alias("b"), size_meets(F.col("n"), by_size, share).alias("meets"))
+    hits = written(entries.filter("many > 1"), "op4-hits")
     hot = hits.filter(F.col("many") > HOT).select(F.col("rep").alias("a"), "b").filter("a != b").distinct()
-    rows = (hits.filter(F.col("many") <= HOT).select("key", "rep").join(reps.select("rep", "n", "v"), "rep")
+    rows = (hits.filter((F.col("many") <= HOT) & F.col("meets")).select("key", "rep").join(reps.select("rep", "n", "v"), "rep")
             .repartition("key").sortWithinPartitions("key", "n", "rep"))
 
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -328,7 +339,10 @@ def verified_edges(docs: DataFrame, reps: DataFrame, candidates: DataFrame, k: i
     docs(doc_id, text), reps(rep, doc_id) and candidates(node, root)."""
     sizes = candidates.groupBy("root").agg(F.count("*").alias("many"))
     held = candidates.join(sizes, "root").select(F.col("node").alias("rep"), F.col("root").alias("comp"), "many")
-    rows = written(docs.join(reps.select("rep", "doc_id").join(held, "rep"), "doc_id").drop("doc_id"), "op4-members")
+    wanted = written(reps.select("rep", "doc_id").join(held, "rep"), "op4-wanted")
+    # only texts of members travel
+    texts = marked(docs, "doc_id", wanted.select("doc_id"), "wanted").filter("wanted").drop("wanted")
+    rows = written(texts.join(wanted, "doc_id").drop("doc_id"), "op4-members")
     block = F.when(F.col("many") <= BLOCK, 0).otherwise(F.pmod(F.xxhash64("rep"), F.ceil(F.col("many") / BLOCK))).cast("long")
     dealt = rows.withColumn("block", block)
     # the component's smallest document goes to every block

@@ -1,5 +1,7 @@
 """Operators 2, 4 and 10 and the pipeline against brute force."""
 
+import contextlib
+import io
 import itertools
 import math
 import random
@@ -8,10 +10,12 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 import corpus_pipeline
 from conftest import SF_SMALL
+from linewise.llm import common
 from linewise.llm import op2_lm as o2
 from linewise.llm import op4_jaccard as o4
 from linewise.llm import op10_neardup as o10
@@ -361,3 +365,53 @@ def test_crc_matches(spark):
     from linewise.llm.common import crc_mod
     got = spark.range(300).select("id", crc_mod(F.col("id"), 5).alias("m")).collect()
     assert all(r["m"] == zlib.crc32(str(r["id"]).encode()) % 5 for r in got)
+
+
+def test_marked_holds_every_id(spark):
+    ids = spark.range(0, 30_000, 3).select((F.col("id") * 7919 - 5000).alias("x"))
+    df = spark.range(30_000).select((F.col("id") * 7919 - 5000).alias("doc_id"), F.lit("t").alias("__bits")).unionByName(
+        spark.createDataFrame([(None, "null")], "doc_id long, __bits string"))
+    out = common.marked(df, "doc_id", ids, "hit")
+    assert out.columns == ["doc_id", "__bits", "hit"] and out.filter("hit is null").isEmpty()
+    got = {r["doc_id"]: r["hit"] for r in out.collect()}
+    want = {r["x"] for r in ids.collect()}
+    assert len(got) == 30_001 and all(got[i] for i in want)
+    assert sum(got.values()) < len(want) + 100
+    assert not any(r["hit"] for r in common.marked(df, "doc_id", ids.limit(0), "hit").collect())
+
+
+def test_sets_that_no_size_meets_leave_their_bucket(spark):
+    g = random.Random(5)
+    rows = [(g.randrange(60), i, g.choice((1, 2, 9, 10, 12, 13, 40, 49, 50, 51, 62, 63, 900))) for i in range(200)]
+    df = spark.createDataFrame(rows, "key long, rep long, n long")
+    for share in (80, 85):
+        kept = df.withColumn("meets", o4.size_meets(F.col("n"), Window.partitionBy("key").orderBy("n"), share)).filter("meets")
+        want = {a[1] for a in rows if any(a[0] == b[0] and a[1] != b[1] and 100 * min(a[2], b[2]) >= share * max(a[2], b[2]) for b in rows)}
+        assert {r["rep"] for r in kept.collect()} == want and 0 < len(want) < len(rows)
+
+
+def test_texts_of_documents_without_copies_do_not_travel(spark):
+    """Repeated ids, null ids and copies are joined; the other rows stay in their partitions."""
+    g = random.Random(9)
+    text = lambda: " ".join(g.choice("abcdefghij") + str(g.randrange(500)) for _ in range(60))
+    rows = [(i, text()) for i in range(40)]
+    rows += [(40, rows[3][1]), (41, rows[3][1] + " end"), (7, rows[7][1]), (8, text()), (42, None), (42, None), (None, rows[5][1]), (None, "x y"), (None, "x y")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = corpus_pipeline.near_duplicates(spark, docs, SF_SMALL)
+        with contextlib.redirect_stdout(io.StringIO()) as plan:
+            out.explain()
+        got = Counter((r["doc_id"], r["text"]) for r in out.collect())
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    want = {(i, t): 1 for i, t in rows if i is not None and i not in (8, 40, 41)}
+    # two texts under one id: one row stays
+    assert {k: n for k, n in got.items() if k[0] not in (8, None)} == {k: n for k, n in want.items()}
+    assert sum(n for k, n in got.items() if k[0] == 8) == 1 and sum(n for k, n in got.items() if k[0] is None) == 2
+    lines = plan.getvalue().splitlines()
+    assert "+- Union" in lines  # its first branch holds the rows that stay
+    at = lines.index("+- Union") + 1
+    first = lines[at:next(i for i in range(at + 1, len(lines)) if lines[i].startswith("   :- "))]
+    assert any("Filter" in x and "NOT" in x for x in first) and not any("Exchange hashpartitioning(doc_id" in x for x in first)
