@@ -39,13 +39,17 @@ def written(df: DataFrame, name: str, *by: str) -> DataFrame:
 FILTER = 1 << 26  # hashed bits of `marked`: 8 MB at every size of the input
 
 
-def marked(df: DataFrame, key: str, ids: DataFrame, mark: str) -> DataFrame:
+def marked(df: DataFrame, key: str, ids: DataFrame, mark: str, exact: bool = False) -> DataFrame:
     """df with the boolean column `mark`: true wherever the id in df's column
     `key` is in ids (a single column), else nearly always false.  A bitmap of
     hashed ids is broadcast, so wide rows that a join would not need stay where
-    they are; only the share of rows marked in vain grows with the number of ids."""
+    they are; only the share of rows marked in vain grows with the number of ids.
+
+    exact: ids are row numbers of monotonically_increasing_id, taken as they are,
+    so none is marked in vain; that is one bit for each row (in steps of 4 KB for
+    each partition that numbered them)."""
     at, bits = fresh(df, "__bucket", "__bits")
-    place = lambda c: F.pmod(F.xxhash64(F.col(c).cast("long")), F.lit(FILTER)) + 1
+    place = lambda c: (F.col(c) if exact else F.pmod(F.xxhash64(F.col(c).cast("long")), F.lit(FILTER))) + 1
     held = ids.select(place(ids.columns[0]).alias("p")).groupBy(F.bitmap_bucket_number("p").alias(at)).agg(
         F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias(bits))
     out = df.withColumn(at, F.bitmap_bucket_number(place(key))).join(F.broadcast(held), at, "left")

@@ -12,9 +12,10 @@ How Spark spreads the work, without losing a link:
    their first n - ceil(0.85 n) + 1 shingles in any fixed order.  The order
    puts the commonest shingles (a bounded list) last, so buckets stay small.
    A set whose next smaller and next larger ones in the bucket are too far off
-   in size links with none there and leaves it before vectors travel.  In each
-   bucket an R-tree over the count vectors finds the pairs whose bound passes;
-   a task sends on only a spanning forest of its pairs.
+   in size links with none there and leaves it before vectors travel; buckets
+   that hold the same sets are searched once.  In each bucket an R-tree over the
+   count vectors finds the pairs whose bound passes; a task sends on only a
+   spanning forest of its pairs.
 3. Components of that candidate graph hold every link.  Each document's text
    goes once to its candidate component, where the R-tree join is repeated and
    every surviving pair is verified exactly, unless both are known connected.
@@ -203,8 +204,8 @@ def common_shingles(docs: DataFrame, k: int, limit: int) -> np.ndarray:
 
 
 def sets_of(docs: DataFrame, k: int, share: int, common: np.ndarray) -> DataFrame:
-    """doc_id, n, f1, f2 (fingerprint of the set), keys (the first shingles in
-    the order), v (count vector)."""
+    """doc_id, row (a number), n, f1, f2 (fingerprint of the set), keys (the first
+    shingles in the order), v (count vector)."""
     shared = docs.sparkSession.sparkContext.broadcast(common)
 
     @F.pandas_udf("n long, f1 long, f2 long, keys array<long>, v binary")
@@ -223,7 +224,7 @@ def sets_of(docs: DataFrame, k: int, share: int, common: np.ndarray) -> DataFram
                 rows.append((n, *fingerprint(s), keys.view(np.int64), vector(s).tobytes() if n else b""))
             yield pd.DataFrame(rows, columns=["n", "f1", "f2", "keys", "v"])
 
-    return docs.select("doc_id", run("text").alias("s")).select("doc_id", "s.*")
+    return docs.select("doc_id", F.monotonically_increasing_id().alias("row"), run("text").alias("s")).select("doc_id", "row", "s.*")
 
 
 def size_meets(n: Column, by_size: WindowSpec, share: int) -> Column:
@@ -238,11 +239,14 @@ def candidate_edges(reps: DataFrame, share: int) -> DataFrame:
     by_size = Window.partitionBy("key").orderBy("n")
     bucket = by_size.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     entries = reps.select(F.explode("keys").alias("key"), "rep", "n").select(
-        "key", "rep", F.count("*").over(bucket).alias("many"), F.min("rep").over(bucket).alias("b"), size_meets(F.col("n"), by_size, share).alias("meets"))
-    hits = written(entries.filter("many > 1"), "op4-hits")
+        "key", "rep", "n", F.count("*").over(bucket).alias("many"), F.min("rep").over(bucket).alias("b"), size_meets(F.col("n"), by_size, share).alias("meets"))
+    # near copies share most of their shingles, so many buckets hold the same sets; such buckets are one from here
+    # on, named by their members (should two names be equal by chance, that bucket holds the members of both)
+    members = F.bit_xor(F.when(F.col("meets"), F.xxhash64("rep"))).over(Window.partitionBy("key"))
+    hits = written(entries.filter("many > 1").withColumn("members", members).drop("key"), "op4-hits")
     hot = hits.filter(F.col("many") > HOT).select(F.col("rep").alias("a"), "b").filter("a != b").distinct()
-    rows = (hits.filter((F.col("many") <= HOT) & F.col("meets")).select("key", "rep").join(reps.select("rep", "n", "v"), "rep")
-            .repartition("key").sortWithinPartitions("key", "n", "rep"))
+    held = hits.filter((F.col("many") <= HOT) & F.col("meets")).select(F.col("members").alias("key"), "rep", "n").repartition("rep").distinct()
+    rows = held.join(reps.select("rep", "v"), "rep").repartition("key").sortWithinPartitions("key", "n", "rep")
 
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         forest = Forest()
@@ -388,10 +392,10 @@ def components(docs: DataFrame, k: int = WORDS, share: int = SHARE) -> DataFrame
     """doc_id, n_shingles, component_id for every row of docs(doc_id, text)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sets = written(sets_of(docs, k, share, common_shingles(docs, k, COMMON)), "op4-sets")
-    # equal sets collapse (partial aggregation first, so a large group of copies does not travel)
-    reps = written(sets.filter("n > 0").groupBy(F.col("f1").alias("rep"), "f2", "n").agg(
-        F.min("doc_id").alias("doc_id"), F.first("keys").alias("keys"), F.first("v").alias("v")), "op4-reps")
-    maybe = connected(candidate_edges(reps, share), "op4-candidates")
+    # equal sets collapse; only names travel, keys and vectors stay where they were written
+    reps = written(sets.filter("n > 0").groupBy(F.col("f1").alias("rep"), "f2", "n").agg(F.min("doc_id").alias("doc_id"), F.min("row").alias("row")), "op4-reps")
+    one = marked(sets, "row", reps.select("row"), "one", exact=True).filter("one").select(F.col("f1").alias("rep"), "n", "keys", "v")
+    maybe = connected(candidate_edges(one, share), "op4-candidates")
     roots = connected(verified_edges(docs, reps, maybe, k, share), "op4-links").select(F.col("node").alias("rep"), "root")
     member = reps.select("rep", "doc_id").join(roots, "rep", "left").select("rep", "doc_id", F.coalesce("root", "rep").alias("root"))
     smallest = member.groupBy("root").agg(F.min("doc_id").alias("low"))

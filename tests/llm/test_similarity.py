@@ -380,6 +380,32 @@ def test_marked_holds_every_id(spark):
     assert not any(r["hit"] for r in common.marked(df, "doc_id", ids.limit(0), "hit").collect())
 
 
+def test_marked_exactly_marks_only_the_rows_given(spark, monkeypatch):
+    monkeypatch.setattr(common, "FILTER", 8)  # hashed, nearly every row would be marked
+    df = common.written(spark.range(0, 90_000, 1, 3).select("id", F.monotonically_increasing_id().alias("row")), "test-rows")
+    ids = df.filter("id % 7 = 0 or id = 89999").select("row")
+    got = {r["id"] for r in common.marked(df, "row", ids, "hit", exact=True).filter("hit").collect()}
+    assert got == {i for i in range(90_000) if i % 7 == 0 or i == 89_999}
+
+
+def test_buckets_of_the_same_sets_are_one(spark, monkeypatch):
+    """Near copies meet in most of their rare shingles; their vectors go to one bucket for each set of
+    members, and neither vectors nor shingles travel to find equal sets."""
+    g = random.Random(12)
+    rows = []
+    for n in range(6):
+        w = [g.choice("abcdefghij") + str(g.randrange(5000)) for _ in range(400)]
+        rows += [(len(rows) + i, " ".join([*w[:30 * n], *["x%d" % i] * (i > 0), *w[30 * n:]])) for i in range(3)]
+    rows += [(len(rows), rows[0][1]), (None, rows[0][1])]
+    frames = {}
+    monkeypatch.setattr(o4, "written", lambda df, name, *by: frames.setdefault(name, common.written(df, name, *by)))
+    got = {r["doc_id"]: r["component_id"] for r in o4.components(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: i // 3 * 3 if i is not None and i < 18 else 0 for i, _ in rows}
+    assert not {"keys", "v"} & set(frames["op4-reps"].columns)
+    hits = frames["op4-hits"]
+    assert hits.count() > 500 and hits.select("members", "rep").distinct().count() < 100
+
+
 def test_sets_that_no_size_meets_leave_their_bucket(spark):
     g = random.Random(5)
     rows = [(g.randrange(60), i, g.choice((1, 2, 9, 10, 12, 13, 40, 49, 50, 51, 62, 63, 900))) for i in range(200)]
