@@ -18,7 +18,7 @@ import heapq
 import numpy as np
 
 WIDTH, HIDDEN, WINDOW, STRIDE = 16, 32, 32, 28
-TOP, BATCH, CHUNK = 64, 64, 512  # nodes of the dense product; windows a training step; windows scored at once
+TOP, BATCH, CHUNK, SOME = 64, 64, 512, 64  # nodes of the dense product; windows a training step; windows scored at once, with attention for some at a time
 _NAMES = ("emb", "pos", "wq", "wk", "wv", "wo", "w1", "b1", "w2", "node", "bias")
 
 
@@ -100,8 +100,9 @@ class Attention:
     def states(self, ids: np.ndarray) -> dict[str, np.ndarray]:
         """Batched masked attention: ids (windows, positions) -> everything the gradient needs."""
         p, s = self.p, {}
-        s["x"] = p["emb"][ids] + p["pos"][:ids.shape[1]]
-        s["q"], s["k"], s["v"] = s["x"] @ p["wq"], s["x"] @ p["wk"], s["x"] @ p["wv"]
+        s["x"] = p["emb"].take(ids, axis=0)
+        s["x"] += p["pos"][:ids.shape[1]]
+        s["q"], s["k"], s["v"] = (s["x"] @ p[k] for k in ("wq", "wk", "wv"))
         a = s["q"] @ s["k"].transpose(0, 2, 1)
         a *= WIDTH ** -0.5
         a += self.later[:ids.shape[1], :ids.shape[1]]
@@ -110,83 +111,102 @@ class Attention:
         a /= a.sum(axis=2, keepdims=True)
         s["a"] = a
         s["c"] = a @ s["v"]
-        s["h1"] = s["x"] + s["c"] @ p["wo"]
+        s["h1"] = s["c"] @ p["wo"]
+        s["h1"] += s["x"]
         return s
 
     def head(self, h1: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        r = np.maximum(h1 @ self.p["w1"] + self.p["b1"], 0)
-        return r, h1 + r @ self.p["w2"]
+        r = h1 @ self.p["w1"]
+        r += self.p["b1"]
+        np.maximum(r, 0, out=r)
+        h = r @ self.p["w2"]
+        h += h1
+        return r, h
 
     def paths(self, targets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(row, node, sign) of every step of every target's path."""
         size = self.size[targets]
         row = np.repeat(np.arange(len(targets)), size)
-        at = np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size) + np.repeat(self.first[targets], size)
-        return row, self.nodes[at], self.signs[at]
+        at = np.arange(len(row))
+        at += (self.first[targets] - np.cumsum(size) + size).take(row)
+        return row, self.nodes.take(at), self.signs.take(at)
 
-    def path_odds(self, h: np.ndarray, row: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
-        """(log odds of every step, steps at the TOP heaviest nodes, other steps,
-        the first of those nodes): most steps are at a few nodes, whose products
-        with all states are one dense product."""
+    def path_odds(self, h: np.ndarray, row: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, int]:
+        """(log odds of every step, steps at the TOP heaviest nodes, their places in
+        the dense product, other steps, the first of those nodes): most steps are at
+        a few nodes, whose products with all states are one dense product."""
         top = max(len(self.p["bias"]) - TOP, 0)
         z = np.empty(len(row), np.float32)
-        near, far = np.flatnonzero(node >= top), np.flatnonzero(node < top)
-        z[near] = (h @ self.p["node"][top:].T).ravel().take(row[near] * (len(self.p["bias"]) - top) + node[near] - top)
-        z[far] = np.einsum("ij,ij->i", self.p["node"].take(node[far], axis=0), h.take(row[far], axis=0))
-        z += self.p["bias"][node]
-        return z, near, far, top
+        is_near = node >= top
+        near, far = np.flatnonzero(is_near), np.flatnonzero(~is_near)
+        place = row.take(near) * (len(self.p["bias"]) - top) + node.take(near) - top
+        z[near] = (h @ self.p["node"][top:].T).ravel().take(place)
+        z[far] = np.einsum("ij,ij->i", self.p["node"].take(node.take(far), axis=0), h.take(row.take(far), axis=0))
+        z += self.p["bias"].take(node)
+        return z, near, place, far, top
 
     def log_probability(self, h: np.ndarray, targets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Natural log probability of each target given its state, and the part of
         it that the root decides (starts a word or not)."""
         row, node, sign = self.paths(targets)
         z, *_ = self.path_odds(h, row, node)
-        z *= -sign
+        z *= np.negative(sign, out=sign)
         np.minimum(z, 25, out=z)  # a path has under 28 steps: the product stays finite
         step = 1 + np.exp(z).astype(np.float64)
         end = np.cumsum(self.size[targets])
         return -np.log(np.multiply.reduceat(step, end - self.size[targets])), -np.log(step[end - 1])
 
-    def gradient(self, ids: np.ndarray, targets: np.ndarray, counts: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
-        """Mean loss over the positions where counts is true, and its gradient."""
+    def gradient(self, ids: np.ndarray, targets: np.ndarray, counts: np.ndarray, with_loss: bool = True) -> tuple[float, dict[str, np.ndarray]]:
+        """Mean loss over the positions where counts is true (nan if not asked for), and its gradient."""
         p, s = self.p, self.states(ids)
         r, h = self.head(s["h1"])
         m = counts.ravel()
         flat, want = h.reshape(-1, WIDTH)[m], targets.ravel()[m]
         row, node, sign = self.paths(want)
-        z, near, far, top = self.path_odds(flat, row, node)
-        z *= -sign
+        z, near, place, far, top = self.path_odds(flat, row, node)
+        np.negative(sign, out=sign)
+        z *= sign
         np.clip(z, -30, 30, out=z)
-        e = np.exp(z)
-        loss = np.log1p(e).sum() / len(want)
-        gz = -sign * e / ((1 + e) * len(want))
+        e = np.exp(z, out=z)
+        loss = float(np.log1p(e).sum() / len(want)) if with_loss else float("nan")
+        gz = np.multiply(sign, e, out=sign)
+        e += 1
+        e *= len(want)
+        gz /= e
         g = {"bias": np.bincount(node, gz, len(p["bias"])).astype(np.float32)}
         dense = np.zeros((len(want), len(p["bias"]) - top), np.float32)
-        dense[row[near], node[near] - top] = gz[near]
-        few, at = gz[far, None], node[far]
-        g["node"] = _sums(at, few * flat.take(row[far], axis=0), len(p["node"]))
+        dense.ravel()[place] = gz.take(near)
+        few, at, of = gz.take(far)[:, None], node.take(far), row.take(far)
+        g["node"] = _sums(at, few * flat.take(of, axis=0), len(p["node"]))
         g["node"][top:] += dense.T @ flat
-        dflat = dense @ p["node"][top:] + _sums(row[far], few * p["node"].take(at, axis=0), len(want))
+        dflat = dense @ p["node"][top:]
+        dflat += _sums(of, few * p["node"].take(at, axis=0), len(want))
         dh = np.zeros((m.size, WIDTH), np.float32)
         dh[m] = dflat
         dh = dh.reshape(h.shape)
         two = lambda x: x.reshape(-1, x.shape[-1])
         g["w2"] = two(r).T @ two(dh)
-        du = (dh @ p["w2"].T) * (r > 0)
+        du = dh @ p["w2"].T
+        du *= r > 0
         g["w1"], g["b1"] = two(s["h1"]).T @ two(du), two(du).sum(axis=0)
-        dh1 = dh + du @ p["w1"].T
+        dh1 = du @ p["w1"].T
+        dh1 += dh
         g["wo"] = two(s["c"]).T @ two(dh1)
         dc = dh1 @ p["wo"].T
         da = dc @ s["v"].transpose(0, 2, 1)
         dv = s["a"].transpose(0, 2, 1) @ dc
-        ds = s["a"] * (da - (da * s["a"]).sum(axis=2, keepdims=True)) * WIDTH ** -0.5
+        da -= (da * s["a"]).sum(axis=2, keepdims=True)
+        ds = np.multiply(s["a"], da, out=da)
+        ds *= WIDTH ** -0.5
         dq, dk = ds @ s["k"], ds.transpose(0, 2, 1) @ s["q"]
-        dx = dh1 + dq @ p["wq"].T + dk @ p["wk"].T + dv @ p["wv"].T
+        dx = dh1
+        for k, d in (("wq", dq), ("wk", dk), ("wv", dv)):
+            dx += d @ p[k].T
         g["wq"], g["wk"], g["wv"] = (two(s["x"]).T @ two(d) for d in (dq, dk, dv))
         g["pos"] = np.zeros_like(p["pos"])
         g["pos"][:ids.shape[1]] = dx.sum(axis=0)
         g["emb"] = _sums(ids.ravel(), two(dx), len(p["emb"]))
-        return float(loss), g
+        return loss, g
 
     def train(self, windows: np.ndarray, counts: np.ndarray, rate: float, batch: int = BATCH) -> None:
         """One pass of Adam over windows (rows, WINDOW + 1) in the order given."""
@@ -196,12 +216,19 @@ class Attention:
             w, c = windows[a:a + batch], counts[a:a + batch]
             if not c.any():
                 continue
-            _, g = self.gradient(w[:, :-1], w[:, 1:], c)
+            _, g = self.gradient(w[:, :-1], w[:, 1:], c, with_loss=False)
             lr = float(rate * min(1.0, step / 20) * (1 - 0.99 ** step) ** 0.5 / (1 - 0.9 ** step))
             for k, x in g.items():
-                one[k] += 0.1 * (x - one[k])
-                two[k] += 0.01 * (x * x - two[k])
-                self.p[k] -= lr * one[k] / (np.sqrt(two[k]) + 1e-7)
+                t = x - one[k]
+                t *= 0.1
+                one[k] += t
+                np.multiply(x, x, out=t)
+                t -= two[k]
+                t *= 0.01
+                two[k] += t
+                np.sqrt(two[k], out=t)
+                t += 1e-7
+                self.p[k] -= np.divide(lr * one[k], t, out=t)
 
     def score(self, texts: list[np.ndarray], start: int) -> tuple[np.ndarray, np.ndarray]:
         """Natural log probability of every id of the sequences, one after the
@@ -228,8 +255,8 @@ class Attention:
             inside = np.arange(span) < length[w][:, None]
             mine = inside & ((k[w] == 0)[:, None] | (np.arange(span) >= WINDOW - STRIDE))
             at = np.where(inside, at, 0)
-            s = self.states(source[at])
-            _, h = self.head(s["h1"][mine])
+            h1 = np.concatenate([self.states(source[at[i:i + SOME]])["h1"] for i in range(0, len(w), SOME)])
+            _, h = self.head(h1[mine])
             out[at[mine]], root[at[mine]] = self.log_probability(h, target[at[mine]])
         return out, root
 

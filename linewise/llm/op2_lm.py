@@ -43,6 +43,7 @@ from __future__ import annotations
 import base64
 import math
 import struct
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 
@@ -59,7 +60,7 @@ from linewise.llm.common import Bounded, crc_mod, read, words_of, written
 VOCABULARY, HOT, MIX = 8192, 65_536, 0.2
 #: Learning rates of the rounds; windows of a shard; parts of the model averaged apart; copies averaged at once.
 RATES, SHARD, BLOCKS, FAN = (0.016, 0.011, 0.006, 0.003), 32_768, 32, 64
-MEMO_WORDS, FLUSH_WORDS = 300_000, 400_000
+MEMO_WORDS, FLUSH_WORDS, FLUSH_WINDOWS = 300_000, 400_000, 50_000
 
 
 def ranks(path: str | None = None, n: int = VOCABULARY) -> dict[bytes, int]:
@@ -79,6 +80,14 @@ def starts_of(by_bytes: dict[bytes, int]) -> np.ndarray:
     return starts
 
 
+PUNCTUATION = bytes(b for b in range(0x21, 0x7f) if not chr(b).isalnum())
+
+
+def of_letters(w: bytes) -> bool:
+    """Nothing but Latin letters (up to U+027F)."""
+    return w.isalpha() or not w.isascii() and max(w) < 0xca and w.decode("utf-8", "replace").isalpha()
+
+
 class Subwords:
     """Word -> its ids as uint16 bytes; n is the id of the end."""
 
@@ -93,12 +102,20 @@ class Subwords:
     def word(self, w: bytes) -> bytes:
         got = self.memo.get(w)
         if got is None:
-            ids = self.encoding.encode_ordinary(" " + w.decode("utf-8", "replace"))
-            got = np.array(ids, np.uint16).tobytes()
+            got = array("H", self.pieces(w)).tobytes()
             if len(w) <= 64:
                 self.memo.put(w, got)
         return got
 
+    def pieces(self, w: bytes) -> list[int]:
+        """The ids of a word.  Letters and then ASCII punctuation are two pieces of
+        the pattern (one, if either is missing): they need no search for it."""
+        stem = w.rstrip(PUNCTUATION)
+        if not stem or not of_letters(stem):
+            return self.encoding.encode_ordinary(" " + w.decode("utf-8", "replace"))
+        ids = self.encoding._encode_single_piece(b" " + stem)
+        return ids + self.encoding._encode_single_piece(w[len(stem):]) if len(stem) < len(w) else ids
+
     def text(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """(ids with the end, number of ids of each word and of the end)."""
         parts = [*map(self.word, words), self.end]
@@ -151,26 +168,45 @@ def subword_counts(counts: DataFrame, vocabulary) -> np.ndarray:
     return out
 
 
+def windows_of(key: int, ids: np.ndarray, n: int) -> np.ndarray:
+    """A row of bytes per window of a text: its key and place (longs), then WINDOW + 1 ids."""
+    k = -(-len(ids) // WINDOW)
+    flat = np.full(k * WINDOW + 1, n + 1, np.uint16)
+    flat[0], flat[1:len(ids) + 1] = n, ids
+    out = np.empty((k, 16 + 2 * WINDOW + 2), np.uint8)
+    out[:, :8] = np.frombuffer(struct.pack("<q", key), np.uint8)
+    out[:, 8:16] = (np.arange(k) * WINDOW).astype("<i8").view(np.uint8).reshape(k, 8)
+    out[:, 16:] = np.lib.stride_tricks.sliding_window_view(flat, WINDOW + 1)[::WINDOW].astype("<u2").view(np.uint8)
+    return out
+
+
 def training_windows(train: DataFrame, vocabulary, rounds: int = len(RATES)) -> DataFrame:
     """(h long, ids binary, round int): WINDOW + 1 ids (uint16; one beyond the end
     pads), of all documents; a folder per round."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sub = subwords(vocabulary.value)
-        for b in batches:
-            rows, keys = [], []
-            for key, t in zip(b["key"], b["text"]):
-                ids, _ = sub.text(words_of(t))
-                ids = np.append([sub.n], ids)
-                for a in range(0, len(ids) - 1, WINDOW):
-                    w = ids[a:a + WINDOW + 1]
-                    rows.append(np.append(w, np.full(WINDOW + 1 - len(w), sub.n + 1)).astype(np.uint16).tobytes())
-                    keys.append(xxhash.xxh64_intdigest(struct.pack("<qq", key, a) + rows[-1], seed=3))
+        rows, keys = [], []
+
+        def batch() -> pa.RecordBatch:
             h = np.array(keys, np.uint64)
-            yield pd.DataFrame({"h": h.view(np.int64), "ids": rows, "round": (h % np.uint64(max(rounds, 1))).astype(np.int32)})
+            at = np.arange(len(h) + 1, dtype=np.int32) * (2 * WINDOW + 2)
+            ids = pa.Array.from_buffers(pa.binary(), len(h), [None, pa.py_buffer(at), pa.py_buffer(b"".join(rows))])
+            return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), ids, pa.array((h % np.uint64(max(rounds, 1))).astype(np.int32))], names=["h", "ids", "round"])
+
+        for b in batches:
+            for key, t in zip(b.column("key").to_pylist(), b.column("text")):
+                some = windows_of(key, sub.text(words_of(t.as_py()))[0], sub.n)
+                rows.append(some[:, 16:].tobytes())
+                keys += [xxhash.xxh64_intdigest(w, seed=3) for w in some]
+                if len(keys) >= FLUSH_WINDOWS:
+                    yield batch()
+                    rows, keys = [], []
+        if keys:
+            yield batch()
 
     keyed = train.select(F.coalesce("doc_id", F.monotonically_increasing_id()).alias("key"), "text")
-    return written(keyed.mapInPandas(run, "h long, ids binary, round int"), "op2-windows", "round")
+    return written(keyed.mapInArrow(run, "h long, ids binary, round int"), "op2-windows", "round")
 
 
 def averaged(copies: DataFrame, shards: int) -> DataFrame:
