@@ -124,11 +124,11 @@ def watch_scan(spark: SparkSession, files_path: str, schema, sink: str, ckpt: st
     """Sightings of files (content null: the file is gone; seen: which listing)
     -> facts of the files that were added or edited, and a mark for removed ones.
 
-    Keyed state (path -> time, content hash) lets only changes through.  Each
-    batch writes what changed in it to a folder of its own, which a batch that is
+    Keyed state (per bucket of files: path -> time, content hash) lets only changes
+    through.  Each batch writes what changed in it to a folder of its own, which a batch that is
     run again overwrites; `watched` reads the present state of the corpus."""
     rows = stateful.sightings(file_stream(spark, files_path, schema))
-    changes = rows.groupBy("project", "path").transformWithStateInPandas(stateful.Listing(), stateful.CHANGE, "Append", "none")
+    changes = rows.groupBy("bucket").transformWithStateInPandas(stateful.Listing(), stateful.CHANGE, "Append", "none")
 
     def write(batch: DataFrame, epoch: int) -> None:
         # the state runs once: what it let through is written before it is evaluated

@@ -147,34 +147,50 @@ class OrderedThrottle(StatefulProcessor):
 CHANGE = "project string, path string, ext string, language string, content string, size long, mtime timestamp, change string"
 
 
+BUCKETS = 1024  # keys of the listing's state: one call for each in a batch, which holds the bucket's files of the batch
+KNOWN = "project string, path string, mtime long, hash long"
+
+
 class Listing(StatefulProcessor):
-    """What is known of a file: its time and content hash.  Emits a file when it is added, edited
-    or removed (content null); of several sightings in a batch the last counts."""
+    """What is known of the files of a bucket: their times and content hashes.  Emits a file when it
+    is added, edited or removed (content null); of several sightings in a batch the last counts."""
 
     def init(self, handle) -> None:
-        self.known = handle.getValueState("known", "mtime long, hash long")
+        self.known = handle.getListState("known", KNOWN)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        last = None
+        frames, last = [], {}
         for frame in rows:
-            frame = frame.sort_values("seen", kind="stable")
-            if len(frame) and (last is None or frame["seen"].iloc[-1] >= last["seen"].iloc[0]):
-                last = frame.iloc[-1:]
-        had = self.known.exists()
-        if last is None or pd.isna(last["hash"].iloc[0]):
-            change = "removed" if had and last is not None else None
-            if change:
-                self.known.clear()
-        else:
-            now = (int(last["at"].iloc[0]), int(last["hash"].iloc[0]))
-            change = "added" if not had else "modified" if tuple(self.known.get()) != now else None
+            for i, (*file, seen, at, now) in enumerate(zip(*(frame[c].tolist() for c in ("project", "path", "seen", "at", "hash")))):
+                had = last.get(file := tuple(file))
+                if had is None or seen >= had[0]:
+                    last[file] = (seen, len(frames), i, at, now)
+            frames.append(frame)
+        known = {(r[0], r[1]): (r[2], r[3]) for r in self.known.get()} if last and self.known.exists() else {}
+        changes = [([], []) for _ in frames]
+        for file, (_, n, i, at, now) in last.items():
+            had = known.get(file)
+            if not isinstance(now, str):
+                change = "removed" if had is not None else None
+                known.pop(file, None)
+            else:
+                is_now = (int(at), int(now))
+                change = "added" if had is None else "modified" if had != is_now else None
+                known[file] = is_now
             if change:
-                self.known.update(now)
-        if change:
-            names = [c.split()[0] for c in CHANGE.split(", ")]
-            yield last.assign(change=change)[names]
-        else:
+                changes[n][0].append(i)
+                changes[n][1].append(change)
+        if not any(some for some, _ in changes):
             yield pd.DataFrame()
+            return
+        if known:
+            self.known.put([(*file, *state) for file, state in known.items()])
+        else:
+            self.known.clear()
+        names = [c.split()[0] for c in CHANGE.split(", ")]
+        for frame, (some, change) in zip(frames, changes):
+            if some:
+                yield frame.iloc[some].assign(change=change)[names]
 
     def close(self) -> None:
         pass
@@ -183,5 +199,5 @@ class Listing(StatefulProcessor):
 def sightings(files: DataFrame) -> DataFrame:
     """Rows of files (content null where a file is gone; seen: rising per listing) for Listing."""
     # hash and time as text: pandas would make doubles of nullable longs
-    return files.select("project", "path", "ext", "language", "content", F.coalesce("size", F.lit(0)).cast("long").alias("size"), "mtime", "seen",
+    return files.select(F.pmod(F.xxhash64("project", "path"), F.lit(BUCKETS)).cast("int").alias("bucket"), "project", "path", "ext", "language", "content", F.coalesce("size", F.lit(0)).cast("long").alias("size"), "mtime", "seen",
                         F.coalesce(F.unix_micros("mtime"), F.lit(-1)).cast("string").alias("at"), F.when(F.col("content").isNotNull(), F.xxhash64("content")).cast("string").alias("hash"))
